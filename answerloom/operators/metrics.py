@@ -61,44 +61,51 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-_ROWS = _c("tp") + _c("fp") + _c("fn") + _c("tn")
-_AI_N = _c("tp") + _c("fn")
-_HUMAN_N = _c("tn") + _c("fp")
-_ACCURACY = _ratio(_c("tp") + _c("tn"), _ROWS)
+def _actual(label: int) -> Column:
+    """Examples that carry the label."""
+    return _c("tp") + _c("fn") if label == AI else _c("tn") + _c("fp")
 
-# Per class: correct predictions, all predictions, all labels.
-_CLASS = {
-    AI: (_c("tp"), _c("tp") + _c("fp"), _AI_N),
-    HUMAN: (_c("tn"), _c("tn") + _c("fn"), _HUMAN_N),
-}
+
+def _predicted(label: int) -> Column:
+    """Examples predicted as the label."""
+    return _c("tp") + _c("fp") if label == AI else _c("tn") + _c("fn")
+
+
+def _correct(label: int) -> Column:
+    return _c("tp") if label == AI else _c("tn")
+
+
+def _rows() -> Column:
+    return _actual(AI) + _actual(HUMAN)
+
+
+def _accuracy() -> Column:
+    return _ratio(_c("tp") + _c("tn"), _rows())
 
 
 def _precision(label: int) -> Column:
-    correct, predicted, _ = _CLASS[label]
-    return _ratio(correct, predicted)
+    return _ratio(_correct(label), _predicted(label))
 
 
 def _recall(label: int) -> Column:
-    correct, _, actual = _CLASS[label]
-    return _ratio(correct, actual)
+    return _ratio(_correct(label), _actual(label))
 
 
 def _f1(label: int) -> Column:
-    correct, predicted, actual = _CLASS[label]
-    return _ratio(2 * correct, predicted + actual)
+    return _ratio(2 * _correct(label), _predicted(label) + _actual(label))
 
 
 def _balanced_accuracy() -> Column:
     """Mean recall over the classes that occur among the labels."""
-    classes = (F.when(_AI_N > 0, 1).otherwise(0) + F.when(_HUMAN_N > 0, 1).otherwise(0)).cast("double")
+    classes = (F.when(_actual(AI) > 0, 1).otherwise(0) + F.when(_actual(HUMAN) > 0, 1).otherwise(0)).cast("double")
     return _ratio(_recall(AI) + _recall(HUMAN), classes)
 
 
 def binary_metrics_of(counts: DataFrame) -> DataFrame:
     return counts.withColumns(
         {
-            "n": _ROWS,
-            "accuracy": _ACCURACY,
+            "n": _rows(),
+            "accuracy": _accuracy(),
             "balanced_accuracy": _balanced_accuracy(),
             "precision": _precision(AI),
             "recall": _recall(AI),
@@ -131,10 +138,10 @@ def eval_loss(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _class_columns(label: int) -> dict[str, Column]:
     name = LABEL_NAMES[label]
-    correct, _, actual = _CLASS[label]
+    actual = _actual(label)
     return {
         f"{name}_n": actual,
-        f"{name}_accuracy": F.when(actual > 0, _ratio(correct, actual)),
+        f"{name}_accuracy": F.when(actual > 0, _recall(label)),
         f"{name}_precision": _precision(label),
         f"{name}_recall": _recall(label),
         f"{name}_f1": _f1(label),
@@ -145,12 +152,12 @@ def _class_columns(label: int) -> dict[str, Column]:
 def source_metrics_of(counts: DataFrame) -> DataFrame:
     return counts.withColumns(
         {
-            "n": _ROWS,
-            "accuracy": _ACCURACY,
+            "n": _rows(),
+            "accuracy": _accuracy(),
             "balanced_accuracy": _balanced_accuracy(),
             "macro_f1": (_f1(HUMAN) + _f1(AI)) / 2,
-            "predicted_human_n": _c("tn") + _c("fn"),
-            "predicted_ai_n": _c("tp") + _c("fp"),
+            "predicted_human_n": _predicted(HUMAN),
+            "predicted_ai_n": _predicted(AI),
             **_class_columns(HUMAN),
             **_class_columns(AI),
         }
@@ -176,6 +183,23 @@ def source_and_overall_metrics(predictions: DataFrame) -> DataFrame:
     return source_metrics_of(grouped.agg(*_counting()))
 
 
+def source_counts(predictions: DataFrame) -> DataFrame:
+    """Confusion counts and summed loss per AI column and source: all other metrics derive from it."""
+    loss = cross_entropy(F.col("label"), F.col("logit_human"), F.col("logit_ai"))
+    return (
+        _with_source(predictions).groupBy("ai_column", "source").agg(*_counting(), F.sum(loss).alias("loss_sum"))
+    )
+
+
+def summed_counts(counts: DataFrame, by: Sequence[str] = ("ai_column",)) -> DataFrame:
+    """Counts of a coarser grouping."""
+    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*_COUNTS, "loss_sum")])
+
+
+def eval_metrics_of(counts: DataFrame) -> DataFrame:
+    return binary_metrics_of(counts.withColumn("loss", _ratio(F.col("loss_sum"), _rows()))).drop("loss_sum")
+
+
 def confusion_matrix_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     def cell(label: int, predicted: int, count: str) -> Column:
         return F.struct(
@@ -208,15 +232,15 @@ def classification_report_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     def average(measure, weights: bool) -> Column:
         if not weights:
             return (measure(HUMAN) + measure(AI)) / 2
-        return _ratio(measure(HUMAN) * _HUMAN_N + measure(AI) * _AI_N, _ROWS)
+        return _ratio(measure(HUMAN) * _actual(HUMAN) + measure(AI) * _actual(AI), _rows())
 
     entries = [
-        entry(LABEL_NAMES[label], _precision(label), _recall(label), _f1(label), _CLASS[label][2])
+        entry(LABEL_NAMES[label], _precision(label), _recall(label), _f1(label), _actual(label))
         for label in (HUMAN, AI)
     ]
-    entries.append(entry("accuracy", none, none, _ACCURACY, _ROWS))
+    entries.append(entry("accuracy", none, none, _accuracy(), _rows()))
     for name, weights in (("macro avg", False), ("weighted avg", True)):
-        entries.append(entry(name, *[average(m, weights) for m in (_precision, _recall, _f1)], _ROWS))
+        entries.append(entry(name, *[average(m, weights) for m in (_precision, _recall, _f1)], _rows()))
     return counts.select(*by, F.inline(F.array(*entries)))
 
 

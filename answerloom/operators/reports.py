@@ -153,9 +153,12 @@ def input_facts(examples: DataFrame, max_length: int, audit: Callable[[Column],
     )
 
 
-@F.pandas_udf("string")
-def _python_repr(texts: pd.Series) -> pd.Series:
-    return texts.map(repr)
+def _python_repr(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def quoted(texts: pd.Series) -> pd.Series:
+        return texts.map(repr)
+
+    return quoted(text)
 
 
 def _invisible_lines(sampled: DataFrame, cap: int) -> DataFrame:
