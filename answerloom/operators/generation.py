@@ -98,14 +98,14 @@ def generate_with_retry(
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = None
         for frame in frames:
-            texts = pd.Series([None] * len(frame), index=frame.index, dtype=object)
-            counts = frame["token_count"].copy()
-            bad = frame[frame["retried"]]
+            texts: list = [None] * len(frame)
+            counts = frame["token_count"].tolist()
+            bad = frame["retried"].to_numpy().nonzero()[0]
             if len(bad):
                 generator = generator or make_generator()
-                answers, tokens = _run_batches(generator, bad, prompt, 2, batch_size)
-                texts.loc[bad.index] = [a[0] if a else "" for a in answers]
-                counts.loc[bad.index] = tokens
+                answers, tokens = _run_batches(generator, frame.iloc[bad], prompt, 2, batch_size)
+                for row, answer, count in zip(bad, answers, tokens):
+                    texts[row], counts[row] = answer[0] if answer else "", count
             yield frame.assign(second=texts, token_count=counts)
 
     second = first.mapInPandas(again, T.StructType(first.schema.fields + [T.StructField("second", T.StringType())]))
@@ -188,7 +188,8 @@ def merge_generations(
     for i, task in enumerate(tasks):
         columns.append(F.col(f"_t{i}.answer").alias(task.answer_column))
         if task.prompt_column:
-            columns.append(safe_text(F.col(f"_t{i}.prompt")).alias(task.prompt_column))
+            recorded = F.when(F.col(f"_t{i}").isNotNull(), safe_text(F.col(f"_t{i}.prompt")))
+            columns.append(recorded.alias(task.prompt_column))
     wide = by_row.select(
         F.col("split").alias(names.split), F.col("row_id").alias(names.row_id), *columns
     )

@@ -1 +1,36 @@
+"""Run ledger and classifier training."""
 
+from pyspark.sql import functions as F
+
+from answerloom.operators import metrics as M
+from answerloom.operators.learning import TrainParams, evaluate_models, fit_per_column
+from answerloom.plans.flows import classification_examples
+from answerloom.queries.registry import query
+from answerloom.queries.views import AI_COLUMNS, SEED, qa, rounded, table
+from answerloom.sources.ledger import latest_runs
+
+
+@query(
+    "latest_run",
+    """SELECT source AS output, max(doc_id) AS run_seq, 'run-' || max(doc_id) AS run_id,
+         arg_max(lang, doc_id) AS config FROM documents GROUP BY source""",
+)
+def latest_run(spark, sf_dir):
+    """A ledger with one run per document, its source being the output written to."""
+    runs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("output"),
+        F.col("doc_id").alias("run_seq"),
+        F.concat(F.lit("run-"), "doc_id").alias("run_id"),
+        F.col("lang").alias("config"),
+    )
+    return latest_runs(runs)
+
+
+@query("train_per_column")
+def train_per_column(spark, sf_dir):
+    """Train on the train split, then evaluate every model on every AI column of the eval split."""
+    params = TrainParams(max_iter=10, seed=SEED)
+    examples = classification_examples(qa(spark, sf_dir), AI_COLUMNS, SEED, window_words=50)
+    models = fit_per_column(examples.where("split = 'train'"), AI_COLUMNS, params)
+    scored = evaluate_models(models, examples.where("split = 'eval'"), params)
+    return rounded(M.transfer_metrics(scored))

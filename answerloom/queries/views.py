@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.queries import sql as _sql
 from answerloom.session import spread
 
 SEED = 42
@@ -101,3 +102,74 @@ pred AS (
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Floating-point columns rounded, as summation order may move the last digits."""
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+STUB_PROMPTS = ["plain", "casual"]
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation records of the corpus: one per row and prompt style for rows with a question, revised
+    records of labelled rows (null where the quality is low), and records of rows that do not exist."""
+    from answerloom.functions.text import safe_text, split_words
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality", "toxic")
+    rows = qa(spark, sf_dir).select("split", "row_id", safe_text(F.col("question")).alias("question"))
+    first_words = F.array_join(F.slice(split_words(F.col("question")), 1, 12), " ")
+    rows = rows.withColumn("stub", first_words).join(labels, "row_id", "left")
+
+    def record(prompt_name, rank, row_id, answer, wanted):
+        return F.struct(
+            wanted.alias("wanted"),
+            row_id.alias("row_id"),
+            F.lit(prompt_name).alias("prompt_name"),
+            F.lit(rank).alias("rank"),
+            F.col("row_id").alias("line_no"),
+            answer.alias("answer"),
+            F.concat(F.lit("Q: "), "question").alias("prompt"),
+        )
+
+    asked, labelled = F.col("question") != "", F.col("quality").isNotNull()
+    plain = F.concat(F.lit("Answer: "), "stub")
+    revised = F.when(F.col("quality") == 1, F.concat(F.lit("Revised: "), "stub"))
+    row_id = F.col("row_id")
+    records = F.array(
+        record("plain", 0, row_id, plain, asked),
+        record("casual", 0, row_id, F.reverse(plain), asked),
+        record("plain", 1, row_id, revised, asked & labelled),
+        record("casual", 2, -1 - row_id, plain, F.coalesce(F.col("toxic") == 1, F.lit(False))),
+    )
+    made = rows.select("split", F.inline(F.filter(records, lambda r: r["wanted"])))
+    return made.drop("wanted")
+
+
+GENERATIONS = f"""asked AS (
+  SELECT split, row_id, {_sql.safe('question')} AS question,
+    array_to_string({_sql.words(_sql.safe('question'))}[1:12], ' ') AS stub, quality, toxic
+  FROM qa LEFT JOIN labels ON doc_id = row_id),
+generations AS (
+  SELECT split, row_id, 'plain' AS prompt_name, 0 AS rank, row_id AS line_no, 'Answer: ' || stub AS answer,
+    'Q: ' || question AS prompt FROM asked WHERE question <> ''
+  UNION ALL
+  SELECT split, row_id, 'casual', 0, row_id, reverse('Answer: ' || stub), 'Q: ' || question
+    FROM asked WHERE question <> ''
+  UNION ALL
+  SELECT split, row_id, 'plain', 1, row_id, CASE WHEN quality = 1 THEN 'Revised: ' || stub END, 'Q: ' || question
+    FROM asked WHERE question <> '' AND quality IS NOT NULL
+  UNION ALL
+  SELECT split, -1 - row_id, 'casual', 2, row_id, 'Answer: ' || stub, 'Q: ' || question FROM asked WHERE toxic = 1),
+latest AS (
+  SELECT split, row_id, prompt_name, answer, prompt FROM (
+    SELECT *, row_number() OVER (PARTITION BY split, row_id, prompt_name ORDER BY rank DESC, line_no DESC) AS place
+    FROM generations) WHERE place = 1)"""
+
+
+class StubGenerator:
+    """Deterministic stand-in for a model: the first words of the prompt, then the prompt backwards."""
+
+    def __call__(self, prompts: list[str], prompt_name: str, attempt: int) -> list:
+        made = []
+        for prompt in prompts:
+            words = prompt.split()
+            text = "Answer: " + " ".join(words[:12]) if attempt == 1 else " ".join(words[::-1])
+            made.append((text, len(text.split())))
+        return made
