@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,16 @@ def invisible_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(INVISIBLE))
 
 
-def invisible_positions(c: Column) -> Column:
-    """Array of ``(position, character)`` of the invisible characters, positions from 0."""
-    chars = F.transform(F.split(c, ""), lambda ch, i: F.struct(i.alias("position"), ch.alias("character")))
-    hits = F.filter(chars, lambda x: x["character"].rlike(INVISIBLE))
-    nothing = F.array().cast("array<struct<position:int,character:string>>")
-    return F.when(c.rlike(INVISIBLE), hits).otherwise(nothing)
+def is_invisible(ch: Column) -> Column:
+    """Test of one character; printable ASCII passes without the pattern."""
+    return ~ch.between(" ", "~") & ch.rlike(INVISIBLE)
+
+
+def invisible_positions(chars: Column) -> Column:
+    """``(position, _ch)`` of the invisible ones among the characters of a text, positions from 0."""
+    every = F.sequence(F.lit(0), F.size(chars) - 1)
+    hits = F.filter(every, lambda i: is_invisible(F.get(chars, i)))
+    return F.transform(hits, lambda i: F.struct(i.alias("position"), F.get(chars, i).alias("_ch")))
 
 
 def code_point(ch: Column) -> Column:
@@ -30,15 +35,20 @@ def code_point(ch: Column) -> Column:
     return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
-def named_invisibles(spark: SparkSession) -> DataFrame:
-    """Control and format characters with category and name, about 235 rows by rule."""
+@cache
+def _named_rows() -> list[tuple[str, str, str]]:
     rows = []
     for point in range(sys.maxunicode + 1):
         ch = chr(point)
         category = unicodedata.category(ch)
         if category in ("Cc", "Cf"):
             rows.append((f"U+{point:04X}", category, unicodedata.name(ch, "UNKNOWN")))
-    return spark.createDataFrame(rows, "code_point string, named_category string, character_name string")
+    return rows
+
+
+def named_invisibles(spark: SparkSession) -> DataFrame:
+    """Control and format characters with category and name, about 235 rows by rule."""
+    return spark.createDataFrame(_named_rows(), "code_point string, named_category string, character_name string")
 
 
 def residual_category(ch: Column) -> Column:
@@ -53,8 +63,8 @@ def describe_invisibles(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row per invisible character: keys, position, code point, category, name."""
     hits = (
         df.where(F.col(text).rlike(INVISIBLE))
-        .select(*keys, F.explode(invisible_positions(F.col(text))).alias("_hit"))
-        .select(*keys, "_hit.position", F.col("_hit.character").alias("_ch"))
+        .select(*keys, F.split(text, "").alias("_chars"))
+        .select(*keys, F.inline(invisible_positions(F.col("_chars"))))
         .withColumn("code_point", code_point(F.col("_ch")))
     )
     # The dimension has a fixed size given by the Unicode tables, so it may be broadcast.

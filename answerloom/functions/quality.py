@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,23 +56,27 @@ def clean_output(c: Column) -> Column:
     return trimmed(reduce(lambda text, junk: F.regexp_replace(text, junk, ""), LEADING_JUNK, safe_text(c)))
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _holds(text: Column, rules: Callable[[Column], list[Column]]) -> Column:
+    """Whether any rule holds for a text; the text is worked out once for all of them."""
+    return F.exists(F.array(text), lambda t: reduce(lambda a, b: a | b, rules(t)))
+
+
+def _basic_rules(t: Column) -> list[Column]:
+    return [t == "", t.isin(*PUNCTUATION_ONLY)] + [t.startswith(start) for start in BAD_STARTS]
+
+
+def _strict_rules(t: Column) -> list[Column]:
+    return _basic_rules(t) + [t.contains(phrase) for phrase in BAD_PHRASES]
 
 
 def is_bad_basic(answer: Column, token_count: Column) -> Column:
     """Too short, blank, only punctuation, or opening with a giveaway."""
-    text = F.lower(safe_text(answer))
-    return _any(
-        [token_count < MIN_TOKENS, text == "", text.isin(*PUNCTUATION_ONLY)]
-        + [text.startswith(start) for start in BAD_STARTS]
-    )
+    return (token_count < MIN_TOKENS) | _holds(F.lower(safe_text(answer)), _basic_rules)
 
 
 def is_bad_strict(answer: Column, token_count: Column) -> Column:
     """The basic rules, or any phrase that marks an assistant or a made-up person."""
-    text = F.lower(safe_text(answer))
-    return is_bad_basic(answer, token_count) | _any(text.contains(phrase) for phrase in BAD_PHRASES)
+    return (token_count < MIN_TOKENS) | _holds(F.lower(safe_text(answer)), _strict_rules)
 
 
 def hit_limit(token_count: Column, max_new_tokens=TOKEN_LIMIT) -> Column:

@@ -62,7 +62,14 @@ def fit(examples: DataFrame, params: TrainParams = TrainParams()) -> PipelineMod
 
     The examples are checkpointed once, as the optimizer passes over them many times.
     """
-    data = checkpoint(_tokenized(examples, params).select("row_id", "example_id", "text", "tokens", "label"))
+    return _fit(checkpoint(_training_data(examples, params)), params)
+
+
+def _training_data(examples: DataFrame, params: TrainParams) -> DataFrame:
+    return _tokenized(examples, params).select("row_id", "ai_column", "tokens", "label")
+
+
+def _fit(data: DataFrame, params: TrainParams) -> PipelineModel:
     if len(params.reg_params) == 1:
         return _pipeline(params, params.reg_params[0]).fit(data)
     # Human and AI example of a row stay on the same side of the cut.
@@ -90,8 +97,9 @@ def predict(model: PipelineModel, examples: DataFrame, params: TrainParams = Tra
 def fit_per_column(
     examples: DataFrame, ai_columns: Sequence[str], params: TrainParams = TrainParams()
 ) -> dict[str, PipelineModel]:
-    """One classifier per AI column; each fit is a distributed job."""
-    return {c: fit(examples.where(F.col("ai_column") == c), params) for c in ai_columns}
+    """One classifier per AI column; the examples are tokenized once, and each fit is a distributed job."""
+    data = checkpoint(_training_data(examples, params))
+    return {c: _fit(data.where(F.col("ai_column") == c), params) for c in ai_columns}
 
 
 def evaluate_models(

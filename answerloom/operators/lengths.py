@@ -56,7 +56,8 @@ def length_stats(freq: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.percentile("length", shares, F.col("n")).alias("_p"),
         F.max("length").alias("max"),
     )
-    return _column_list(freq, columns).join(stats, "answer_column", "left").select(
+    # At most one row per column.
+    return _column_list(freq, columns).join(F.broadcast(stats), "answer_column", "left").select(
         "answer_column",
         F.coalesce("n", F.lit(0)).alias("n"),
         "min",
@@ -92,6 +93,7 @@ def length_histogram(freq: DataFrame, cap: DataFrame, bins: int = 80) -> DataFra
     """Density over ``bins`` equal bins from 0 to the cap, the last one closed, empty bins included."""
     if bins <= 0:
         raise ValueError("bins must be positive.")
+    # Edges and grid hold one row per answer column.
     shown = visible(freq, cap)
     edges = shown.groupBy("answer_column").agg(
         F.sum("n").alias("visible_n"),
@@ -100,7 +102,8 @@ def length_histogram(freq: DataFrame, cap: DataFrame, bins: int = 80) -> DataFra
     grid = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     # Integer arithmetic puts every length on the exact side of a bin edge.
     bin_of = F.expr(f"cast(least(length * {bins}L div upper, {bins - 1}L) as int)")
-    placed = shown.join(edges.select("answer_column", "upper"), "answer_column").withColumn("bin", bin_of)
+    upper = F.broadcast(edges.select("answer_column", "upper"))
+    placed = shown.join(upper, "answer_column").withColumn("bin", bin_of)
     counts = placed.groupBy("answer_column", "bin").agg(F.sum("n").alias("bin_n"))
     width = F.col("upper") / F.lit(bins)
     return grid.join(counts, ["answer_column", "bin"], "left").select(

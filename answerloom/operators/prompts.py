@@ -63,14 +63,12 @@ def random_other_answer(
     ids = ["split", "row_id"]
     has_answer = F.col(answer) != ""
     keep = list(dict.fromkeys([*ids, *carry, answer]))
-    ranked = seeded_positions(df.select(*keep), seed, ids, ["split"], "_rank", counting=has_answer)
-    # One row per split.
-    pools = F.broadcast(df.groupBy("split").agg(F.count_if(has_answer).alias("_pool")))
+    ranked = seeded_positions(df.select(*keep), seed, ids, ["split"], "_rank", counting=has_answer, total="_pool")
     ticket = hash32(seed, F.col("split"), F.col("row_id"), F.col("prompt_name"), "random_human")
     among_others = F.pmod(ticket, F.greatest(F.col("_pool") - 1, F.lit(1)))
     among_all = F.pmod(ticket, F.greatest(F.col("_pool"), F.lit(1)))
     drawn = (
-        prompt_grid(ranked.join(pools, "split"), prompt_names)
+        prompt_grid(ranked, prompt_names)
         .withColumn("_other", among_others)
         .withColumn(
             "_target",

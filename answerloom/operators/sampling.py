@@ -33,13 +33,15 @@ def seeded_positions(
     out: str = "position",
     below: int | Column | None = None,
     counting: Column | None = None,
+    total: str | None = None,
     digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Append the 0-based position of each row in the seeded permutation of its ``by`` group.
 
     ``ids`` must identify a row. ``below`` keeps only positions under it, dropping whole
     buckets before the shuffle. ``counting`` numbers only the rows where it holds and gives
-    null to the others. ``by`` is for few groups, such as splits or AI columns.
+    null to the others. ``total`` names a column for the number of numbered rows of the group.
+    ``by`` is for few groups, such as splits or AI columns.
     """
     by = list(by)
     keyed = df.withColumn(_KEY, order_key(seed, *[F.col(c) for c in ids])).withColumn(
@@ -48,8 +50,10 @@ def seeded_positions(
     counted = F.lit(True) if counting is None else counting
     sizes = keyed.groupBy(*by, _BUCKET).agg(F.count_if(counted).alias("_n"))
     # At most 16 ** digits rows per group meet in this window.
-    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, _BUCKET, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(_BEFORE))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    ahead = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum("_n").over(group).alias(total)] if total else []
+    offsets = sizes.select(*by, _BUCKET, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(_BEFORE), *totals)
     if below is not None:
         # Bounded by 16 ** digits rows per group, so it may be broadcast to prune before the shuffle.
         offsets = F.broadcast(offsets.where(F.col(_BEFORE) < below))
@@ -63,7 +67,7 @@ def seeded_positions(
     result = placed.withColumn(out, position.cast("long"))
     if below is not None:
         result = result.where(F.col(out) < below)
-    return result.select(*df.columns, out)
+    return result.select(*df.columns, out, *([total] if total else []))
 
 
 def permute(df: DataFrame, seed: int, ids: Sequence[str] = ("split", "row_id"), out: str = "position") -> DataFrame:

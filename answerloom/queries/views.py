@@ -17,8 +17,18 @@ AI_COLUMNS = ["ai_m1_basic", "ai_m1_guided"]
 MODEL_COLUMNS = ["ai_m1_basic", "ai_m2_basic"]
 
 
+# Fixed schemas, so that no job has to look for them.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "pages": "page_id long, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
