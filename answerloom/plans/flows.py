@@ -115,6 +115,7 @@ def augment(
     to a durable table first; a run started again under the same ``run_id`` generates only what is missing.
     """
     spark = df.sparkSession
+    tables.require_versioned(spark, out)
     if not overwrite and files.exists(spark, f"{out}/{tables.POINTER}"):
         df = tables.load(spark, out, names)
     df = C.normalize(df, names)

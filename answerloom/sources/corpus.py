@@ -14,6 +14,7 @@ from answerloom.operators.corpus import normalize
 from answerloom.sources import files
 
 POINTER = "CURRENT"
+VERSIONED = (POINTER, "versions", "metadata", "generations", "prompts", "runs")
 POLICIES = ("error", "overwrite", "skip")
 
 
@@ -61,6 +62,13 @@ def snapshot(df: DataFrame, path: str, policy: str = "error", names: Corpus = CO
     return split_counts(spark.read.parquet(path), names)
 
 
+def require_versioned(spark: SparkSession, path: str) -> None:
+    """Fail where a folder holds anything but a versioned corpus and its run tables."""
+    foreign = [n for n in files.child_names(spark, path) if n not in VERSIONED and not n.startswith(".")]
+    if foreign:
+        raise FileExistsError(f"{path} exists but is not a versioned corpus.")
+
+
 def publish(
     df: DataFrame, path: str, metadata: dict[str, Any] | None = None, policy: str = "append", names: Corpus = CORPUS
 ) -> str:
@@ -73,8 +81,8 @@ def publish(
     spark = df.sparkSession
     if policy != "append" and not may_write(spark, path, policy):
         return load_version(spark, path)
-    if policy == "append" and not files.is_empty(spark, path) and not files.exists(spark, f"{path}/{POINTER}"):
-        raise FileExistsError(f"{path} exists but is not a versioned corpus.")
+    if policy == "append":
+        require_versioned(spark, path)
     taken = [n for n in files.child_names(spark, f"{path}/versions") if n.startswith("v")]
     number = 1 + max((int(n[1:9]) for n in taken), default=0)
     version = f"versions/v{number:08d}-{uuid.uuid4().hex[:8]}"
