@@ -93,8 +93,13 @@ def texts_of(df: DataFrame, column: str) -> Column:
 
 def usable(df: DataFrame, names: Corpus = CORPUS) -> Column:
     """A question that is not blank and at least one human answer that is not blank."""
-    answers = texts_of(df, names.human_answers)
-    return (safe_text(F.col(names.question)) != "") & (F.size(answers) > 0)
+    answers = F.col(names.human_answers)
+    if is_list(df, names.human_answers):
+        # Stops at the first answer that has text.
+        answered = F.coalesce(F.exists(answers, lambda a: safe_text(a) != ""), F.lit(False))
+    else:
+        answered = safe_text(answers) != ""
+    return (safe_text(F.col(names.question)) != "") & answered
 
 
 def usable_rows(df: DataFrame, names: Corpus = CORPUS) -> DataFrame:
@@ -104,11 +109,10 @@ def usable_rows(df: DataFrame, names: Corpus = CORPUS) -> DataFrame:
 
 def row_counts(df: DataFrame, names: Corpus = CORPUS) -> DataFrame:
     """Rows, usable rows and skipped rows per split."""
-    return df.groupBy(names.split).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(usable(df, names)).alias("usable_rows"),
-        F.count_if(~usable(df, names)).alias("skipped_rows"),
+    counts = df.groupBy(names.split).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(usable(df, names)).alias("usable_rows")
     )
+    return counts.withColumn("skipped_rows", F.col("total_rows") - F.col("usable_rows"))
 
 
 def with_origin(df: DataFrame, names: Corpus = CORPUS) -> DataFrame:

@@ -74,15 +74,12 @@ def _complete() -> Column:
 
 def flatten_counts(df: DataFrame, ai_columns: Sequence[str], seed: int, names: Corpus = CORPUS) -> DataFrame:
     """Rows that give examples and rows skipped for a blank part, per split and AI column."""
-    return (
+    counts = (
         _prepared(df, ai_columns, seed, names)
         .groupBy("split", "ai_column")
-        .agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(_complete()).alias("kept_rows"),
-            F.count_if(~_complete()).alias("skipped_rows"),
-        )
+        .agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(_complete()).alias("kept_rows"))
     )
+    return counts.withColumn("skipped_rows", F.col("total_rows") - F.col("kept_rows"))
 
 
 def flatten(

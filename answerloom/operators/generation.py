@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from answerloom.sources.prompts import PromptSpec
 # A generator takes prompts, the prompt style they share and the attempt number (1 or 2), and gives
 # per prompt a text, a list of texts, or a pair of these and the number of tokens made.
 Generator = Callable[[list[str], str, int], list]
-GeneratorFactory = Callable[[], Generator]
+GeneratorFactory = Callable[..., Generator]
 
 _GENERATED = [
     T.StructField("answers", T.ArrayType(T.StringType())),
@@ -28,6 +29,13 @@ _GENERATED = [
 ]
 
 
+def with_settings(make_generator: GeneratorFactory, settings: dict[str, dict]) -> GeneratorFactory:
+    """Hand the generation values of each prompt style to a factory that takes an argument."""
+    if not inspect.signature(make_generator).parameters:
+        return make_generator
+    return lambda: make_generator(settings)
+
+
 def _unpack(made) -> tuple[list[str], int]:
     texts, tokens = made if isinstance(made, tuple) else (made, None)
     texts = [t.strip() for t in ([texts] if isinstance(texts, str) else list(texts))]

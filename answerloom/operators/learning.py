@@ -19,7 +19,7 @@ from answerloom.operators.metrics import binary_metrics, eval_metrics, sweep_met
 from answerloom.operators.reports import truncated_tokens
 from answerloom.functions.seeding import order_key
 from answerloom.operators.sampling import size_subsets
-from answerloom.session import checkpoint
+from answerloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,9 @@ def _pipeline(params: TrainParams, reg_param: float) -> Pipeline:
 def fit(examples: DataFrame, params: TrainParams = TrainParams()) -> PipelineModel:
     """Fit one classifier; with several settings, the one with the best F1 on held-out examples.
 
-    The examples are checkpointed once, as the optimizer passes over them many times.
+    The tokens are staged once, as the optimizer passes over them many times.
     """
-    return _fit(checkpoint(_training_data(examples, params)), params)
+    return _fit(stage(_training_data(examples, params)), params)
 
 
 def _training_data(examples: DataFrame, params: TrainParams) -> DataFrame:
@@ -98,7 +98,7 @@ def fit_per_column(
     examples: DataFrame, ai_columns: Sequence[str], params: TrainParams = TrainParams()
 ) -> dict[str, PipelineModel]:
     """One classifier per AI column; the examples are tokenized once, and each fit is a distributed job."""
-    data = checkpoint(_training_data(examples, params))
+    data = stage(_training_data(examples, params))
     return {c: _fit(data.where(F.col("ai_column") == c), params) for c in ai_columns}
 
 
@@ -133,8 +133,8 @@ def size_sweep(
     both examples of a row go together.
     """
     subsets = size_subsets(train_rows.select("split", "row_id"), sizes, params.seed)
-    nested = checkpoint(train.join(subsets, ["split", "row_id"]))
-    tested = checkpoint(evaluation)
+    nested = stage(train.join(subsets, ["split", "row_id"]))
+    tested = stage(evaluation)
     scored = [
         predict(fit(nested.where(F.col("train_rows") == size), params), tested, params).withColumn(
             "train_rows", F.lit(size).cast("long")

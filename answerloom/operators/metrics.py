@@ -299,7 +299,13 @@ def bad_rows(
     text = [c for c in ("question",) if c in predictions.columns]
     same = [
         c
-        for c in ("answer_window_start", "answer_window_end", "answer_original_word_count", "row_id")
+        for c in (
+            "row_id",
+            "answer_source_column",
+            "answer_window_start",
+            "answer_window_end",
+            "answer_original_word_count",
+        )
         if c in predictions.columns
     ]
     return worst.select(
@@ -321,7 +327,12 @@ def prediction_rows(predictions: DataFrame, by: Sequence[str] = ("ai_column",))
     """All predictions, labels spelled out, with window facts where they exist."""
     same = [
         c
-        for c in ("answer_window_start", "answer_window_end", "answer_original_word_count")
+        for c in (
+            "answer_source_column",
+            "answer_window_start",
+            "answer_window_end",
+            "answer_original_word_count",
+        )
         if c in predictions.columns
     ]
     return with_scores(predictions).select(

@@ -24,7 +24,7 @@ from answerloom.functions.text import (
 )
 from answerloom.operators.corpus import texts_of, with_human_answer
 from answerloom.operators.flatten import flatten, pair_examples
-from answerloom.operators.sampling import sample_rows
+from answerloom.operators.sampling import first_n, sample_rows
 
 _TEXT = "array<string>"
 
@@ -162,21 +162,16 @@ def _python_repr(text: Column) -> Column:
 
 
 def _invisible_lines(sampled: DataFrame, cap: int) -> DataFrame:
-    """The first invisible characters of each sampled example as report lines."""
+    """At most ``cap`` first invisible characters of each sampled example as report lines."""
     found = describe_invisibles(sampled, "text", ["example_id", "ai_column"])
     line = F.concat(
         F.lit("    index="), "position", F.lit(" "), "code_point", F.lit(" "), "character_name",
         F.lit(" category="), "category",
     )
-    listed = found.select("example_id", "ai_column", F.struct("position", line.alias("line")).alias("_hit"))
+    first = first_n(found, cap, ["position"], ["example_id", "ai_column"])
+    listed = first.select("example_id", "ai_column", F.struct("position", line.alias("line")).alias("_hit"))
     grouped = listed.groupBy("example_id", "ai_column").agg(F.sort_array(F.collect_list("_hit")).alias("_hits"))
-    more = F.array(F.concat(F.lit("    ... "), F.size("_hits") - cap, F.lit(" more")))
-    shown = F.transform(F.slice("_hits", 1, cap), lambda h: h["line"])
-    return grouped.select(
-        "example_id",
-        "ai_column",
-        F.when(F.size("_hits") > cap, F.concat(shown, more)).otherwise(shown).alias("_invisible"),
-    )
+    return grouped.select("example_id", "ai_column", F.col("_hits.line").alias("_invisible"))
 
 
 def input_report(
@@ -224,6 +219,7 @@ def input_report(
         return F.concat(F.lit(f"  {name}: "), F.coalesce(F.col(value or name).cast("string"), F.lit("None")))
 
     text = truncate(F.col("text"), max_chars)
+    more = F.concat(F.lit("    ... "), F.col("invisible_control_chars") - max_invisible, F.lit(" more"))
     lines = F.concat(
         F.array(
             F.lit("-" * 120),
@@ -244,6 +240,7 @@ def input_report(
             fact("invisible_control_chars"),
         ),
         F.coalesce("_invisible", F.array().cast(_TEXT)),
+        F.when(F.col("invisible_control_chars") > max_invisible, F.array(more)).otherwise(F.array().cast(_TEXT)),
         F.array(
             F.lit("  EXACT TEXT:"),
             F.concat(F.lit("  "), indent_lines(text)),

@@ -21,8 +21,12 @@ from answerloom.functions.seeding import order_key
 _KEY, _BUCKET, _BEFORE = "_order_key", "_bucket", "_before"
 # 16 ** 4 buckets: at ten billion rows about 150,000 rows each.
 BUCKET_DIGITS = 4
-# Above this, a sorted limit would funnel too many rows through one task.
-SMALL_SAMPLE = 10_000
+# Where offsets of several groups are broadcast, fewer buckets keep them small.
+GROUPED_DIGITS = 3
+# A sorted limit sends this many rows of every task to one task, so it must stay small.
+SMALL_SAMPLE = 100
+# Parts in which the first rows of a group are looked for before the last choice.
+FIRST_N_PARTS = 64
 
 
 def seeded_positions(
@@ -34,7 +38,7 @@ def seeded_positions(
     below: int | Column | None = None,
     counting: Column | None = None,
     total: str | None = None,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Append the 0-based position of each row in the seeded permutation of its ``by`` group.
 
@@ -44,6 +48,8 @@ def seeded_positions(
     ``by`` is for few groups, such as splits or AI columns.
     """
     by = list(by)
+    if digits is None:
+        digits = GROUPED_DIGITS if by and below is not None else BUCKET_DIGITS
     keyed = df.withColumn(_KEY, order_key(seed, *[F.col(c) for c in ids])).withColumn(
         _BUCKET, F.substring(_KEY, 1, digits)
     )
@@ -155,8 +161,16 @@ def sample_rows(df: DataFrame, k: int, seed: int, ids: Sequence[str] = ("split",
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """First ``n`` rows in the given order, per group; each task keeps at most ``n`` before the shuffle."""
-    if not by:
-        return df.orderBy(*order).limit(n)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    """First ``n`` rows in the given order, per group.
+
+    Every task keeps at most ``n`` rows of a group, and the rows kept meet in parts of the group
+    before they meet in the group, so that no task gets ``n`` rows from every other one.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(FIRST_N_PARTS))
+
+    def leading(rows: DataFrame, groups: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    parted = leading(df.withColumn("_part", part), [*by, "_part"]).drop("_part")
+    return leading(parted, list(by)) if by else parted.orderBy(*order).limit(n)

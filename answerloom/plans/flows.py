@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict
 from typing import Any
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from answerloom.operators.generation import (
     merge_generations,
     plan_tasks,
     scalar_answer,
+    with_settings,
 )
 from answerloom.operators.learning import TrainParams, evaluate_saved, fit, predict, size_sweep
 from answerloom.operators.lengths import length_cap, length_frequencies, length_histogram, length_stats
@@ -39,12 +41,16 @@ from answerloom.operators.prompts import (
 )
 from answerloom.operators.reports import guided_rows, pilot_rows
 from answerloom.operators.sampling import subsample, sweep_sizes, train_eval_split
-from answerloom.session import checkpoint
+from answerloom.session import stage
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger, sinks
 from answerloom.sources.generations import pending, write_records
 from answerloom.sources.prompts import PromptSpec, select_specs, specs_frame
 
+# Evaluation order of a shuffled set, and of one left as it is.
+TRAINING_ORDER = ("eval_order", "example_id")
+NATURAL_ORDER = ("split", "row_id", "label")
+
 SOURCE_CSV = (
     "source n accuracy balanced_accuracy macro_f1 human_n human_precision human_recall human_f1 "
     "ai_n ai_precision ai_recall ai_f1 predicted_human_n predicted_ai_n"
@@ -111,6 +117,7 @@ def augment(
 ) -> DataFrame:
     """Add one generated column per prompt style and publish the result as a new version.
 
+    The generator factory takes no argument, or one: the generation values of each prompt style.
     If ``out`` holds a corpus, columns are added to that one, unless ``overwrite`` is set. Answers go
     to a durable table first; a run started again under the same ``run_id`` generates only what is missing.
     """
@@ -128,12 +135,18 @@ def augment(
         return df
     chosen = [t.spec for t in tasks]
     params = check_generation_params(generation_params(specs_frame(spark, chosen), defaults))
-    sequences = {r["name"]: r["num_return_sequences"] for r in params.collect()}
+    settings = {r["name"]: {k: r[k] for k in asdict(defaults)} for r in params.collect()}
+    sequences = {name: values["num_return_sequences"] for name, values in settings.items()}
+    factory = with_settings(make_generator, settings)
     run_id = run_id or uuid.uuid4().hex
     store, prompt_store = f"{out}/generations/run={run_id}", f"{out}/prompts/run={run_id}"
 
     if not files.exists(spark, f"{prompt_store}/_SUCCESS"):
-        build_prompts(rows, chosen, seed, names).write.mode("overwrite").partitionBy("prompt_name").parquet(
+        # The wide corpus is read once; ranking and look-up of reference answers run on what prompts need.
+        needed = [c for c in (names.split, names.row_id, names.question, names.source) if c in rows.columns]
+        answered = C.with_human_answer(rows, seed, "_human", names)
+        narrow = stage(answered.select(*needed, F.col("_human").alias(names.selected_human)))
+        build_prompts(narrow, chosen, seed, names).write.mode("overwrite").partitionBy("prompt_name").parquet(
             prompt_store
         )
     prompts = pending(spark.read.parquet(prompt_store), store)
@@ -142,7 +155,7 @@ def augment(
         for part in range(parts):
             todo = prompts.where(F.col("prompt_name") == task.prompt_name)
             todo = todo.where(F.pmod(hash32("part", F.col("split"), F.col("row_id")), F.lit(parts)) == part)
-            made = generate(todo.drop("messages"), make_generator, batch_size, partitions=partitions)
+            made = generate(todo.drop("messages"), factory, batch_size, partitions=partitions)
             write_records(
                 made.select(
                     "split",
@@ -202,13 +215,20 @@ def classification_examples(
     return examples.withColumn("eval_order", order_key(seed, F.col("example_id"), F.col("ai_column")))
 
 
-def write_eval_bundle(predictions: DataFrame, out: str, max_bad: int = 200, max_chars: int = 1200, all_rows: bool = False) -> None:
+def write_eval_bundle(
+    predictions: DataFrame,
+    out: str,
+    max_bad: int = 200,
+    max_chars: int = 1200,
+    all_rows: bool = False,
+    order: Sequence[str] = TRAINING_ORDER,
+) -> DataFrame:
     """Metrics, report, confusion matrix, source metrics, misclassified rows and, if asked, all predictions.
 
     The predictions are counted once per source; every metric table is summed from those counts.
     """
-    scored = checkpoint(predictions)
-    counts = checkpoint(M.source_counts(scored))
+    scored = stage(predictions)
+    counts = stage(M.source_counts(scored))
     overall = M.summed_counts(counts)
     sinks.write_json(M.eval_metrics_of(overall), f"{out}/metrics")
     sinks.write_json(M.classification_report_of(overall, ["ai_column"]), f"{out}/classification_report")
@@ -218,9 +238,10 @@ def write_eval_bundle(predictions: DataFrame, out: str, max_bad: int = 200, max_
     sinks.write_csv(by_source, f"{out}/source_metrics", ["ai_column", *SOURCE_CSV])
     sinks.write_csv(by_source, f"{out}/source_accuracy", ["ai_column", *SOURCE_ACCURACY_CSV])
     sinks.write_json(M.source_chart(by_source), f"{out}/source_chart")
-    sinks.write_jsonl(M.bad_rows(scored, max_bad, max_chars), f"{out}/bad_classifications")
+    sinks.write_jsonl(M.bad_rows(scored, max_bad, max_chars, order), f"{out}/bad_classifications")
     if all_rows:
         sinks.write_jsonl(M.prediction_rows(scored), f"{out}/eval_predictions")
+    return M.eval_metrics_of(overall)
 
 
 def train_and_evaluate(
@@ -254,9 +275,7 @@ def train_and_evaluate(
         predictions = scored if predictions is None else predictions.unionByName(scored)
     if predictions is None:
         return spark.createDataFrame([], "ai_column string")
-    bundle = f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}"
-    write_eval_bundle(predictions, bundle, all_rows=all_rows)
-    return M.column_metrics(predictions)
+    return write_eval_bundle(predictions, f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}", all_rows=all_rows)
 
 
 def evaluate_checkpoint(
@@ -268,15 +287,40 @@ def evaluate_checkpoint(
     text_mode: str = "answer",
     window_words: int | None = None,
     max_eval_samples: int | None = None,
+    out: str | None = None,
+    policy: str = "error",
+    all_rows: bool = False,
     names: Corpus = CORPUS,
 ) -> DataFrame:
-    """Metrics of a saved classifier on other AI columns, without training."""
+    """Metrics of a saved classifier on other AI columns, without training; the whole bundle if ``out`` is given.
+
+    Misclassified rows come in evaluation order: the natural one, or the shuffled one if a cap is set.
+    """
     columns = C.resolve_ai_columns(df, ai_columns, [eval_split], names=names)
     rows = C.resolve_splits(df, [eval_split], names)
     examples = classification_examples(
         rows, columns, params.seed, text_mode, window_words, {eval_split: max_eval_samples}, names
     )
-    return evaluate_saved(model_path, require_examples(examples, columns, [eval_split]), params)
+    require_examples(examples, columns, [eval_split])
+    if out is None:
+        return evaluate_saved(model_path, examples, params)
+    if not tables.may_write(df.sparkSession, out, policy):
+        return df.sparkSession.read.json(f"{out}/eval_logs/metrics")
+    files.clear(df.sparkSession, out)
+    config = {
+        "checkpoint": model_path,
+        "eval_split": eval_split,
+        "ai_columns": columns,
+        "text_mode": text_mode,
+        "answer_window_words": window_words,
+        "max_length": params.max_length,
+        "max_eval_samples": max_eval_samples,
+        "seed": params.seed,
+    }
+    files.write_small(df.sparkSession, f"{out}/eval_config.json", json.dumps(config, indent=2))
+    order = NATURAL_ORDER if max_eval_samples is None else TRAINING_ORDER
+    predictions = predict(PipelineModel.load(model_path), examples, params)
+    return write_eval_bundle(predictions, f"{out}/eval_logs", all_rows=all_rows, order=order)
 
 
 def sweep_train_sizes(
@@ -323,7 +367,7 @@ def profile_lengths(
     """Length statistics and density curves per answer column, from one pass over the corpus."""
     rows = C.resolve_splits(C.normalize(df, names), splits, names)
     columns = C.resolve_answer_columns(rows, columns, splits or C.available_splits(rows, names), names=names)
-    freq = checkpoint(length_frequencies(rows, columns, unit, token_length))
+    freq = stage(length_frequencies(rows, columns, unit, token_length))
     stats = length_stats(freq, columns)
     curve = length_histogram(freq, length_cap(freq, max_length, percentile_cap), bins)
     if out:

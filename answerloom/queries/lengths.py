@@ -7,7 +7,7 @@ from answerloom.operators import lengths as L
 from answerloom.queries import sql as q
 from answerloom.queries.registry import query
 from answerloom.queries.views import QA, qa, rounded
-from answerloom.session import checkpoint
+from answerloom.session import stage
 
 BINS = 80
 COLUMNS = ["ai_m1_basic", "ai_m1_guided", "chatgpt_answers", "human_answers"]
@@ -62,7 +62,7 @@ def length_cap(spark, sf_dir):
         FROM grid g CROSS JOIN cap LEFT JOIN counts c ON c.answer_column = g.answer_column AND c.bin = g.bin""",
 )
 def length_histogram(spark, sf_dir):
-    freq = checkpoint(frequencies(spark, sf_dir))
+    freq = stage(frequencies(spark, sf_dir))
     curve = L.length_histogram(freq, L.length_cap(freq), BINS)
     return rounded(curve.withColumn("bin", F.col("bin").cast("long")))
 

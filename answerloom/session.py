@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints, as named by the cluster.
+    """Shared folder for staged tables, as named by the cluster.
 
     Only a local session without the setting gets a folder of its own.
     """
@@ -52,10 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from there.
+
+    The lineage ends there, so a lost executor costs no recomputation. The staged table is columnar:
+    later passes read only the columns they use, and the planner knows its size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

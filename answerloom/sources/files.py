@@ -28,6 +28,13 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Remove what an output folder holds, after the output policy has allowed it."""
+    p, fs, _ = _path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that readers see the old or the new text, never a part of it."""
     p, fs, conf = _path(spark, path)

@@ -51,6 +51,15 @@ def test_augment_appends_columns(spark, subset, tmp_path):
     assert ledger.read_runs(spark, f"{out}/runs").count() == 2
 
 
+def test_generation_values_reach_the_generator(spark, subset, tmp_path):
+    def make(settings):
+        return lambda prompts, style, attempt: [f"{style} {settings[style]['max_new_tokens']}"] * len(prompts)
+
+    out = str(tmp_path / "aug")
+    made = flows.augment(subset, EXAMPLE_SPECS, make, out, "m", prompt_names=["plain", "casual"])
+    assert {tuple(r) for r in made.select("ai_m_plain", "ai_m_casual").distinct().collect()} == {("plain 120", "casual 170")}
+
+
 def test_augment_resumes_a_stopped_run(spark, subset, tmp_path):
     out, marks = str(tmp_path / "aug"), tmp_path / "marks"
     marks.mkdir()
@@ -94,6 +103,16 @@ def test_train_save_and_transfer(spark, sf_dir, tmp_path):
 
     moved = flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], params=PARAMS, window_words=20).first()
     assert moved.ai_column == "ai_m1_guided" and moved.n == metrics["ai_m1_guided"].n
+    kept = str(tmp_path / "transfer")
+    args = dict(params=PARAMS, window_words=20, out=kept)
+    flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], **args)
+    assert json.loads(files.read_small(spark, f"{kept}/eval_config.json"))["answer_window_words"] == 20
+    wrong = spark.read.json(f"{kept}/eval_logs/bad_classifications")
+    assert wrong.count() == min(200, moved.n - round(moved.accuracy * moved.n)) and "answer_source_column" in wrong.columns
+    with pytest.raises(FileExistsError):
+        flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], **args)
+    over = flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], policy="overwrite", max_eval_samples=10, **args)
+    assert over.first().n == 10
     again = flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_basic"], params=PARAMS, window_words=20).first()
     assert again.f1 == pytest.approx(metrics["ai_m1_basic"].f1)
 

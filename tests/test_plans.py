@@ -62,7 +62,7 @@ def test_metrics_aggregate_before_the_shuffle(spark, sf_dir):
 def test_small_k_limits_before_the_shuffle(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(S.sample_rows(qa(spark, sf_dir).select("split", "row_id"), 5, 1))
     ranked = plan(S.first_n(scored(spark, sf_dir), 5, ["eval_order"], ["ai_column"]))
-    assert ranked.count("WindowGroupLimit") == 2
+    assert ranked.count("WindowGroupLimit") == 4
 
 
 def test_limited_positions_prune_before_the_shuffle(stored):
