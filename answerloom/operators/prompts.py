@@ -14,6 +14,7 @@ from answerloom.functions.templates import chat_messages, plain_layout, render
 from answerloom.functions.text import count_words, safe_text, word_bounds
 from answerloom.operators.corpus import with_human_answer
 from answerloom.operators.sampling import seeded_positions
+from answerloom.session import stage
 from answerloom.sources.prompts import PromptSpec
 
 CONTEXT_FIELDS = (
@@ -53,16 +54,21 @@ def random_other_answer(
     prompt_names: Sequence[str],
     answer: str = "human_answer",
     carry: Sequence[str] = (),
+    lend: dict[str, str] | None = None,
 ) -> DataFrame:
     """A seeded answer of another row of the same split, per row and prompt style.
 
+    ``carry`` names columns of the row to keep, ``lend`` columns of the drawn row to bring along
+    (name there to name here).
+
     Rows with an answer get a dense rank per split. A row draws among the ``n - 1`` other ranks, so
     it meets itself only where it is the whole pool; a row without an answer draws among all ``n``.
     The drawn rank is looked up by an equi join in which every rank occurs once.
     """
     ids = ["split", "row_id"]
     has_answer = F.col(answer) != ""
-    keep = list(dict.fromkeys([*ids, *carry, answer]))
+    lend = lend or {}
+    keep = list(dict.fromkeys([*ids, *carry, answer, *lend]))
     ranked = seeded_positions(df.select(*keep), seed, ids, ["split"], "_rank", counting=has_answer, total="_pool")
     ticket = hash32(seed, F.col("split"), F.col("row_id"), F.col("prompt_name"), "random_human")
     among_others = F.pmod(ticket, F.greatest(F.col("_pool") - 1, F.lit(1)))
@@ -80,17 +86,25 @@ def random_other_answer(
         .select(*dict.fromkeys([*ids, *carry]), "prompt_name", "_target")
     )
     pool = ranked.where(F.col("_rank").isNotNull()).select(
-        "split", F.col("_rank").alias("_target"), F.col(answer).alias("random_human_answer")
+        "split",
+        F.col("_rank").alias("_target"),
+        F.col(answer).alias("random_human_answer"),
+        *[F.col(there).alias(here) for there, here in lend.items()],
     )
     joined = drawn.join(pool, ["split", "_target"], "left")
     return joined.withColumn("random_human_answer", F.coalesce("random_human_answer", F.lit(""))).select(
-        *dict.fromkeys([*ids, *carry]), "prompt_name", "random_human_answer"
+        *dict.fromkeys([*ids, *carry]), "prompt_name", "random_human_answer", *lend.values()
     )
 
 
-def prompt_context(df: DataFrame, prompt_names: Sequence[str], seed: int, names: Corpus = CORPUS) -> DataFrame:
+def prompt_context(
+    df: DataFrame, prompt_names: Sequence[str], seed: int, names: Corpus = CORPUS, staged: bool = False
+) -> DataFrame:
     """All template fields of a row, per prompt style.
 
+    Ranking and looking up reference answers pass over the rows several times. ``staged`` first writes
+    the few columns prompts need, so that the wide corpus is read once.
+
     Styles named after the random human answer take their length from it first, all
     others from the row's own human answer; the second one fills in for a blank first.
     """
@@ -102,14 +116,13 @@ def prompt_context(df: DataFrame, prompt_names: Sequence[str], seed: int, names:
         safe_text(source).alias("source"),
         F.col("_human").alias("selected_human_answer"),
     )
-    carried = ["question", "source", "selected_human_answer"]
-    drawn = random_other_answer(rows, seed, prompt_names, "selected_human_answer", carried)
-    counted = drawn.withColumns(
-        {
-            "selected_human_word_count": count_words(F.col("selected_human_answer")),
-            "random_human_word_count": count_words(F.col("random_human_answer")),
-        }
-    )
+    # Words are counted once per row, before the rows multiply by prompt styles.
+    rows = rows.withColumn("selected_human_word_count", count_words(F.col("selected_human_answer")))
+    rows = stage(rows) if staged else rows
+    carried = ["question", "source", "selected_human_answer", "selected_human_word_count"]
+    lent = {"selected_human_word_count": "random_human_word_count"}
+    drawn = random_other_answer(rows, seed, prompt_names, "selected_human_answer", carried, lent)
+    counted = drawn.withColumn("random_human_word_count", F.coalesce("random_human_word_count", F.lit(0)))
     own, other = F.col("selected_human_word_count"), F.col("random_human_word_count")
     other_first = F.col("prompt_name").contains("random_human")
     bounds = word_bounds(F.when(other_first, other).otherwise(own), F.when(other_first, own).otherwise(other))
@@ -150,8 +163,10 @@ def render_prompts(context: DataFrame, specs: Sequence[PromptSpec]) -> DataFrame
     )
 
 
-def build_prompts(df: DataFrame, specs: Sequence[PromptSpec], seed: int, names: Corpus = CORPUS) -> DataFrame:
-    return render_prompts(prompt_context(df, [s.name for s in specs], seed, names), specs)
+def build_prompts(
+    df: DataFrame, specs: Sequence[PromptSpec], seed: int, names: Corpus = CORPUS, staged: bool = False
+) -> DataFrame:
+    return render_prompts(prompt_context(df, [s.name for s in specs], seed, names, staged), specs)
 
 
 @dataclass(frozen=True)

@@ -142,13 +142,8 @@ def augment(
     store, prompt_store = f"{out}/generations/run={run_id}", f"{out}/prompts/run={run_id}"
 
     if not files.exists(spark, f"{prompt_store}/_SUCCESS"):
-        # The wide corpus is read once; ranking and look-up of reference answers run on what prompts need.
-        needed = [c for c in (names.split, names.row_id, names.question, names.source) if c in rows.columns]
-        answered = C.with_human_answer(rows, seed, "_human", names)
-        narrow = stage(answered.select(*needed, F.col("_human").alias(names.selected_human)))
-        build_prompts(narrow, chosen, seed, names).write.mode("overwrite").partitionBy("prompt_name").parquet(
-            prompt_store
-        )
+        made = build_prompts(rows, chosen, seed, names, staged=True)
+        made.write.mode("overwrite").partitionBy("prompt_name").parquet(prompt_store)
     prompts = pending(spark.read.parquet(prompt_store), store)
     for task in tasks:
         # Each part is committed when done, so a stopped run loses one part at most.

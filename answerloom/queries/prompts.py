@@ -11,6 +11,7 @@ from answerloom.queries import sql as q
 from answerloom.queries.registry import query
 from answerloom.queries.sampling import FROZEN, order_sql
 from answerloom.queries.views import GENERATIONS, QA, SEED, STUB_PROMPTS, documents, generations, qa, table
+from answerloom.session import stage
 from answerloom.sources.prompts import EXAMPLE_SPECS
 
 NAMES = [s.name for s in EXAMPLE_SPECS]
@@ -55,7 +56,7 @@ met AS (
 @query("random_other_answer", f"WITH {RANDOM_OTHER} SELECT row_id, split, prompt_name, random_human_answer FROM met")
 def random_other_answer(spark, sf_dir):
     rows = C.with_human_answer(qa(spark, sf_dir), SEED)
-    return P.random_other_answer(rows.select("split", "row_id", "human_answer"), SEED, NAMES)
+    return P.random_other_answer(stage(rows.select("split", "row_id", "human_answer")), SEED, NAMES)
 
 
 _OTHER_FIRST = "contains(prompt_name, 'random_human')"
@@ -82,7 +83,7 @@ _COUNTS = ["selected_human_word_count", "random_human_word_count", *_BOUNDS]
         md5(random_human_answer) AS random_digest, {', '.join(f'{c}::BIGINT AS {c}' for c in _COUNTS)} FROM context""",
 )
 def prompt_context(spark, sf_dir):
-    context = P.prompt_context(qa(spark, sf_dir), NAMES, SEED)
+    context = P.prompt_context(qa(spark, sf_dir), NAMES, SEED, staged=True)
     digests = {"selected_digest": "selected_human_answer", "actual_digest": "actual_human_answer", "random_digest": "random_human_answer"}
     return (
         context.withColumns({d: F.md5(c) for d, c in digests.items()})
@@ -122,7 +123,7 @@ _PLAIN = (
           CASE WHEN coalesce(system_prompt, '') = '' THEN 'user' ELSE 'system,user' END AS roles FROM filled""",
 )
 def rendered_prompts(spark, sf_dir):
-    made = P.build_prompts(qa(spark, sf_dir), EXAMPLE_SPECS, SEED)
+    made = P.build_prompts(qa(spark, sf_dir), EXAMPLE_SPECS, SEED, staged=True)
     return made.select(
         "row_id",
         "split",
