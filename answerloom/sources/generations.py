@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.columns import CORPUS, Corpus
 from answerloom.functions.text import safe_text
 from answerloom.sources import files
 
@@ -45,7 +44,7 @@ def write_records(generated: DataFrame, path: str) -> None:
     generated.write.mode("append").partitionBy("prompt_name").parquet(path)
 
 
-def pending(prompts: DataFrame, path: str, names: Corpus = CORPUS) -> DataFrame:
+def pending(prompts: DataFrame, path: str) -> DataFrame:
     """Prompts without a record yet, so that an interrupted run goes on where it stopped."""
     spark = prompts.sparkSession
     if files.is_empty(spark, path) or "_SUCCESS" not in files.child_names(spark, path):
