@@ -26,7 +26,7 @@ from answerloom.llm.arrays import NULL_ID, as_long, flat, mix, pair, slices
 from answerloom.session import stage
 
 #: Contents of one anchor that one task compares; the windows of more crowded anchors are rows of their own.
-CROWD = 500
+CROWD = 10_000
 RUN_SCHEMA = "id long, start int, n int, anchor long, content long, copy boolean"
 #: A contested run with its text (w2 null), or one window of a crowded anchor by its two names (text null).
 CONTEST_SCHEMA = "id long, start int, key long, w2 long, text binary"
