@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
+from answerloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +27,22 @@ def query(function):
 def op1_suffix_dedup(spark, sf_dir):
     """Strings of 100 bytes that start earlier are removed from every document."""
     return suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    """Exact token counts of every document, and what fits 2048 tokens."""
+    counts = token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
+    return counts.select(
+        F.col("id").alias("doc_id"),
+        *("n_bytes", "n_tokens"),
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+        *("fit_words", "fit_letters"),
+    )
