@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.llm.decontamination import benchmark_hits, decontamination_digest
+from answerloom.llm.mixing import poisson_mixture, repetition_rates
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
 from answerloom.llm.token_counts import token_counts
 
@@ -46,3 +48,33 @@ def op2_token_counts(spark, sf_dir):
         (F.col("n_tokens") > 2048).alias("over_limit"),
         *("fit_words", "fit_letters"),
     )
+
+
+@query
+def op4_poisson_mixture(spark, sf_dir):
+    """All documents mixed by the square roots of their sources' sizes, with their texts, in a global random order."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = poisson_mixture(docs, repetition_rates(docs, temperature=0.5), seed=42)
+    return mixed.select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
+ORACLES["op4_poisson_mixture"] = """
+WITH sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM sizes) * weight / (SELECT sum(weight) FROM sizes) / n AS rate FROM sizes),
+parts AS (SELECT source, ceil(rate / 8.0)::INT AS parts, rate / greatest(ceil(rate / 8.0), 1) AS mean FROM rates),
+terms AS (SELECT source, parts, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM parts, range(48) AS r(k)),
+sums AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+draws AS (SELECT d.doc_id, d.source, p.part,
+    ('0x' || substr(md5('42:' || d.doc_id || ':' || p.part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN (SELECT source, unnest(range(1, parts + 1)) AS part FROM parts) p ON p.source = d.source),
+copies AS (SELECT w.doc_id, count(s.k)::INT AS n FROM draws w JOIN sums s ON s.source = w.source AND s.c <= w.u GROUP BY w.doc_id)
+SELECT d.doc_id, d.source, e.copy::INT AS copy, md5('42:' || d.doc_id || ':' || e.copy || ':order') AS shuffle_key, d.text
+FROM documents d JOIN (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM copies) e ON e.doc_id = d.doc_id
+"""
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    """What every document shares with the test items, by windows of ten words."""
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontamination_digest(hits)
