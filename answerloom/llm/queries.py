@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm.decontamination import benchmark_hits, decontamination_digest
+from answerloom.llm.license_scan import license_digest, license_notices, license_sql
 from answerloom.llm.mixing import poisson_mixture, repetition_rates
+from answerloom.llm.quality_rules import quality_verdicts
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
 from answerloom.llm.token_counts import token_counts
 
@@ -78,3 +80,20 @@ def op10_benchmark_decontamination(spark, sf_dir):
     """What every document shares with the test items, by windows of ten words."""
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return decontamination_digest(hits)
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    """Licence notices of every document."""
+    return license_digest(license_notices(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op7_license_scan"] = license_sql()
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    """Base counts of every document, and the verdict by its histograms' distance from its language."""
+    verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return verdicts.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
