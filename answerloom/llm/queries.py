@@ -11,6 +11,7 @@ from answerloom.llm.decontamination import benchmark_hits, decontamination_diges
 from answerloom.llm.license_scan import license_digest, license_notices, license_sql
 from answerloom.llm.mixing import poisson_mixture, repetition_rates
 from answerloom.llm.quality_rules import quality_verdicts
+from answerloom.llm.substring_dedup import substring_dedup_digest
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
 from answerloom.llm.token_counts import token_counts
 
@@ -97,3 +98,9 @@ def op3_quality_rules(spark, sf_dir):
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return verdicts.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    """Sequences of 20 words that start earlier are removed from every document."""
+    return substring_dedup_digest(table(spark, sf_dir, "documents"), min_words=20)

@@ -54,6 +54,11 @@ class Runs:
     names: np.ndarray
     length: int
     cut: Callable
+    keys: np.ndarray | None = None
+
+    def key(self) -> np.ndarray:
+        """Name of each run's anchor: as given, or of the units from the anchor on."""
+        return self.names[self.anchor] if self.keys is None else self.keys
 
     def content(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent names of the units from start to end, each at least `length` long."""
@@ -69,6 +74,12 @@ class Runs:
         return one, two
 
 
+def counts_of(head: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Windows of each run, by the first window of each run and the windows that exist."""
+    seen = np.append(0, np.cumsum(valid))
+    return np.diff(np.append(seen[np.flatnonzero(head)], seen[-1]))
+
+
 def minimum_runs(names: np.ndarray, valid: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, count and anchor of runs of windows by their leftmost position of least name among `width` positions from window start + `low` on.
 
@@ -79,15 +90,12 @@ def minimum_runs(names: np.ndarray, valid: np.ndarray, low: int, width: int) ->
     head = valid.copy()
     head[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (names[low : low + len(least) - 1] == least[:-1])
     start = np.flatnonzero(head)
-    ends = np.flatnonzero(valid & ~np.append(valid[1:], False)) + 1
-    stop = np.append(start[1:], len(valid))
-    last = np.searchsorted(ends, start, side="right")
-    stop = np.minimum(stop, ends[last]) if len(start) else stop[:0]
+    count = counts_of(head, valid)
     anchor = np.empty(len(start), dtype=np.int64)
     for i in range(0, len(start), 4096):
         around = start[i : i + 4096, None] + low + np.arange(width)
         anchor[i : i + 4096] = around[np.arange(len(around)), np.argmax(names[around] == least[start[i : i + 4096], None], axis=1)]
-    return start, stop - start, anchor
+    return start, count, anchor
 
 
 def _firsts(keys: list[np.ndarray], *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +118,7 @@ def run_rows(ids: np.ndarray, offsets: np.ndarray, runs: Runs, width: int) -> pa
     """Rows of RUN_SCHEMA for the texts of a slice; those with an earlier copy in the slice are marked."""
     end = runs.start + runs.count - 1 + width
     text = np.searchsorted(offsets, runs.start, side="right") - 1
-    rid, start, key = ids[text], runs.start - offsets[text], runs.names[runs.anchor]
+    rid, start, key = ids[text], runs.start - offsets[text], runs.key()
     content = pair(runs.content(runs.start, end)[0], (runs.anchor - runs.start).astype(np.uint64))
     by, first = _firsts([key, content], rid, start)
     new = _not_repeated(rid[by], start[by], first)
