@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerloom.llm.decontamination import benchmark_hits, decontamination_digest
 from answerloom.llm.license_scan import license_digest, license_notices, license_sql
 from answerloom.llm.mixing import poisson_mixture, repetition_rates
+from answerloom.llm.ngram_join import join_digest, near_duplicates
 from answerloom.llm.quality_rules import quality_verdicts
 from answerloom.llm.substring_dedup import substring_dedup_digest
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
@@ -104,3 +105,9 @@ def op3_quality_rules(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     """Sequences of 20 words that start earlier are removed from every document."""
     return substring_dedup_digest(table(spark, sf_dir, "documents"), min_words=20)
+
+
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Near-duplicate components of all documents: three-word shingles, Jaccard of 0.9 or more."""
+    return join_digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90))
