@@ -149,10 +149,23 @@ def window_names(names: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def stretch_names(names: np.ndarray, length: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of the units from start to end, by the names of the `length` units from each position on.
+
+    A stretch is at least `length` long: its name folds the names at every `length`-th unit, the last one aligned to
+    its end.
+    """
+    last = end - length
+    one = names[start]
+    two = mix(one ^ (end - start).astype(np.uint64))
+    at = start
+    while (more := at < last).any():
+        at = np.minimum(at + length, last)
+        here = names[at]
+        one = np.where(more, pair(one, here), one)
+        two = np.where(more, pair(here, two), two)
+    return one, two
 
 
-def repeated(offsets: np.ndarray) -> np.ndarray:
-    """Number of the text that each unit belongs to."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))

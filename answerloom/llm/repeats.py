@@ -21,8 +21,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from answerloom.llm.arrays import NULL_ID, as_long, flat, mix, pair, slices
+from answerloom.llm.arrays import NULL_ID, as_long, flat, mix, pair, slices, stretch_names
 from answerloom.session import stage
 
 #: Contents of one anchor that one task compares; the windows of more crowded anchors are rows of their own.
@@ -62,16 +63,7 @@ class Runs:
 
     def content(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent names of the units from start to end, each at least `length` long."""
-        last = end - self.length
-        one = self.names[start]
-        two = mix(one ^ (end - start).astype(np.uint64))
-        at = start
-        while (more := at < last).any():
-            at = np.minimum(at + self.length, last)
-            here = self.names[at]
-            one = np.where(more, pair(one, here), one)
-            two = np.where(more, pair(here, two), two)
-        return one, two
+        return stretch_names(self.names, self.length, start, end)
 
 
 def counts_of(head: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -237,16 +229,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed, for a shuffle."""
+    """Texts compressed, for a shuffle; other columns stay."""
+    fields = [T.StructField("packed", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text"):
-            data, offsets = flat(batch.column(1))
+            at = batch.schema.get_field_index("text")
+            data, offsets = flat(batch.column(at))
             zs = [press.compress(data[a:b].data) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(zs, pa.binary())], names=["id", "packed"])
+            yield batch.set_column(at, "packed", pa.array(zs, pa.binary()))
 
-    return docs.mapInArrow(run, "id long, packed binary")
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

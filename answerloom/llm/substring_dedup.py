@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.arrays import NULL_ID, flat, mix, pair, repeated, window_names, words
+from answerloom.llm.arrays import NULL_ID, flat, mix, pair, stretch_names, window_names, words
 from answerloom.llm.repeats import Runs, counts_of, keyed, merged, repeated_spans, unpacked, with_spans
 
 #: Consecutive words from which a repeated sequence goes, and rounds of recompression.
@@ -93,7 +93,8 @@ def _least(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def recompressed_runs(width: int, rounds: int):
     """Anchor of a window: of its settled symbols of the highest level that has any, the leftmost of least name.
 
-    A window without any (inside a long run, say) is its own anchor.
+    The key of an anchor is the name of the words that settle the symbol, all of which lie in the window. A window
+    without a settled symbol (inside a long run, say) is its own anchor.
     """
     length = max(d for d in range(1, 6) if width % d == 0)
 
@@ -109,7 +110,7 @@ def recompressed_runs(width: int, rounds: int):
         if n < width:
             none = np.zeros(0, dtype=np.int64)
             return offsets, Runs(none, none, none, grams, length, cut)
-        text = repeated(offsets)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         valid = np.zeros(n, dtype=bool)
         valid[: n - width + 1] = text[: n - width + 1] == text[width - 1 :]
         position = np.arange(n)
@@ -117,22 +118,26 @@ def recompressed_runs(width: int, rounds: int):
         for number in range(rounds):
             levels.append(recompress(levels[-1], number, offsets))
         windows = np.flatnonzero(valid)
-        anchor, key = windows.copy(), grams[windows]
+        level, symbol = np.zeros(len(windows), dtype=np.int64), windows.copy()
         open_ = np.arange(len(windows))
         for number, s in reversed(list(enumerate(levels[1:], 1))):
             p = windows[open_]
             low = np.searchsorted(s.low, p, side="left")
             high = np.searchsorted(s.high, p + width, side="right")
             some = high > low
-            at = _least(s.name, low[some], high[some])
-            anchor[open_[some]] = s.start[at]
-            key[open_[some]] = mix(s.name[at] + np.uint64(number))
+            level[open_[some]], symbol[open_[some]] = number, _least(s.name, low[some], high[some])
             open_ = open_[~some]
         head = np.ones(len(windows), dtype=bool)
-        head[1:] = (windows[1:] != windows[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])
+        head[1:] = (windows[1:] != windows[:-1] + 1) | (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1])
         at = np.zeros(n, dtype=bool)
         at[windows[head]] = True
-        return offsets, Runs(windows[head], counts_of(at, valid), anchor[head], grams, length, cut, key[head])
+        windows, level, symbol = windows[head], level[head], symbol[head]
+        anchor, low, high = windows.copy(), windows.copy(), windows + width
+        for number, s in enumerate(levels[1:], 1):
+            of = level == number
+            anchor[of], low[of], high[of] = s.start[symbol[of]], s.low[symbol[of]], s.high[symbol[of]]
+        key = stretch_names(window_names(names, 2), 2, low, high)[0] + level.astype(np.uint64)
+        return offsets, Runs(windows, counts_of(at, valid), anchor, grams, length, cut, key)
 
     return runs_of
 
