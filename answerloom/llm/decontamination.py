@@ -206,6 +206,6 @@ def decontamination_digest(hits: DataFrame) -> DataFrame:
 
 
 def without_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose text shares no window with the test set, with all their columns. A null id stays."""
-    found = hits.where("n_hit > 0").select(F.col("id").alias("__hit"))
+    """Rows whose text shares no window with the test set, with all their columns; rows with a null id stay."""
+    found = stage(hits.where("n_hit > 0").select(F.col("id").alias("__hit")).distinct())
     return docs.join(found, F.col(id_col).cast("long") == F.col("__hit"), "left_anti")

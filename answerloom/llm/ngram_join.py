@@ -17,9 +17,7 @@ from answerloom.session import stage
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
 #: Groups of a coordinate block in the index, and of the folded vector that bounds an overlap.
-BLOCK_GROUPS, FOLDED = 64, 64
-#: Blocks beyond those that differences can touch, so that empty blocks need no entry in general.
-SPARE = 2
+BLOCK_GROUPS, FOLDED = 4096, 64
 #: Points of one leaf of the index; a larger bucket is cut into leaves that are compared pair by pair.
 LEAF = 2048
 POINT_SCHEMA = "id long, n int, f1 long, f2 long, vector binary, cells array<long>"
@@ -60,11 +58,21 @@ class SizeClasses:
             self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
         return np.searchsorted(np.array(self.bounds), n, side="right") - 1
 
-    def differences(self, c: np.ndarray) -> np.ndarray:
-        """Most shingles in one but not both of two linked sets, the smaller one in class c."""
-        largest = np.array([*self.bounds, self.bounds[-1] * 100 // self.percent + 1])[c + 1] - 1
-        both = largest + largest * 100 // self.percent
-        return both * (100 - self.percent) // (100 + self.percent)
+    def blocks(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of coordinates for pairs whose smaller set is in class c, and how many of them are to spare.
+
+        The differences of two linked sets touch some blocks at most; one more is equal in both. The spare blocks
+        are about as many as may be empty by chance, so that empty blocks need no entry in general.
+        """
+        bounds = np.array([*self.bounds, self.bounds[-1] * 100 // self.percent + 1])
+        largest = bounds[1:] - 1
+        touched = (largest + largest * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        spare = np.full(len(touched), 2)
+        for _ in range(8):
+            count = touched + 1 + spare
+            empty = count * np.exp(-bounds[:-1] / count)
+            spare = np.minimum(np.ceil(empty + 4 * np.sqrt(empty) + 2), touched + 2).astype(np.int64)
+        return np.where(touched > 0, touched + 1 + spare, 0)[c], spare[c]
 
 
 def index_cells(value: np.ndarray, offsets: np.ndarray, classes: SizeClasses) -> list[np.ndarray]:
@@ -73,24 +81,24 @@ def index_cells(value: np.ndarray, offsets: np.ndarray, classes: SizeClasses) ->
     A set is a point: shingles are hashed into groups, its coordinates are their counts. By the sum of coordinate
     minima two linked points differ by at most d units, so of d + 1 blocks of coordinates one at least is equal in
     both. A cell is a block with its coordinates. A set enters the cells of its own class and, for smaller partners,
-    of the class below. There are SPARE more blocks; a set with up to SPARE empty ones leaves those out.
+    of the class below. There are some blocks to spare; a set with no more empty ones than that leaves those out.
     """
     n = np.diff(offsets)
     text = np.repeat(np.arange(len(n)), n)
     own = classes.of(np.maximum(n, 1))
     out = []
     for c in (own, own - 1):
-        differing = np.where((c >= 0) & (n > 0), classes.differences(np.maximum(c, 0)), 0)
-        blocks = np.where(differing > 0, differing + 1 + SPARE, 0)
+        blocks, spare = classes.blocks(np.maximum(c, 0))
+        blocks = np.where((c >= 0) & (n > 0), blocks, 0)
         base = np.append(0, np.cumsum(blocks))
         inside = blocks[text] > 0
         t, v = text[inside], value[inside]
-        block = base[t] + ((v >> np.uint64(16)) % blocks[t].astype(np.uint64)).astype(np.int64)
+        block = base[t] + ((v >> np.uint64(24)) % blocks[t].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(sums, block, mix((v & np.uint64(BLOCK_GROUPS - 1)) + np.uint64(1)))
         empty = np.bincount(block, minlength=base[-1]) == 0
         owner = np.repeat(np.arange(len(n)), blocks)
-        many = np.bincount(owner[empty], minlength=len(n)) > SPARE
+        many = np.bincount(owner[empty], minlength=len(n)) > spare
         number = np.arange(base[-1]) - base[owner]
         cell = mix(sums + mix((c[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
         keep = ~empty | many[owner]
@@ -313,5 +321,5 @@ def join_digest(groups: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is the smallest of its component, with all their columns; rows with a null id stay."""
-    gone = groups.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    gone = stage(groups.where("id <> component_id").select(F.col("id").alias("__gone")).distinct())
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerloom.llm.arrays import BYTE_NAMES, NULL_ID, flat, pair
 from answerloom.llm.repeats import Runs, keyed, merged, minimum_runs, repeated_spans, unpacked, with_spans
@@ -70,6 +71,22 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
 KEPT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
 
 
+def _own_spans(own: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The union of a text's spans, inside the text."""
+    if not own.is_valid:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts = own.values.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = own.values.field("end").to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, ends = merged(np.minimum(starts, size), np.minimum(ends, size))
+    return starts[ends > starts], ends[ends > starts]
+
+
+def _left(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """What lies between the spans."""
+    edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
 def _erase(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
@@ -77,18 +94,9 @@ def _erase(with_text: bool):
             ids = batch.column(0).to_pylist()
             data, offsets = flat(batch.column(1))
             for i, own in enumerate(batch.column(2)):
-                text = data[offsets[i] : offsets[i + 1]]
-                starts, ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                if own.is_valid:
-                    starts = own.values.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-                    ends = own.values.field("end").to_numpy(zero_copy_only=False).astype(np.int64)
-                    starts, ends = merged(np.minimum(starts, len(text)), np.minimum(ends, len(text)))
-                    starts, ends = starts[ends > starts], ends[ends > starts]
-                raw, last, parts = text.tobytes(), 0, []
-                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                    parts.append(raw[last:s])
-                    last = e
-                kept = b"".join([*parts, raw[last:]])
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                starts, ends = _own_spans(own, len(raw))
+                kept = b"".join(_left(raw, starts, ends))
                 spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 row = (ids[i], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept if with_text else None, spans))
@@ -135,3 +143,29 @@ def suffix_dedup_digest(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFram
 def restored_id():
     """The id as it was given: null again where it was null."""
     return F.when(F.col("id") != NULL_ID, F.col("id"))
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows with what is left of their text, and all their other columns; rows of which nothing is left go.
+
+    A character that a removal cuts in two goes whole. A text that was null or empty before stays as it is.
+    """
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), rest)
+    spans = repeats(docs, min_bytes, id_col, text_col)
+    schema = T.StructType([T.StructField("kept", T.StringType()), T.StructField("gone", T.BooleanType()), texts.schema["rest"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(batches):
+            kept, gone = [], []
+            data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
+            for i, own in enumerate(batch.column(batch.schema.get_field_index("spans"))):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                left = b"".join(_left(raw, *_own_spans(own, len(raw))))
+                kept.append(left.decode(errors="ignore"))
+                gone.append(bool(raw) and not kept[-1])
+            at = batch.schema.get_field_index("rest")
+            yield pa.record_batch([pa.array(kept), pa.array(gone), batch.column(at)], names=["kept", "gone", "rest"])
+
+    left = with_spans(texts, spans).mapInArrow(run, schema).where("not gone")
+    return left.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
