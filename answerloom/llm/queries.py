@@ -11,10 +11,12 @@ from answerloom.llm.decontamination import benchmark_hits, decontamination_diges
 from answerloom.llm.license_scan import license_digest, license_notices, license_sql
 from answerloom.llm.mixing import poisson_mixture, repetition_rates
 from answerloom.llm.ngram_join import join_digest, near_duplicates
+from answerloom.llm.quality_classifier import resampled
 from answerloom.llm.quality_rules import quality_verdicts
 from answerloom.llm.substring_dedup import substring_dedup_digest
 from answerloom.llm.suffix_dedup import suffix_dedup_digest
 from answerloom.llm.token_counts import token_counts
+from answerloom.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +113,17 @@ def op6_substring_dedup(spark, sf_dir):
 def op5_ngram_jaccard_join(spark, sf_dir):
     """Near-duplicate components of all documents: three-word shingles, Jaccard of 0.9 or more."""
     return join_digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90))
+
+
+@query
+def op8_quality_classifier(spark, sf_dir):
+    """All documents weighed against the good labelled ones; those selected are the resampled corpus."""
+    sample = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=42)
+    return sample.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document, by its nearest labelled examples."""
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=42)
+    return scores.withColumnRenamed("id", "doc_id")
