@@ -21,7 +21,7 @@ MAX_TARGETS = 20_000
 #: that a small target sample says little about rare n-grams and nothing false about frequent ones.
 RAW_SMOOTHING, TARGET_SMOOTHING = 1.0, 4.0
 #: Nats that each n-gram is granted, so that the models' noise rejects no ordinary text, and the floor of what is kept.
-TOLERANCE, FLOOR = 0.10, -3.0
+TOLERANCE, FLOOR = 0.12, -3.0
 #: Rows of a histogram bin that are sorted to find the last selected row.
 BIN_ROWS = 10_000
 
