@@ -10,13 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Stands for a null part of a key.
+NULL_PART = "\u2400"
+
+
 def _column(part) -> Column:
     return part if isinstance(part, Column) else F.lit(str(part))
 
 
 def seed_key(*parts) -> Column:
-    """Parts joined by ``:``; plain values are taken literally."""
-    return F.concat_ws(":", *[_column(p).cast("string") for p in parts])
+    """Parts joined by ``:``; plain values are taken literally, and a null part is not the same as none."""
+    return F.concat_ws(":", *[F.coalesce(_column(p).cast("string"), F.lit(NULL_PART)) for p in parts])
 
 
 def order_key(seed: int, *ids: Column) -> Column:
@@ -29,6 +33,11 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.md5(seed_key(*parts)), 1, 8), 16, 10).cast("long")
 
 
+def hash60(*parts) -> Column:
+    """First 60 bits of the digest as a non-negative long: for draws among more than a few million."""
+    return F.conv(F.substring(F.md5(seed_key(*parts)), 1, 15), 16, 10).cast("long")
+
+
 def draw(bound: Column, *parts) -> Column:
     """Seeded integer in ``[0, bound)``; 0 where the bound is not positive."""
     return F.pmod(hash32(*parts), F.greatest(bound.cast("long"), F.lit(1).cast("long")))

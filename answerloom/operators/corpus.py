@@ -18,7 +18,7 @@ def normalize(df: DataFrame, names: Corpus = CORPUS) -> DataFrame:
 
 
 def available_splits(df: DataFrame, names: Corpus = CORPUS) -> list[str]:
-    """The few split names; with a split-partitioned table this reads folder names only."""
+    """The few split names, by one pass over the split column (a partition column holds no bytes of the files)."""
     return sorted(row[0] for row in df.select(names.split).distinct().collect())
 
 
@@ -29,7 +29,7 @@ def resolve_splits(df: DataFrame, requested: Sequence[str] | None = None, names:
     available = available_splits(df, names)
     missing = sorted(set(requested) - set(available))
     if missing:
-        raise ValueError(f"Unknown split(s): {', '.join(missing)}. Available splits: {', '.join(available)}")
+        raise ValueError(f"No rows in split {', '.join(missing)}; the corpus has {', '.join(available)}.")
     return df.where(F.col(names.split).isin(list(requested)))
 
 

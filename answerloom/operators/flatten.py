@@ -133,17 +133,62 @@ def flatten(
     )
 
 
+def paired(
+    df: DataFrame,
+    ai_columns: Sequence[str],
+    seed: int,
+    fields: Sequence[str] = ("answer", "text"),
+    text_mode: str = "answer",
+    window_words: int | None = None,
+    names: Corpus = CORPUS,
+) -> DataFrame:
+    """Human and AI example of each complete row side by side, as ``pair_examples`` gives them, without a shuffle.
+
+    Both answers stand in one row before they are flattened, so each is cut to its window in place.
+    """
+    pairs = _prepared(df, ai_columns, seed, names).where(_complete())
+    shown = []
+    for label, column, full in (
+        (HUMAN, F.lit(names.selected_human), "human_answer"),
+        (AI, F.col("ai_column"), "ai_answer"),
+    ):
+        who = LABEL_NAMES[label]
+        words, span, cut = f"_{who}_words", f"_{who}_span", f"_{who}_cut"
+        pairs = pairs.withColumn(words, split_words(F.col(full)))
+        key = (F.col("split"), F.col("row_id"), column)
+        pairs = pairs.withColumn(span, window_span(F.size(words), window_words, seed, *key))
+        whole = F.col(full)
+        answer = (
+            whole
+            if window_words is None
+            else windowed_text(whole, F.col(words), F.col(f"{span}.start"), F.col(f"{span}.stop"))
+        )
+        pairs = pairs.withColumn(cut, answer)
+        made = {
+            "example_id": F.concat_ws("-", "split", "row_id", column, F.lit(who)),
+            "answer": F.col(cut),
+            "full_answer": whole,
+            "text": model_text(F.col("question"), F.col(cut), text_mode),
+        }
+        shown += [made[f].alias(f"{who}_{f}") for f in ("example_id", *fields)]
+    return pairs.select("split", "ai_column", "row_id", "source", *shown)
+
+
 def require_examples(examples: DataFrame, ai_columns: Sequence[str], splits: Sequence[str]) -> DataFrame:
     """Fail where a split and AI column give no example at all."""
+    found = {(r["split"], r["ai_column"]) for r in examples.select("split", "ai_column").distinct().collect()}
     for column in ai_columns:
         for split in splits:
-            if examples.where((F.col("ai_column") == column) & (F.col("split") == split)).limit(1).isEmpty():
+            if (split, column) not in found:
                 raise ValueError(f"No usable classification examples for split={split} column={column}")
     return examples
 
 
 def pair_examples(examples: DataFrame, fields: Sequence[str] = ("answer", "text")) -> DataFrame:
-    """Human and AI example of a row side by side; rows with only one of them drop out."""
+    """Human and AI example of a row side by side; rows with only one of them drop out.
+
+    For subsampled examples; ``paired`` gives the pairs of a whole corpus without a shuffle.
+    """
 
     def side(label: int) -> Column:
         example = F.struct("example_id", *fields)

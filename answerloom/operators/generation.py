@@ -15,10 +15,9 @@ from answerloom.columns import CORPUS, Corpus
 from answerloom.functions.naming import generated_column_name
 from answerloom.functions.quality import clean_output, is_bad_basic
 from answerloom.functions.text import safe_text
-from answerloom.operators.corpus import drop_if_present
 from answerloom.sources.prompts import PromptSpec
 
-# A generator takes prompts, the prompt style they share and the attempt number (1 or 2), and gives
+# A generator takes prompts (texts, or chat messages where these are asked for), the prompt style they share and the attempt number (1 or 2), and gives
 # per prompt a text, a list of texts, or a pair of these and the number of tokens made.
 Generator = Callable[[list[str], str, int], list]
 GeneratorFactory = Callable[..., Generator]
@@ -42,6 +41,11 @@ def _unpack(made) -> tuple[list[str], int]:
     return texts, len(texts[0].split()) if tokens is None and texts else int(tokens or 0)
 
 
+def _plain(prompt):
+    """A text as it is; chat messages as a list of role and content."""
+    return prompt if isinstance(prompt, str) else [{"role": m["role"], "content": m["content"]} for m in prompt]
+
+
 def _run_batches(generator, frame: pd.DataFrame, prompt: str, attempt: int, batch_size: int) -> tuple[list, list]:
     """Call the generator on batches of one prompt style each; results in row order."""
     answers: list = [None] * len(frame)
@@ -50,7 +54,7 @@ def _run_batches(generator, frame: pd.DataFrame, prompt: str, attempt: int, batc
     for style, group in frame.groupby("prompt_name", sort=False):
         for start in range(0, len(group), batch_size):
             batch = group.iloc[start : start + batch_size]
-            made = generator(batch[prompt].tolist(), style, attempt)
+            made = generator([_plain(p) for p in batch[prompt]], style, attempt)
             if len(made) != len(batch):
                 raise RuntimeError(f"Expected {len(batch)} answers, got {len(made)}.")
             for row, result in zip(place.loc[batch.index], made):
@@ -142,8 +146,17 @@ class Task:
         return self.spec.name
 
 
+def filled_in(rows: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Columns that hold a value in any of the given rows, by one aggregate over all of them."""
+    here = [c for c in dict.fromkeys(columns) if c in rows.columns]
+    if not here:
+        return set()
+    counts = rows.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(here)]).first()
+    return {c for i, c in enumerate(here) if counts[i]}
+
+
 def plan_tasks(
-    df: DataFrame,
+    rows: DataFrame,
     specs: Sequence[PromptSpec],
     model_name: str,
     model_alias: str | None = None,
@@ -152,21 +165,27 @@ def plan_tasks(
     on_conflict: str = "error",
     names: Corpus = CORPUS,
 ) -> list[Task]:
-    """Tasks to run; a task whose column exists is an error, skipped, or overwritten."""
+    """Tasks to run on the rows of the target splits.
+
+    A task is in conflict where its answer or prompt column already holds a value in these rows; a column that other
+    splits filled is not. Conflicts are refused, left out, or run again.
+    """
     if on_conflict not in ("error", "skip", "overwrite"):
         raise ValueError("on_conflict must be 'error', 'skip' or 'overwrite'.")
-    existing = set(df.columns)
-    tasks = []
-    for spec in specs:
+
+    def task(spec: PromptSpec) -> Task:
         column = generated_column_name(model_name, spec.name, model_alias, prefix)
-        prompt_column = names.prompt_prefix + column if save_prompts else None
-        conflicts = [c for c in (column, prompt_column) if c in existing]
-        if conflicts and on_conflict == "skip":
-            continue
-        if conflicts and on_conflict == "error":
-            raise ValueError(f"Column conflict for {column}: {', '.join(conflicts)}.")
-        tasks.append(Task(spec, column, prompt_column))
-    return tasks
+        return Task(spec, column, names.prompt_prefix + column if save_prompts else None)
+
+    tasks = [task(spec) for spec in specs]
+    if on_conflict == "overwrite":
+        return tasks
+    taken = filled_in(rows, [c for t in tasks for c in (t.answer_column, t.prompt_column) if c])
+    clashing = [t for t in tasks if {t.answer_column, t.prompt_column} & taken]
+    if clashing and on_conflict == "error":
+        columns = sorted({t.answer_column for t in clashing})
+        raise ValueError(f"Column conflict: the target splits already hold answers in {', '.join(columns)}.")
+    return [t for t in tasks if t not in clashing]
 
 
 def latest_records(generations: DataFrame) -> DataFrame:
@@ -180,11 +199,16 @@ def latest_records(generations: DataFrame) -> DataFrame:
 
 
 def merge_generations(
-    df: DataFrame, generations: DataFrame, tasks: Sequence[Task], names: Corpus = CORPUS
+    df: DataFrame,
+    generations: DataFrame,
+    tasks: Sequence[Task],
+    names: Corpus = CORPUS,
+    splits: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add one answer column per task, and its prompt column if wanted.
 
-    One aggregate picks the last record of every task, so all tasks cost one shuffle and one join.
+    One aggregate picks the last record of every task, so all tasks cost one shuffle and one join. With ``splits``
+    only rows of these take the new values; all others keep what a column held before.
     """
     order = F.struct("rank", "line_no")
     picks = [
@@ -192,17 +216,25 @@ def merge_generations(
         for i, t in enumerate(tasks)
     ]
     by_row = generations.groupBy("split", "row_id").agg(*picks)
-    columns = []
+    made = {}
     for i, task in enumerate(tasks):
-        columns.append(F.col(f"_t{i}.answer").alias(task.answer_column))
+        made[task.answer_column] = F.col(f"_t{i}.answer")
         if task.prompt_column:
             recorded = F.when(F.col(f"_t{i}").isNotNull(), safe_text(F.col(f"_t{i}.prompt")))
-            columns.append(recorded.alias(task.prompt_column))
+            made[task.prompt_column] = recorded
     wide = by_row.select(
-        F.col("split").alias(names.split), F.col("row_id").alias(names.row_id), *columns
+        F.col("split").alias(names.split),
+        F.col("row_id").alias(names.row_id),
+        *[value.alias(f"_new_{i}") for i, value in enumerate(made.values())],
     )
-    kept = drop_if_present(df, [c for t in tasks for c in (t.answer_column, t.prompt_column)])
-    return kept.join(wide, [names.split, names.row_id], "left")
+    target = F.lit(True) if splits is None else F.col(names.split).isin(list(splits))
+    before = set(df.columns)
+    columns = []
+    for i, column in enumerate(made):
+        new = F.col(f"_new_{i}")
+        columns.append((F.when(target, new).otherwise(F.col(column)) if column in before else F.when(target, new)).alias(column))
+    joined = df.join(wide, [names.split, names.row_id], "left")
+    return joined.select(*[c for c in df.columns if c not in made], *columns)
 
 
 def missing_answers(
@@ -214,7 +246,9 @@ def missing_answers(
         F.col(names.row_id).alias("row_id"),
         F.explode(F.array(*[F.lit(n) for n in prompt_names])).alias("prompt_name"),
     )
-    answered = latest_records(generations).where(F.col("answer").isNotNull())
+    # Only whether the last record has an answer goes through the shuffle, not its text.
+    newest = F.max_by(F.col("answer").isNotNull(), F.struct("rank", "line_no"))
+    answered = generations.groupBy("split", "row_id", "prompt_name").agg(newest.alias("_answered")).where("_answered")
     return expected.join(answered, ["split", "row_id", "prompt_name"], "left_anti")
 
 

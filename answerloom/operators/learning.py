@@ -18,7 +18,7 @@ from answerloom.columns import AI
 from answerloom.operators.metrics import binary_metrics, eval_metrics, sweep_metrics, with_scores
 from answerloom.operators.reports import truncated_tokens
 from answerloom.functions.seeding import order_key
-from answerloom.operators.sampling import size_subsets
+from answerloom.operators.sampling import seeded_positions
 from answerloom.session import stage
 
 
@@ -34,7 +34,8 @@ class TrainParams:
     seed: int = 42
 
 
-def _tokenized(examples: DataFrame, params: TrainParams) -> DataFrame:
+def tokenized(examples: DataFrame, params: TrainParams = TrainParams()) -> DataFrame:
+    """Examples with their tokens, cut at the model's length."""
     lowered = examples.withColumn("_lower", F.lower("text"))
     return truncated_tokens(lowered, "_lower", params.max_length, "tokens").drop("_lower", "token_total")
 
@@ -62,14 +63,15 @@ def fit(examples: DataFrame, params: TrainParams = TrainParams()) -> PipelineMod
 
     The tokens are staged once, as the optimizer passes over them many times.
     """
-    return _fit(stage(_training_data(examples, params)), params)
+    return fit_tokenized(stage(_training_data(examples, params)), params)
 
 
 def _training_data(examples: DataFrame, params: TrainParams) -> DataFrame:
-    return _tokenized(examples, params).select("row_id", "ai_column", "tokens", "label")
+    return tokenized(examples, params).select("split", "row_id", "ai_column", "tokens", "label")
 
 
-def _fit(data: DataFrame, params: TrainParams) -> PipelineModel:
+def fit_tokenized(data: DataFrame, params: TrainParams = TrainParams()) -> PipelineModel:
+    """Fit on tokenized examples, which the caller has staged."""
     if len(params.reg_params) == 1:
         return _pipeline(params, params.reg_params[0]).fit(data)
     # Human and AI example of a row stay on the same side of the cut.
@@ -78,12 +80,13 @@ def _fit(data: DataFrame, params: TrainParams) -> PipelineModel:
     scored = []
     for reg_param in params.reg_params:
         model = _pipeline(params, reg_param).fit(data.where(~held))
-        f1 = binary_metrics(_scored(model, data.where(held))).first()["f1"]
+        f1 = binary_metrics(predict_tokenized(model, data.where(held))).first()["f1"]
         scored.append((f1, -reg_param, reg_param))
     return _pipeline(params, max(scored)[2]).fit(data)
 
 
-def _scored(model: PipelineModel, tokenized: DataFrame) -> DataFrame:
+def predict_tokenized(model: PipelineModel, tokenized: DataFrame) -> DataFrame:
+    """Tokenized examples with logits, probabilities and prediction, without the tokens."""
     raw = vector_to_array("_raw")
     applied = model.transform(tokenized).withColumns({"logit_human": raw[1 - AI], "logit_ai": raw[AI]})
     return with_scores(applied).drop("_tf", "_features", "_raw", "_ml_probability", "_ml_prediction", "tokens")
@@ -91,7 +94,7 @@ def _scored(model: PipelineModel, tokenized: DataFrame) -> DataFrame:
 
 def predict(model: PipelineModel, examples: DataFrame, params: TrainParams = TrainParams()) -> DataFrame:
     """Examples with logits, probabilities and prediction."""
-    return _scored(model, _tokenized(examples, params))
+    return predict_tokenized(model, tokenized(examples, params))
 
 
 def fit_per_column(
@@ -99,17 +102,19 @@ def fit_per_column(
 ) -> dict[str, PipelineModel]:
     """One classifier per AI column; the examples are tokenized once, and each fit is a distributed job."""
     data = stage(_training_data(examples, params))
-    return {c: _fit(data.where(F.col("ai_column") == c), params) for c in ai_columns}
+    return {c: fit_tokenized(data.where(F.col("ai_column") == c), params) for c in ai_columns}
 
 
 def evaluate_models(
     models: dict[str, PipelineModel], examples: DataFrame, params: TrainParams = TrainParams()
 ) -> DataFrame:
-    """Predictions of every model on all given examples, tagged by model and evaluated column."""
+    """Predictions of every model on all given examples, tagged by model and evaluated column.
+
+    The tokens are staged once for all models.
+    """
+    data = stage(tokenized(examples, params))
     scored = [
-        predict(model, examples, params).withColumns(
-            {"model_column": F.lit(name), "eval_column": F.col("ai_column")}
-        )
+        predict_tokenized(model, data).withColumns({"model_column": F.lit(name), "eval_column": F.col("ai_column")})
         for name, model in models.items()
     ]
     return reduce(DataFrame.unionByName, scored)
@@ -130,13 +135,14 @@ def size_sweep(
     """Metrics of classifiers trained on nested row subsets of growing size.
 
     Sizes count ``train_rows`` (``split``, ``row_id``), the rows before incomplete ones drop out;
-    both examples of a row go together.
+    both examples of a row go together. Tokens are staged once, with the place of each row in the permutation.
     """
-    subsets = size_subsets(train_rows.select("split", "row_id"), sizes, params.seed)
-    nested = stage(train.join(subsets, ["split", "row_id"]))
-    tested = stage(evaluation)
+    keys = ["split", "row_id"]
+    place = seeded_positions(train_rows.select(*keys), params.seed, keys, out="_place", below=max(sizes))
+    nested = stage(_training_data(train, params).join(place, keys))
+    tested = stage(tokenized(evaluation, params))
     scored = [
-        predict(fit(nested.where(F.col("train_rows") == size), params), tested, params).withColumn(
+        predict_tokenized(fit_tokenized(nested.where(F.col("_place") < size), params), tested).withColumn(
             "train_rows", F.lit(size).cast("long")
         )
         for size in dict.fromkeys(sizes)

@@ -32,10 +32,24 @@ def with_scores(df: DataFrame) -> DataFrame:
     ).withColumn("confidence", F.greatest("prob_human", "prob_ai"))
 
 
-def attach_predictions(examples: DataFrame, predictions: DataFrame, ids: Sequence[str] = ("example_id",)) -> DataFrame:
-    """Predictions joined to their examples by identity; columns known to both come from the examples."""
+def attach_predictions(
+    examples: DataFrame, predictions: DataFrame, ids: Sequence[str] = ("example_id", "ai_column")
+) -> DataFrame:
+    """Predictions joined to their examples by identity; columns known to both come from the examples.
+
+    A human example has one id under every AI column, so the column belongs to the identity. The query fails on an
+    example with no prediction, and on one with several; the check costs no pass of its own.
+    """
     extra = [c for c in predictions.columns if c not in examples.columns]
-    return examples.join(predictions.select(*ids, *extra), list(ids))
+    own = predictions.groupBy(*ids).agg(
+        F.count("*").alias("_found"), F.first(F.struct(*extra)).alias("_made")
+    )
+    problem = F.when(F.col("_found").isNull(), "Example without a prediction: ").otherwise("Several predictions for ")
+    checked = F.when(F.col("_found") == 1, F.col("_made")).otherwise(
+        F.raise_error(F.concat(problem, F.concat_ws(" ", *ids)))
+    )
+    joined = examples.join(own, list(ids), "left").withColumn("_made", checked)
+    return joined.select(*examples.columns, *[F.col(f"_made.{c}").alias(c) for c in extra])
 
 
 def _counting() -> list[Column]:

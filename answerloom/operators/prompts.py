@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.columns import CORPUS, Corpus
-from answerloom.functions.seeding import hash32
+from answerloom.functions.seeding import hash60
 from answerloom.functions.templates import chat_messages, plain_layout, render
 from answerloom.functions.text import count_words, safe_text, word_bounds
 from answerloom.operators.corpus import with_human_answer
@@ -70,7 +70,7 @@ def random_other_answer(
     lend = lend or {}
     keep = list(dict.fromkeys([*ids, *carry, answer, *lend]))
     ranked = seeded_positions(df.select(*keep), seed, ids, ["split"], "_rank", counting=has_answer, total="_pool")
-    ticket = hash32(seed, F.col("split"), F.col("row_id"), F.col("prompt_name"), "random_human")
+    ticket = hash60(seed, F.col("split"), F.col("row_id"), F.col("prompt_name"), "random_human")
     among_others = F.pmod(ticket, F.greatest(F.col("_pool") - 1, F.lit(1)))
     among_all = F.pmod(ticket, F.greatest(F.col("_pool"), F.lit(1)))
     drawn = (

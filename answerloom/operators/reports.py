@@ -23,7 +23,7 @@ from answerloom.functions.text import (
     truncate,
 )
 from answerloom.operators.corpus import texts_of, with_human_answer
-from answerloom.operators.flatten import flatten, pair_examples
+from answerloom.operators.flatten import flatten, paired
 from answerloom.operators.sampling import first_n, sample_rows
 
 _TEXT = "array<string>"
@@ -189,19 +189,34 @@ def input_report(
     audit: Callable[[Column], Column] | None = None,
     names: Corpus = CORPUS,
 ) -> DataFrame:
-    """Lines ``(ai_column, sample_no, line_no, line)``: exact classifier texts of sampled pairs.
+    """Lines ``(ai_column, sample_no, label, line_no, line)``: exact classifier texts of sampled pairs.
 
-    Sampling comes before tokenizing, so the tokenizer sees only the rows shown.
+    Ordered by these columns they read as a report: per AI column a heading (sample -1) with the number of pairs there
+    are and one line for each sampled row, then the human and the AI example of each row. Sampling comes before
+    tokenizing, so the tokenizer sees only the rows shown. A column without any pair is an error.
     """
     if max_length <= 0 or max_tokens_shown <= 0:
         raise ValueError("max_length and max_tokens_shown must be positive.")
     rows = df.where(F.col(names.split) == split)
-    parts = []
+    available = paired(rows, ai_columns, seed, [], names=names)
+    counts = {r["ai_column"]: r["count"] for r in available.groupBy("ai_column").count().collect()}
+    empty = [c for c in ai_columns if not counts.get(c)]
+    if empty:
+        raise ValueError(f"No complete human and AI pair in split {split} for {', '.join(empty)}.")
+    parts, heads, sampled_lines = [], [], []
     for column in ai_columns:
         examples = flatten(rows, [column], seed, text_mode, window_words, names)
-        pairs = sample_rows(pair_examples(examples, ["text"]).select("split", "row_id"), k, seed)
-        # At most k pairs are sampled, so the key list may be broadcast.
-        parts.append(examples.join(F.broadcast(pairs) if k <= 10_000 else pairs, ["split", "row_id"], "left_semi"))
+        of_column = available.where(F.col("ai_column") == column).select("split", "row_id")
+        pairs = sample_rows(of_column, k, seed)
+        parts.append(examples.join(pairs, ["split", "row_id"], "left_semi"))
+        fixed = [f"AI column: {column}", f"Split: {split}", f"Paired rows available: {counts[column]:,}"]
+        heads += [(column, i, line) for i, line in enumerate(fixed)]
+        listed = pairs.select(
+            F.lit(column).alias("ai_column"),
+            (F.col("row_id") + len(fixed)).alias("line_no"),
+            F.concat(F.lit("Sampled row: "), "row_id").alias("line"),
+        )
+        sampled_lines.append(listed)
     sampled = parts[0]
     for part in parts[1:]:
         sampled = sampled.unionByName(part)
@@ -258,9 +273,17 @@ def input_report(
         ),
     )
     facts = facts.withColumn("_repr", _python_repr(text))
-    return facts.select(
-        "ai_column", F.col("row_id").alias("sample_no"), "label", F.posexplode(lines).alias("line_no", "line")
-    ).select("ai_column", "sample_no", (F.col("label") * 1000 + F.col("line_no")).alias("line_no"), "line")
+    body = facts.select(
+        "ai_column",
+        F.col("row_id").alias("sample_no"),
+        F.col("label").cast("int").alias("label"),
+        F.posexplode(lines).alias("line_no", "line"),
+    )
+    head = df.sparkSession.createDataFrame(heads, "ai_column string, line_no long, line string")
+    for listed in sampled_lines:
+        head = head.unionByName(listed)
+    head = head.select("ai_column", F.lit(-1).cast("long").alias("sample_no"), F.lit(-1).alias("label"), "line_no", "line")
+    return head.unionByName(body.withColumn("line_no", F.col("line_no").cast("long")))
 
 
 def pilot_rows(generated: DataFrame, model_name: str) -> DataFrame:

@@ -23,8 +23,6 @@ _KEY, _BUCKET, _BEFORE = "_order_key", "_bucket", "_before"
 BUCKET_DIGITS = 4
 # Where offsets of several groups are broadcast, fewer buckets keep them small.
 GROUPED_DIGITS = 3
-# A sorted limit sends this many rows of every task to one task, so it must stay small.
-SMALL_SAMPLE = 100
 # Parts in which the first rows of a group are looked for before the last choice.
 FIRST_N_PARTS = 64
 
@@ -45,7 +43,8 @@ def seeded_positions(
     ``ids`` must identify a row. ``below`` keeps only positions under it, dropping whole
     buckets before the shuffle. ``counting`` numbers only the rows where it holds and gives
     null to the others. ``total`` names a column for the number of numbered rows of the group.
-    ``by`` is for few groups, such as splits or AI columns.
+    ``by`` is for few groups, such as splits or AI columns. With ``by`` and ``below`` the digest gives one digit
+    less for buckets, as one set of offsets per group is broadcast; positions don't depend on the number of digits.
     """
     by = list(by)
     if digits is None:
@@ -154,10 +153,7 @@ def sample_rows(df: DataFrame, k: int, seed: int, ids: Sequence[str] = ("split",
     """``k`` seeded rows, or all if there are fewer; order the result as needed."""
     if k <= 0:
         raise ValueError("The sample size must be positive.")
-    if k > SMALL_SAMPLE:
-        return seeded_positions(df, seed, ids, out="_position", below=k).drop("_position")
-    keyed = df.withColumn(_KEY, order_key(seed, *[F.col(c) for c in ids]))
-    return keyed.orderBy(_KEY, *ids).limit(k).drop(_KEY)
+    return seeded_positions(df, seed, ids, out="_position", below=k).drop("_position")
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -30,7 +31,14 @@ from answerloom.operators.generation import (
     scalar_answer,
     with_settings,
 )
-from answerloom.operators.learning import TrainParams, evaluate_saved, fit, predict, size_sweep
+from answerloom.operators.learning import (
+    TrainParams,
+    evaluate_saved,
+    fit_tokenized,
+    predict,
+    predict_tokenized,
+    tokenized,
+)
 from answerloom.operators.lengths import length_cap, length_frequencies, length_histogram, length_stats
 from answerloom.operators.prompts import (
     GenerationDefaults,
@@ -40,27 +48,56 @@ from answerloom.operators.prompts import (
     prompt_grid,
 )
 from answerloom.operators.reports import guided_rows, pilot_rows
-from answerloom.operators.sampling import subsample, sweep_sizes, train_eval_split
+from answerloom.operators.sampling import seeded_positions, subsample, sweep_sizes, train_eval_split
 from answerloom.session import stage
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger, sinks
-from answerloom.sources.generations import pending, write_records
+from answerloom.sources.generations import pending, records, write_records
 from answerloom.sources.prompts import PromptSpec, select_specs, specs_frame
 
 # Evaluation order of a shuffled set, and of one left as it is.
 TRAINING_ORDER = ("eval_order", "example_id")
 NATURAL_ORDER = ("split", "row_id", "label")
 
+# Columns of the result files, in the order that readers of these files expect.
 SOURCE_CSV = (
-    "source n accuracy balanced_accuracy macro_f1 human_n human_precision human_recall human_f1 "
-    "ai_n ai_precision ai_recall ai_f1 predicted_human_n predicted_ai_n"
-).split()
-SOURCE_ACCURACY_CSV = "source n accuracy human_n human_accuracy ai_n ai_accuracy".split()
-LENGTH_CSV = "answer_column n min mean median p90 p95 p99 max".split()
+    "source",
+    "n",
+    "accuracy",
+    "balanced_accuracy",
+    "macro_f1",
+    "human_n",
+    "human_precision",
+    "human_recall",
+    "human_f1",
+    "ai_n",
+    "ai_precision",
+    "ai_recall",
+    "ai_f1",
+    "predicted_human_n",
+    "predicted_ai_n",
+)
+SOURCE_ACCURACY_CSV = ("source", "n", "accuracy", "human_n", "human_accuracy", "ai_n", "ai_accuracy")
+LENGTH_CSV = ("answer_column", "n", "min", "mean", "median", "p90", "p95", "p99", "max")
+SIZE_SCHEMA = (
+    "size_key string, status string, train_rows long, eval_examples long, eval_accuracy double, "
+    "eval_balanced_accuracy double, eval_precision double, eval_recall double, eval_f1 double, eval_loss double, "
+    "eval_column string, run_output_dir string"
+)
 SIZE_CSV = (
-    "size_key status train_rows eval_examples eval_accuracy eval_balanced_accuracy eval_precision "
-    "eval_recall eval_f1 eval_loss"
-).split()
+    "size_key",
+    "status",
+    "train_rows",
+    "eval_column",
+    "eval_examples",
+    "eval_accuracy",
+    "eval_balanced_accuracy",
+    "eval_precision",
+    "eval_recall",
+    "eval_f1",
+    "eval_loss",
+    "run_output_dir",
+)
 
 
 def create_subset(
@@ -92,7 +129,7 @@ def create_subset(
         **asdict(names),
     }
     files.write_small(df.sparkSession, f"{out}/subset_config.json", json.dumps(config, indent=2))
-    return df.sparkSession.read.parquet(f"{out}/data")
+    return files.read_partitioned(df.sparkSession, f"{out}/data", names.split)
 
 
 def augment(
@@ -114,10 +151,17 @@ def augment(
     run_id: str | None = None,
     overwrite: bool = False,
     names: Corpus = CORPUS,
+    prefix: str = "ai",
+    chat: bool = False,
 ) -> DataFrame:
     """Add one generated column per prompt style and publish the result as a new version.
 
-    The generator factory takes no argument, or one: the generation values of each prompt style.
+    The generator factory takes no argument, or one: the generation values of each prompt style. With ``chat`` the
+    generator gets lists of messages (role and content) in place of plain texts, for models with a chat template;
+    the prompts that are kept are what was sent, messages as JSON.
+
+    Only the target splits take new values, and only they are written: a column that another split filled before is
+    kept there, and a conflict is an answer in the target splits.
     If ``out`` holds a corpus, columns are added to that one, unless ``overwrite`` is set. Answers go
     to a durable table first; a run started again under the same ``run_id`` generates only what is missing.
     """
@@ -129,7 +173,7 @@ def augment(
     rows = C.resolve_splits(df, splits, names)
     C.require_columns(rows, [names.question])
     tasks = plan_tasks(
-        df, select_specs(specs, prompt_names), model_name, model_alias, "ai", save_prompts, on_conflict, names
+        rows, select_specs(specs, prompt_names), model_name, model_alias, prefix, save_prompts, on_conflict, names
     )
     if not tasks:
         return df
@@ -144,30 +188,31 @@ def augment(
     if not files.exists(spark, f"{prompt_store}/_SUCCESS"):
         made = build_prompts(rows, chosen, seed, names, staged=True)
         made.write.mode("overwrite").partitionBy("prompt_name").parquet(prompt_store)
-    prompts = pending(spark.read.parquet(prompt_store), store)
+    prompts = pending(records(spark, prompt_store), store)
     for task in tasks:
         # Each part is committed when done, so a stopped run loses one part at most.
         for part in range(parts):
             todo = prompts.where(F.col("prompt_name") == task.prompt_name)
             todo = todo.where(F.pmod(hash32("part", F.col("split"), F.col("row_id")), F.lit(parts)) == part)
-            made = generate(todo.drop("messages"), factory, batch_size, partitions=partitions)
+            todo = todo if chat else todo.drop("messages")
+            made = generate(todo, factory, batch_size, "messages" if chat else "prompt", partitions)
             write_records(
                 made.select(
                     "split",
                     "row_id",
                     "prompt_name",
-                    "prompt",
+                    (F.to_json("messages") if chat else F.col("prompt")).alias("prompt"),
                     "answers",
                     F.lit(0).alias("rank"),
                     F.lit(0).cast("long").alias("line_no"),
                 ),
                 store,
             )
-    stored = spark.read.parquet(store)
+    stored = records(spark, store)
     many = max(sequences.values()) > 1
     answers = stored.withColumn("answer", F.col("answers") if many else scalar_answer(F.col("answers"), 1))
     check_complete(rows, answers, [t.prompt_name for t in tasks], names)
-    merged = merge_generations(df, answers, tasks, names)
+    merged = merge_generations(df, answers, tasks, names, splits)
     if many:
         single = {
             t.answer_column: F.get(t.answer_column, F.lit(0)) for t in tasks if sequences[t.prompt_name] == 1
@@ -184,7 +229,8 @@ def augment(
         "seed": seed,
         **asdict(defaults),
     }
-    tables.publish(merged, out, {"run_id": run_id, **config}, "append", names)
+    known = None if overwrite or not splits else list(splits)
+    tables.publish(merged, out, {"run_id": run_id, **config}, "append", names, known)
     ledger.append_run(spark, f"{out}/runs", out, config, run_id)
     return tables.load(spark, out, names)
 
@@ -258,18 +304,19 @@ def train_and_evaluate(
     examples = classification_examples(df, columns, params.seed, text_mode, window_words, max_samples, names)
     require_examples(examples, columns, splits)
     spark = df.sparkSession
+    folders = {c: f"{out}/{sanitize_name(c, 'ai_column')}" for c in columns}
+    open_ = [c for c in columns if tables.may_write(spark, folders[c], policy)]
+    if not open_:
+        return spark.createDataFrame([], "ai_column string")
+    # The corpus is flattened and tokenized once; every fit and every score reads its own folder of that.
+    data = stage(tokenized(examples.where(F.col("ai_column").isin(open_)), params), "ai_column")
     predictions = None
-    for column in columns:
-        folder = f"{out}/{sanitize_name(column, 'ai_column')}"
-        if not tables.may_write(spark, folder, policy):
-            continue
-        of_column = examples.where(F.col("ai_column") == column)
-        model = fit(of_column.where(F.col("split") == splits[0]), params)
-        model.write().overwrite().save(f"{folder}/model")
-        scored = predict(model, of_column.where(F.col("split") == splits[1]), params)
+    for column in open_:
+        own = data.where(F.col("ai_column") == column)
+        model = fit_tokenized(own.where(F.col("split") == splits[0]), params)
+        model.write().overwrite().save(f"{folders[column]}/model")
+        scored = predict_tokenized(model, own.where(F.col("split") == splits[1]))
         predictions = scored if predictions is None else predictions.unionByName(scored)
-    if predictions is None:
-        return spark.createDataFrame([], "ai_column string")
     return write_eval_bundle(predictions, f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}", all_rows=all_rows)
 
 
@@ -301,6 +348,9 @@ def evaluate_checkpoint(
         return evaluate_saved(model_path, examples, params)
     if not tables.may_write(df.sparkSession, out, policy):
         return df.sparkSession.read.json(f"{out}/eval_logs/metrics")
+    for used in [model_path, *df.inputFiles()[:1]]:
+        if files.inside(df.sparkSession, used, out):
+            raise ValueError(f"{out} holds {used}, which this evaluation reads; choose another output folder.")
     files.clear(df.sparkSession, out)
     config = {
         "checkpoint": model_path,
@@ -327,24 +377,55 @@ def sweep_train_sizes(
     text_mode: str = "answer",
     window_words: int | None = None,
     out: str | None = None,
+    policy: str = "error",
     names: Corpus = CORPUS,
 ) -> DataFrame:
-    """Metrics of classifiers trained on nested subsets of the train rows."""
+    """Metrics of classifiers trained on nested subsets of the train rows, one row per size.
+
+    With ``out`` each size gets a folder with its model, its evaluation bundle and its metric row, and the table of
+    all sizes is written anew after each one. A size whose folder is already there follows the policy: refused, run
+    again, or skipped, so that a stopped sweep goes on under ``skip``; its row then has the status ``skipped`` and
+    the metrics of the earlier run.
+    """
     columns = C.listed([ai_column])
     if len(columns) != 1:
         raise ValueError("The size sweep trains exactly one AI column.")
     columns = C.resolve_ai_columns(df, columns, splits, names=names)
+    spark = df.sparkSession
     sizes = sweep_sizes(sizes, df.where(F.col(names.split) == splits[0]).count())
-    examples = classification_examples(df, columns, params.seed, text_mode, window_words, None, names)
-    train, tested = (examples.where(F.col("split") == s) for s in splits)
     rows = df.where(F.col(names.split) == splits[0]).select(
         F.col(names.split).alias("split"), F.col(names.row_id).alias("row_id")
     )
-    result = size_sweep(train, tested, rows, sizes, params)
-    if out:
-        sinks.write_csv(result.orderBy("train_rows"), f"{out}/size_metrics", SIZE_CSV)
-        sinks.write_json(M.size_chart(result), f"{out}/size_chart")
-    return result
+    folders = {size: f"{out}/train_rows_{size}" for size in sizes} if out else {}
+    open_ = [s for s in sizes if not out or tables.may_write(spark, folders[s], policy)]
+    examples = classification_examples(df, columns, params.seed, text_mode, window_words, None, names)
+    # One tokenized table, with the place of each train row in the permutation that all sizes share.
+    place = seeded_positions(rows, params.seed, ["split", "row_id"], out="_place", below=max(sizes))
+    data = stage(tokenized(examples, params).join(place, ["split", "row_id"], "left"))
+    tested = data.where(F.col("split") == splits[1])
+    done: dict[int, DataFrame] = {}
+    for size in sizes:
+        folder = folders.get(size)
+        if size not in open_:
+            done[size] = spark.read.schema(SIZE_SCHEMA).json(f"{folder}/metric_row").withColumn("status", F.lit("skipped"))
+            continue
+        model = fit_tokenized(data.where((F.col("split") == splits[0]) & (F.col("_place") < size)), params)
+        scored = stage(predict_tokenized(model, tested).withColumn("train_rows", F.lit(size).cast("long")))
+        row = M.sweep_metrics(scored, [size]).withColumns(
+            {"eval_column": F.lit(columns[0]), "run_output_dir": F.lit(folder).cast("string")}
+        )
+        done[size] = stage(row)
+        if out:
+            files.clear(spark, folder)
+            model.write().overwrite().save(f"{folder}/model")
+            write_eval_bundle(scored.drop("train_rows", "_place"), f"{folder}/eval_logs")
+            done[size].coalesce(1).write.mode("overwrite").json(f"{folder}/metric_row")
+            table = reduce(DataFrame.unionByName, done.values())
+            files.clear(spark, f"{out}/size_metrics")
+            files.clear(spark, f"{out}/size_chart")
+            sinks.write_csv(table.orderBy("train_rows"), f"{out}/size_metrics", SIZE_CSV)
+            sinks.write_json(M.size_chart(table), f"{out}/size_chart")
+    return reduce(DataFrame.unionByName, done.values())
 
 
 def profile_lengths(
@@ -373,30 +454,62 @@ def profile_lengths(
 
 
 def pilot_grid(
-    questions: DataFrame, specs: Sequence[PromptSpec], make_generator: GeneratorFactory, model_name: str, batch_size: int = 8
+    questions: DataFrame,
+    specs: Sequence[PromptSpec],
+    make_generator: GeneratorFactory,
+    model_name: str,
+    batch_size: int = 8,
+    out: str | None = None,
+    parts: int = 1,
 ) -> DataFrame:
-    """Every question in every prompt style, retried once where the output is bad."""
+    """Every question in every prompt style, retried once where the output is bad.
+
+    With ``out`` the results are kept there: only questions and styles without a result are generated, in ``parts``
+    that are saved one by one, so a stopped pilot goes on and a second one makes no call.
+    """
     cases = F.lit(None).cast("string")
     for spec in specs:
         text = render(spec.user, {"question": F.col("question")})
         cases = F.when(F.col("prompt_name") == spec.name, text).otherwise(cases)
     grid = prompt_grid(questions, [s.name for s in specs]).withColumn("prompt", cases)
-    return pilot_rows(generate_with_retry(grid, make_generator, batch_size=batch_size), model_name)
+
+    def run(todo: DataFrame) -> DataFrame:
+        return pilot_rows(generate_with_retry(todo, make_generator, batch_size=batch_size), model_name)
+
+    return run(grid) if out is None else saved_in_parts(grid, run, out, parts)
 
 
 def guided_pilot(
-    pairs: DataFrame, spec: PromptSpec, make_generator: GeneratorFactory, model_name: str, max_new_tokens: int = 180, batch_size: int = 8
+    pairs: DataFrame,
+    spec: PromptSpec,
+    make_generator: GeneratorFactory,
+    model_name: str,
+    max_new_tokens: int = 180,
+    batch_size: int = 8,
+    out: str | None = None,
+    parts: int = 1,
 ) -> DataFrame:
-    """Questions with a human answer as style reference, retried once under the strict rules."""
+    """Questions with a human answer as style reference, retried once under the strict rules; see ``pilot_grid``."""
     fields = {"question": F.col("question"), "human_answer": F.col("human_answer")}
     grid = prompt_grid(pairs, [spec.name]).withColumn("prompt", render(spec.user, fields))
-    made = generate_with_retry(grid, make_generator, is_bad_strict, batch_size)
-    return guided_rows(made, model_name, max_new_tokens)
 
+    def run(todo: DataFrame) -> DataFrame:
+        made = generate_with_retry(todo, make_generator, is_bad_strict, batch_size)
+        return guided_rows(made, model_name, max_new_tokens)
+
+    return run(grid) if out is None else saved_in_parts(grid, run, out, parts)
 
-def incremental_save(results: DataFrame, path: str, key: str = "question_id") -> None:
-    """Append results that are not saved yet, so a long pilot can stop and go on."""
-    spark: SparkSession = results.sparkSession
-    if not files.is_empty(spark, path):
-        results = results.join(spark.read.parquet(path).select(key, "prompt_style"), [key, "prompt_style"], "left_anti")
-    results.write.mode("append").parquet(path)
+
+def saved_in_parts(
+    grid: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, parts: int = 1, key: str = "question_id"
+) -> DataFrame:
+    """Results of all prompts of a grid; those that ``path`` lacks are made and appended, part by part."""
+    spark: SparkSession = grid.sparkSession
+    part_of = F.pmod(hash32("part", F.col(key), F.col("prompt_name")), F.lit(parts))
+    for part in range(parts):
+        todo = grid.where(part_of == part)
+        if files.exists(spark, path) and "_SUCCESS" in files.child_names(spark, path):
+            done = spark.read.parquet(path).select(key, F.col("prompt_style").alias("prompt_name"))
+            todo = todo.join(done, [key, "prompt_name"], "left_anti")
+        run(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

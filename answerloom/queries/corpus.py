@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.text import safe_text
 from answerloom.operators import corpus as C
-from answerloom.operators.flatten import flatten, flatten_counts, pair_examples
+from answerloom.operators.flatten import flatten, flatten_counts, paired
 from answerloom.queries import sql as q
 from answerloom.queries.registry import query
 from answerloom.queries.views import AI_COLUMNS, QA, SEED, qa
@@ -155,4 +155,4 @@ def flatten_totals(spark, sf_dir):
         WHERE h.author_type = 'human' AND a.author_type = 'ai'""",
 )
 def paired_examples(spark, sf_dir):
-    return pair_examples(flat_examples(spark, sf_dir, "answer"), ["answer"])
+    return paired(qa(spark, sf_dir), AI_COLUMNS, SEED, ["answer"], "answer", WINDOW)

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from answerloom.functions.seeding import hash32
 from answerloom.operators import metrics as M
 from answerloom.operators.sampling import size_subsets
 from answerloom.queries import sql as q
+from answerloom.queries.corpus import FLAT, flat_examples
 from answerloom.queries.registry import query
 from answerloom.queries.views import MODEL_COLUMNS, SCORED, SEED, documents, rounded, scored, table
 
@@ -250,4 +252,23 @@ def misclassified_top(spark, sf_dir):
 def all_predictions(spark, sf_dir):
     made = scored(spark, sf_dir).drop("source")
     examples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "source")
-    return rounded(M.prediction_rows(M.attach_predictions(examples, made)))
+    examples = examples.join(made.select("example_id"), "example_id", "left_semi")
+    return rounded(M.prediction_rows(M.attach_predictions(examples, made, ["example_id"])))
+
+
+_DRAWN = {"logit_human": "'human'", "logit_ai": "'ai'"}
+
+
+@query(
+    "attached_examples",
+    f"""WITH {FLAT} SELECT example_id, ai_column, author_type, label::BIGINT AS label, source,
+        {', '.join(f"{q.hash32('example_id', 'ai_column', side)} % 1000 / 100.0 AS {c}" for c, side in _DRAWN.items())}
+        FROM flat""",
+)
+def attached_examples(spark, sf_dir):
+    """Examples of two AI columns with logits drawn for each; a human example has one id under both columns."""
+    examples = flat_examples(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
+    examples = examples.select("example_id", "ai_column", "author_type", "label", "source")
+    drawn = {c: (hash32(F.col("example_id"), F.col("ai_column"), side.strip("'")) % 1000) / 100.0 for c, side in _DRAWN.items()}
+    predictions = examples.select("example_id", "ai_column", *[value.alias(c) for c, value in drawn.items()])
+    return M.attach_predictions(examples, predictions.repartition(F.col("example_id")))

@@ -43,7 +43,7 @@ ranked AS (
     ORDER BY {order_sql('split', 'row_id')}, split, row_id) - 1 END AS rank FROM pool),
 styles(prompt_name) AS (VALUES {', '.join(f"('{n}')" for n in NAMES)}),
 tickets AS (
-  SELECT *, {q.hash32(str(SEED), 'split', 'row_id', 'prompt_name', "'random_human'")} AS ticket FROM ranked, styles),
+  SELECT *, {q.hash60(str(SEED), 'split', 'row_id', 'prompt_name', "'random_human'")} AS ticket FROM ranked, styles),
 drawn AS (
   SELECT *, CASE WHEN pool_n = 0 THEN NULL WHEN rank IS NULL THEN ticket % pool_n WHEN pool_n = 1 THEN 0
     ELSE ticket % (pool_n - 1) + (CASE WHEN ticket % (pool_n - 1) >= rank THEN 1 ELSE 0 END) END AS target
@@ -188,6 +188,22 @@ def merge_generations(spark, sf_dir):
     return G.merge_generations(rows, generations(spark, sf_dir), tasks)
 
 
+@query(
+    "merge_one_split",
+    f"""WITH {QA}, {GENERATIONS} SELECT qa.row_id, qa.split,
+          CASE WHEN qa.split = 'eval' THEN p.answer ELSE 'before ' || qa.row_id END AS ai_stub_plain,
+          CASE WHEN qa.split = 'eval' THEN c.answer END AS ai_stub_casual FROM qa
+        LEFT JOIN latest p ON p.split = qa.split AND p.row_id = qa.row_id AND p.prompt_name = 'plain'
+        LEFT JOIN latest c ON c.split = qa.split AND c.row_id = qa.row_id AND c.prompt_name = 'casual'""",
+)
+def merge_one_split(spark, sf_dir):
+    """One split overwritten, the answers of the other one kept; a new column filled in one split only."""
+    rows = qa(spark, sf_dir).select("split", "row_id", F.concat(F.lit("before "), "row_id").alias("ai_stub_plain"))
+    specs = {s.name: s for s in EXAMPLE_SPECS}
+    tasks = [G.Task(specs["plain"], "ai_stub_plain"), G.Task(specs["casual"], "ai_stub_casual")]
+    return G.merge_generations(rows, generations(spark, sf_dir), tasks, splits=["eval"])
+
+
 @query(
     "missing_answers",
     f"""WITH {QA}, {GENERATIONS}, styles(prompt_name) AS (VALUES {', '.join(f"('{n}')" for n in STUB_PROMPTS)})

@@ -163,10 +163,10 @@ def retry_once(spark, sf_dir):
           AS overlap FROM w""",
 )
 def word_overlap(spark, sf_dir):
-    from answerloom.operators.flatten import flatten, pair_examples
+    from answerloom.operators.flatten import paired
     from answerloom.queries.views import AI_COLUMNS
 
-    pairs = pair_examples(flatten(qa(spark, sf_dir), AI_COLUMNS, SEED), ["answer"])
+    pairs = paired(qa(spark, sf_dir), AI_COLUMNS, SEED, ["answer"])
     worded = pairs.select(
         "row_id",
         "ai_column",

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from answerloom.operators import metrics as M
-from answerloom.operators.learning import TrainParams, evaluate_models, fit_per_column
+from answerloom.operators.learning import TrainParams, evaluate_models, fit_per_column, tokenized
 from answerloom.plans.flows import classification_examples
+from answerloom.queries import sql as q
+from answerloom.queries.corpus import FLAT, flat_examples
 from answerloom.queries.registry import query
 from answerloom.queries.views import AI_COLUMNS, SEED, qa, rounded, table
 from answerloom.sources.ledger import latest_runs
@@ -26,6 +28,22 @@ def latest_run(spark, sf_dir):
     return latest_runs(runs)
 
 
+@query(
+    "training_totals",
+    f"""WITH {FLAT}, cut AS (SELECT split, ai_column, label, row_id, {q.words("lower('Question: ' || question || chr(10) || chr(10) || 'Answer: ' || answer)")}[1:256] AS tokens FROM flat)
+        SELECT split, ai_column, label::BIGINT AS label, count(*) AS n_examples, sum(len(tokens))::BIGINT AS n_tokens,
+          sum(len(list_distinct(tokens)))::BIGINT AS n_terms FROM cut GROUP BY split, ai_column, label""",
+)
+def training_totals(spark, sf_dir):
+    """What the classifiers learn from: examples, tokens and distinct terms per example, by split, column and label."""
+    data = tokenized(flat_examples(spark, sf_dir))
+    return data.groupBy("split", "ai_column", F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias("n_examples"),
+        F.sum(F.size("tokens")).alias("n_tokens"),
+        F.sum(F.size(F.array_distinct("tokens"))).alias("n_terms"),
+    )
+
+
 @query("train_per_column")
 def train_per_column(spark, sf_dir):
     """Train on the train split, then evaluate every model on every AI column of the eval split."""

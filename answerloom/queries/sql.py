@@ -25,13 +25,17 @@ def one_text(x: str) -> str:
 
 
 def key(*parts: str) -> str:
-    return "concat_ws(':', " + ", ".join(f"({p})::VARCHAR" for p in parts) + ")"
+    return "concat_ws(':', " + ", ".join(f"coalesce(({p})::VARCHAR, chr(9216))" for p in parts) + ")"
 
 
 def hash32(*parts: str) -> str:
     return f"('0x' || substr(md5({key(*parts)}), 1, 8))::BIGINT"
 
 
+def hash60(*parts: str) -> str:
+    return f"('0x' || substr(md5({key(*parts)}), 1, 15))::BIGINT"
+
+
 def words(x: str) -> str:
     """Whitespace words of a text."""
     return f"regexp_extract_all({x}, '{NOT_WS}+')"
@@ -61,4 +65,4 @@ def ratio(part: str, whole: str) -> str:
     return f"(CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / ({whole}) ELSE 0.0 END)"
 
 
-__all__ = ["WS", "bounds", "hash32", "key", "lexical", "n_words", "one_text", "ratio", "safe", "strip", "texts", "words"]
+__all__ = ["WS", "bounds", "hash32", "hash60", "key", "lexical", "n_words", "one_text", "ratio", "safe", "strip", "texts", "words"]

@@ -9,7 +9,7 @@ from answerloom.operators.reports import input_facts, truncated_tokens
 from answerloom.queries import sql as q
 from answerloom.queries.corpus import FLAT, flat_examples
 from answerloom.queries.registry import query
-from answerloom.queries.views import SEED, documents, spread, table
+from answerloom.queries.views import SEED, documents, table
 
 WINDOW = 40
 CUT = 120
@@ -89,7 +89,7 @@ def _sanitize_sql(x: str, fallback: str) -> str:
         FROM pages""",
 )
 def sanitize_names(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select(
         "page_id",
         sanitize(F.col("url")).alias("url_name"),

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.queries import sql as _sql
-from answerloom.session import spread
 
 SEED = 42
 AI_COLUMNS = ["ai_m1_basic", "ai_m1_guided"]
@@ -32,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,24 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and go on from there.
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and go on from there, with one folder per value of ``by`` if given.
 
     The lineage ends there, so a lost executor costs no recomputation. The staged table is columnar:
     later passes read only the columns they use, and the planner knows its size.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Re-split a scan that has fewer splits than the session has cores.
-
-    A single small file arrives as one task; a scan of any size worth a cluster
-    already has more splits than cores and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,26 @@ def load(spark: SparkSession, path: str, names: Corpus = CORPUS) -> DataFrame:
     """A saved corpus: the current version of a versioned folder, or plain parquet."""
     if not files.exists(spark, path):
         raise FileNotFoundError(f"Dataset directory not found: {path}")
-    if files.exists(spark, f"{path}/{POINTER}"):
-        path = f"{path}/{files.read_small(spark, f'{path}/{POINTER}').strip()}"
-    return normalize(spark.read.parquet(path), names)
+    if not files.exists(spark, f"{path}/{POINTER}"):
+        return normalize(files.read_partitioned(spark, path, names.split), names)
+    version = files.read_small(spark, f"{path}/{POINTER}").strip()
+    whole = None
+    for folder, splits in folders_of(spark, path, version).items():
+        part = files.read_partitioned(spark, f"{path}/{folder}", names.split)
+        part = part if splits is None else part.where(F.col(names.split).isin(splits))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return normalize(whole, names)
+
+
+def folders_of(spark: SparkSession, path: str, version: str) -> dict[str, list[str] | None]:
+    """Folders that make up a version, with the splits that each one gives (None: all of them)."""
+    manifest = f"{path}/metadata/{version.split('/')[-1]}.splits.json"
+    if not files.exists(spark, manifest):
+        return {version: None}
+    folders: dict[str, list[str] | None] = {}
+    for split, folder in sorted(json.loads(files.read_small(spark, manifest)).items()):
+        folders[folder] = [*(folders.get(folder) or []), split]
+    return folders
 
 
 def load_published(
@@ -59,7 +78,7 @@ def snapshot(df: DataFrame, path: str, policy: str = "error", names: Corpus = CO
     if not may_write(spark, path, policy):
         return None
     normalize(df, names).write.mode("overwrite").partitionBy(names.split).parquet(path)
-    return split_counts(spark.read.parquet(path), names)
+    return split_counts(files.read_partitioned(spark, path, names.split), names)
 
 
 def require_versioned(spark: SparkSession, path: str) -> None:
@@ -70,13 +89,19 @@ def require_versioned(spark: SparkSession, path: str) -> None:
 
 
 def publish(
-    df: DataFrame, path: str, metadata: dict[str, Any] | None = None, policy: str = "append", names: Corpus = CORPUS
+    df: DataFrame,
+    path: str,
+    metadata: dict[str, Any] | None = None,
+    policy: str = "append",
+    names: Corpus = CORPUS,
+    changed: Sequence[str] | None = None,
 ) -> str:
     """Write a new version and then move the pointer to it.
 
     Readers hold on to a whole version at any time: the old one until the small pointer file is
     replaced in one rename, so a failed write changes nothing, and a job may read the version it
-    replaces. Returns the folder of the version.
+    replaces. With ``changed`` only these splits are written; the others stay where the version before
+    has them, and a manifest names the folder of each split. Returns the folder of the version.
     """
     spark = df.sparkSession
     if policy != "append" and not may_write(spark, path, policy):
@@ -86,12 +111,29 @@ def publish(
     taken = [n for n in files.child_names(spark, f"{path}/versions") if n.startswith("v")]
     number = 1 + max((int(n[1:9]) for n in taken), default=0)
     version = f"versions/v{number:08d}-{uuid.uuid4().hex[:8]}"
-    normalize(df, names).write.mode("errorifexists").partitionBy(names.split).parquet(f"{path}/{version}")
+    rows = normalize(df, names)
+    kept: dict[str, str] = {}
+    if changed is not None and files.exists(spark, f"{path}/{POINTER}"):
+        before = files.read_small(spark, f"{path}/{POINTER}").strip()
+        for folder, splits in folders_of(spark, path, before).items():
+            kept |= {s: folder for s in (written_splits(spark, f"{path}/{folder}", names) if splits is None else splits)}
+        kept = {s: folder for s, folder in kept.items() if s not in changed}
+        rows = rows.where(F.col(names.split).isin(list(changed)))
+    rows.write.mode("errorifexists").partitionBy(names.split).parquet(f"{path}/{version}")
+    if kept:
+        here = {s: version for s in written_splits(spark, f"{path}/{version}", names)}
+        files.write_small(spark, f"{path}/metadata/{version.split('/')[1]}.splits.json", json.dumps(kept | here, indent=2))
     if metadata is not None:
         files.write_small(spark, f"{path}/metadata/{version.split('/')[1]}.json", json.dumps(metadata, indent=2))
     files.write_small(spark, f"{path}/{POINTER}", version)
     return f"{path}/{version}"
 
 
+def written_splits(spark: SparkSession, path: str, names: Corpus = CORPUS) -> list[str]:
+    """Splits of a folder, by the names of its partition folders; no file is opened."""
+    mark = f"{names.split}="
+    return [unquote(n[len(mark) :]) for n in files.child_names(spark, path) if n.startswith(mark)]
+
+
 def load_version(spark: SparkSession, path: str) -> str:
     return f"{path}/{files.read_small(spark, f'{path}/{POINTER}').strip()}"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def _path(spark: SparkSession, path: str):
@@ -52,3 +53,21 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
 
 def read_small(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_partitioned(spark: SparkSession, path: str, *texts: str) -> DataFrame:
+    """A parquet folder whose partition columns named in ``texts`` stay text.
+
+    Without a schema a folder named split=01 would come back as the number 1.
+    """
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def inside(spark: SparkSession, path: str, folder: str) -> bool:
+    """Whether a path is a folder or lies in it."""
+    p, fs, _ = _path(spark, path)
+    parent, _, _ = _path(spark, folder)
+    inner, outer = (fs.makeQualified(x).toUri().getPath().rstrip("/") + "/" for x in (p, parent))
+    return inner.startswith(outer)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from answerloom.functions.text import safe_text
 from answerloom.sources import files
 
+# Bits for the lines that one task reads; a file may then be 32 GiB long.
+BLOCK_LINES = 28
 RECORD_SCHEMA = (
     "split string, row_id long, prompt_name string, rank int, line_no long, answer string, prompt string"
 )
@@ -31,9 +33,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         F.col("index").alias("row_id"),
         F.regexp_extract(name, pattern, 2).alias("prompt_name"),
         F.regexp_extract(name, pattern, 3).cast("int").alias("rank"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
-        ).alias("line_no"),
+        # A task numbers its lines in order, and a file's blocks are told apart by their start.
+        (F.col("_metadata.file_block_start") * (1 << BLOCK_LINES) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        .alias("line_no"),
         "answer",
         safe_text(F.col("prompt")).alias("prompt"),
     )
@@ -44,10 +46,15 @@ def write_records(generated: DataFrame, path: str) -> None:
     generated.write.mode("append").partitionBy("prompt_name").parquet(path)
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """The durable table, with prompt styles and splits as text."""
+    return files.read_partitioned(spark, path, "prompt_name", "split")
+
+
 def pending(prompts: DataFrame, path: str) -> DataFrame:
     """Prompts without a record yet, so that an interrupted run goes on where it stopped."""
     spark = prompts.sparkSession
     if files.is_empty(spark, path) or "_SUCCESS" not in files.child_names(spark, path):
         return prompts
-    done = spark.read.parquet(path).select("split", "row_id", "prompt_name")
+    done = records(spark, path).select("split", "row_id", "prompt_name")
     return prompts.join(done, ["split", "row_id", "prompt_name"], "left_anti")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from answerloom.functions.seeding import hash32
 from answerloom.operators import metrics as M
 from answerloom.operators.learning import TrainParams
 from answerloom.plans import flows
@@ -51,6 +52,52 @@ def test_augment_appends_columns(spark, subset, tmp_path):
     assert ledger.read_runs(spark, f"{out}/runs").count() == 2
 
 
+def test_augment_one_split_after_the_other(spark, subset, tmp_path):
+    out = str(tmp_path / "aug")
+
+    def says(word):
+        return lambda: lambda prompts, style, attempt: [word] * len(prompts)
+
+    args = dict(out=out, model_name="m", prompt_names=["plain"])
+    flows.augment(subset, EXAMPLE_SPECS, says("one"), splits=["train"], **args)
+    flows.augment(subset, EXAMPLE_SPECS, says("two"), splits=["eval"], **args)
+    train_folder = next(f for f, s in tables.folders_of(spark, out, files.read_small(spark, f"{out}/CURRENT")).items() if s == ["train"])
+    again = flows.augment(subset, EXAMPLE_SPECS, says("three"), splits=["eval"], on_conflict="overwrite", **args)
+    assert {tuple(r) for r in again.select("split", "ai_m_plain").distinct().collect()} == {("train", "one"), ("eval", "three")}
+    assert again.count() == 90
+    now = tables.folders_of(spark, out, files.read_small(spark, f"{out}/CURRENT"))
+    assert now[train_folder] == ["train"] and len(now) == 2  # the other split's files stay where they were
+    with pytest.raises(ValueError, match="Column conflict"):
+        flows.augment(subset, EXAMPLE_SPECS, says("four"), splits=["eval"], **args)
+    same = flows.augment(subset, EXAMPLE_SPECS, says("four"), splits=["eval"], on_conflict="skip", **args)
+    assert {r[0] for r in same.select("ai_m_plain").distinct().collect()} == {"one", "three"}
+
+
+def test_chat_messages_reach_the_generator(spark, subset, tmp_path):
+    def make():
+        def run(prompts, style, attempt):
+            assert all([m["role"] for m in p] == ["system", "user"] for p in prompts)
+            return [p[-1]["content"][:40] for p in prompts]
+
+        return run
+
+    made = flows.augment(
+        subset, EXAMPLE_SPECS, make, str(tmp_path / "aug"), "m", prompt_names=["plain"], chat=True, prefix="bot", save_prompts=True
+    )
+    row = made.first()
+    sent = json.loads(row.prompt_bot_m_plain)
+    assert [m["role"] for m in sent] == ["system", "user"] and row.bot_m_plain == sent[1]["content"][:40].strip()
+
+
+def test_names_of_splits_stay_text(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1), ("02", 2)], "split string, row_id long")
+    tables.snapshot(df, str(tmp_path / "s"))
+    back = tables.load(spark, str(tmp_path / "s"))
+    assert dict(back.dtypes)["split"] == "string" and {r.split for r in back.collect()} == {"01", "02"}
+    draws = lambda d: {r[0] for r in d.select(hash32(1, F.col("split"), F.col("row_id"))).collect()}
+    assert draws(df) == draws(back)
+
+
 def test_generation_values_reach_the_generator(spark, subset, tmp_path):
     def make(settings):
         return lambda prompts, style, attempt: [f"{style} {settings[style]['max_new_tokens']}"] * len(prompts)
@@ -111,6 +158,8 @@ def test_train_save_and_transfer(spark, sf_dir, tmp_path):
     assert wrong.count() == min(200, moved.n - round(moved.accuracy * moved.n)) and "answer_source_column" in wrong.columns
     with pytest.raises(FileExistsError):
         flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], **args)
+    with pytest.raises(ValueError, match="choose another output folder"):
+        flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], policy="overwrite", **{**args, "out": out})
     over = flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_guided"], policy="overwrite", max_eval_samples=10, **args)
     assert over.first().n == 10
     again = flows.evaluate_checkpoint(corpus, f"{out}/ai_m1_basic/model", ["ai_m1_basic"], params=PARAMS, window_words=20).first()
@@ -123,6 +172,15 @@ def test_size_sweep(spark, sf_dir, tmp_path):
     rows = flows.sweep_train_sizes(corpus, "ai_m1_basic", [40, 20, 40], params=PARAMS, out=out).collect()
     assert {(r.train_rows, r.status) for r in rows} == {(20, "completed"), (40, "completed")}
     assert spark.read.option("header", True).csv(f"{out}/size_metrics").count() == 2
+    assert {r.eval_column for r in rows} == {"ai_m1_basic"} and all(r.run_output_dir.startswith(out) for r in rows)
+    assert files.exists(spark, f"{out}/train_rows_20/model") and files.exists(spark, f"{out}/train_rows_40/eval_logs/metrics")
+    with pytest.raises(FileExistsError):
+        flows.sweep_train_sizes(corpus, "ai_m1_basic", [20, 30], params=PARAMS, out=out)
+    on = flows.sweep_train_sizes(corpus, "ai_m1_basic", [20, 40, 30], params=PARAMS, out=out, policy="skip").collect()
+    status = {r.train_rows: (r.status, r.eval_f1) for r in on}
+    assert {k: v[0] for k, v in status.items()} == {20: "skipped", 40: "skipped", 30: "completed"}
+    assert status[20][1] == pytest.approx(next(r.eval_f1 for r in rows if r.train_rows == 20))
+    assert spark.read.option("header", True).csv(f"{out}/size_metrics").count() == 3
     for columns, sizes in (("ai_m1_basic,ai_m1_guided", [5]), ("ai_m1_basic", [100_000])):
         with pytest.raises(ValueError):
             flows.sweep_train_sizes(corpus, columns, sizes, params=PARAMS)
@@ -150,10 +208,24 @@ def test_pilots(spark, tmp_path):
     grid = flows.pilot_grid(questions, specs, StubGenerator, "stub")
     got = {(r.question_id, r.prompt_style): r for r in grid.collect()}
     assert len(got) == 4 and not got[1, "a"].bad_output and got[2, "a"].bad_output
-    path = str(tmp_path / "pilot")
-    flows.incremental_save(grid.where("question_id = 1"), path)
-    flows.incremental_save(grid, path)
-    assert spark.read.parquet(path).count() == 4
+    path, marks = str(tmp_path / "pilot"), tmp_path / "calls"
+    marks.touch()
+
+    def counting():
+        stub = StubGenerator()
+
+        def run(prompts, style, attempt):
+            with open(marks, "a") as log:
+                log.write("x" * len(prompts))
+            return stub(prompts, style, attempt)
+
+        return run
+
+    assert flows.pilot_grid(questions.where("question_id = 1"), specs, counting, "stub", out=path).count() == 2
+    assert flows.pilot_grid(questions, specs, counting, "stub", out=path, parts=3).count() == 4
+    calls = len(marks.read_text())
+    assert flows.pilot_grid(questions, specs, counting, "stub", out=path).count() == 4
+    assert len(marks.read_text()) == calls
 
     pairs = questions.withColumn("human_answer", F.lit("rain is water"))
     guided = flows.guided_pilot(pairs, PromptSpec("g", "{question} / {human_answer}"), StubGenerator, "stub").collect()

@@ -38,6 +38,14 @@ def test_merge_replaces_columns(spark):
     assert merged.columns == ["split", "row_id", "ai_a"] and merged.first().ai_a == "after"
 
 
+def test_merge_of_one_split_keeps_the_others(spark):
+    df = _rows(spark, 2).withColumn("ai_a", F.lit("before"))
+    df = df.unionByName(df.withColumn("split", F.lit("eval")))
+    gen = _records(spark, [("eval", i, p, 0, 0, "after", None) for i in range(2) for p in "ab"])
+    got = {(r.split, r.row_id): (r.ai_a, r.ai_b) for r in G.merge_generations(df, gen, _tasks(), splits=["eval"]).collect()}
+    assert got == {(s, i): (("after", "after") if s == "eval" else ("before", None)) for s in ("train", "eval") for i in range(2)}
+
+
 def test_completeness(spark):
     full = [("train", i, p, 0, 0, "x", None) for i in range(4) for p in "ab"]
     G.check_complete(_rows(spark), _records(spark, full), ["a", "b"])
@@ -50,8 +58,10 @@ def test_completeness(spark):
 
 def test_plan_tasks(spark):
     df = _rows(spark).withColumn("ai_m_a", F.lit("x"))
-    with pytest.raises(ValueError, match="Column conflict for ai_m_a"):
+    with pytest.raises(ValueError, match="Column conflict.* ai_m_a"):
         G.plan_tasks(df, SPECS, "M")
+    partly = df.withColumn("ai_m_a", F.when(F.col("row_id") == 1, "x"))
+    assert len(G.plan_tasks(partly.where("row_id <> 1"), SPECS, "M")) == 2  # no answer in the target rows
     assert [t.answer_column for t in G.plan_tasks(df, SPECS, "M", on_conflict="skip")] == ["ai_m_b"]
     over = G.plan_tasks(df, SPECS, "M", on_conflict="overwrite", save_prompts=True)
     assert [(t.answer_column, t.prompt_column) for t in over] == [("ai_m_a", "prompt_ai_m_a"), ("ai_m_b", "prompt_ai_m_b")]
@@ -104,6 +114,7 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "train__my__style__rank0.jsonl").write_text('{"index": 1, "answer": "é"}\n\n{"index": 1, "answer": "z", "prompt": " p "}\n', encoding="utf-8")
     (tmp_path / "train__my__style__rank1.jsonl").write_text('{"index": 0, "answer": "y"}\n')
     shards = read_shards(spark, str(tmp_path / "*.jsonl"))
+    assert dict(shards.dtypes) == dict(_records(spark, []).dtypes)  # both sources can be put together
     latest = {r.row_id: r for r in G.latest_records(shards).collect()}
     assert latest[1].answer == "z" and latest[1].prompt == "p" and latest[1].prompt_name == "my__style"
     assert latest[0].answer == "y" and latest[0].split == "train"

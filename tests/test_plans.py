@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answerloom.operators import corpus as C
 from answerloom.operators import metrics as M
 from answerloom.operators import sampling as S
-from answerloom.operators.flatten import flatten
+from answerloom.operators.flatten import flatten, pair_examples, paired
 from answerloom.queries import QUERIES
 from answerloom.queries.views import AI_COLUMNS, qa, scored
 
@@ -42,6 +42,14 @@ def test_flatten_does_not_shuffle(stored):
     assert "Exchange" not in text and text.count("FileScan") == 1
 
 
+def test_pairing_and_plans_without_shuffles(spark, sf_dir, stored):
+    pairs = paired(stored, AI_COLUMNS, 42, window_words=50)
+    assert "Exchange" not in plan(pairs)
+    both = pair_examples(flatten(stored, AI_COLUMNS, 42, window_words=50), ["answer", "text"])
+    assert sorted(map(tuple, pairs.select(*both.columns).collect())) == sorted(map(tuple, both.collect()))
+    assert all("REPARTITION_BY_NUM" not in plan(QUERIES[n](spark, sf_dir)) for n in ("clean_lists", "input_inspection"))
+
+
 def test_split_filter_prunes_folders_and_columns(stored):
     text = plan(C.resolve_splits(stored, ["eval"]).select("row_id"))
     assert re.search(r"PartitionFilters: \[[^\]]*split#\d+ = eval", text)
@@ -60,7 +68,7 @@ def test_metrics_aggregate_before_the_shuffle(spark, sf_dir):
 
 
 def test_small_k_limits_before_the_shuffle(spark, sf_dir):
-    assert "TakeOrderedAndProject" in plan(S.sample_rows(qa(spark, sf_dir).select("split", "row_id"), 5, 1))
+    assert "BroadcastHashJoin" in plan(S.sample_rows(qa(spark, sf_dir).select("split", "row_id"), 5, 1))
     ranked = plan(S.first_n(scored(spark, sf_dir), 5, ["eval_order"], ["ai_column"]))
     assert ranked.count("WindowGroupLimit") == 4
 
