@@ -28,6 +28,8 @@ CACHE = 400_000
 #: Texts of these characters only are split here, others by the tokenizer's own splitter: for newer characters the
 #: tables of two libraries may differ.
 _PLAIN = re.compile(r"[^\x20-\x7e\xa1-ɏ]")
+#: A word of letters that every normal form keeps and that have one lower-case letter each, and a stop or comma.
+_LETTERS_ONLY = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
 #: White space as Unicode has it; Python's own split takes four control characters more.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _MORE = re.compile("[\x1c-\x1f]")
@@ -112,11 +114,13 @@ class PrefixCounter:
             before = lasts[start]
             head = (before + 1) << 32
             for stop in range(start + 1, n + 1):
+                if lasts[stop] >= 0:  # only one token can end there
+                    continue
                 text = letters[start:stop]
-                if text not in starts:
-                    break
                 token = ids.get(text)
-                if token is None or lasts[stop] >= 0:
+                if token is None:
+                    if text not in starts:
+                        break
                     continue
                 known = follows.get(head | token)
                 if known or (known is None and self._may_follow(before, token)):
@@ -149,6 +153,10 @@ class PrefixCounter:
 
     def word_pieces(self, word: str) -> list[str]:
         """Pieces of a word (a run without white space)."""
+        simple = _LETTERS_ONLY(word) if self.lowers else None
+        if simple:
+            letters, mark = simple.groups()
+            return [letters.lower(), mark] if mark else [letters.lower()]
         if word.isascii() and word.isprintable():
             return self.pieces(word.lower() if self.lowers else word)
         word = self.library.normalizer.normalize_str(word) if self.library.normalizer else word
