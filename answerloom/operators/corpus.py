@@ -161,15 +161,15 @@ def listed(names_or_csv: Iterable[str]) -> list[str]:
 def filled_columns(df: DataFrame, columns: Sequence[str], splits: Sequence[str], names: Corpus = CORPUS) -> list[str]:
     """Columns holding a value in every one of the splits.
 
-    One table has one schema, so a column missing from a split shows as all null;
-    each test stops at the first value it meets.
+    One table has one schema, so a column missing from a split shows as all null. One aggregate counts the values
+    of all columns in all splits.
     """
-
-    def filled(column: str, split: str) -> bool:
-        rows = df.where((F.col(names.split) == split) & F.col(column).isNotNull())
-        return not rows.select(names.split).limit(1).isEmpty()
-
-    return [c for c in columns if all(filled(c, s) for s in splits)]
+    if not columns:
+        return []
+    rows = df.where(F.col(names.split).isin(list(splits)))
+    counts = rows.groupBy(names.split).agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)]).collect()
+    found = {r[0]: r for r in counts}
+    return [c for i, c in enumerate(columns) if all(s in found and found[s][f"_{i}"] for s in splits)]
 
 
 def _common(df, requested, candidates, splits, names, what):

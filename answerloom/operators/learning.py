@@ -19,7 +19,7 @@ from answerloom.operators.metrics import binary_metrics, eval_metrics, sweep_met
 from answerloom.operators.reports import truncated_tokens
 from answerloom.functions.seeding import order_key
 from answerloom.operators.sampling import seeded_positions
-from answerloom.session import stage
+from answerloom.session import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,10 @@ def fit(examples: DataFrame, params: TrainParams = TrainParams()) -> PipelineMod
 
     The tokens are staged once, as the optimizer passes over them many times.
     """
-    return fit_tokenized(stage(_training_data(examples, params)), params)
+    data = stage(_training_data(examples, params))
+    model = fit_tokenized(data, params)
+    unstage(data)
+    return model
 
 
 def _training_data(examples: DataFrame, params: TrainParams) -> DataFrame:
@@ -102,7 +105,9 @@ def fit_per_column(
 ) -> dict[str, PipelineModel]:
     """One classifier per AI column; the examples are tokenized once, and each fit is a distributed job."""
     data = stage(_training_data(examples, params))
-    return {c: fit_tokenized(data.where(F.col("ai_column") == c), params) for c in ai_columns}
+    models = {c: fit_tokenized(data.where(F.col("ai_column") == c), params) for c in ai_columns}
+    unstage(data)
+    return models
 
 
 def evaluate_models(

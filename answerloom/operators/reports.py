@@ -77,20 +77,20 @@ def example_report(
     )
     body = sampled.select(F.col(names.row_id).alias("sample_no"), F.posexplode(lines).alias("line_no", "line"))
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    # The list of sampled rows is as short as the report itself.
-    picked = sampled.agg(F.array_join(F.sort_array(F.collect_list(names.row_id)), ", ").alias("_picked"))
     heading = F.array(
         F.lit(title),
         F.lit(f"Split: {split}"),
         F.concat(F.lit("Rows in split: "), F.format_number("_total", 0)),
-        F.concat(F.lit("Sampled rows: "), F.col("_picked")),
         F.lit(f"AI columns: {', '.join(ai_columns)}"),
-        F.lit(""),
     )
-    head = total.join(F.broadcast(picked)).select(
-        F.lit(-1).cast("long").alias("sample_no"), F.posexplode(heading).alias("line_no", "line")
+    head = total.select(F.lit(-1).cast("long").alias("sample_no"), F.posexplode(heading).alias("line_no", "line"))
+    # A line for each sampled row, so that no line grows with the sample.
+    listed = sampled.select(
+        F.lit(-1).cast("long").alias("sample_no"),
+        (F.col(names.row_id) + 4).alias("line_no"),
+        F.concat(F.lit("Sampled row: "), F.col(names.row_id)).alias("line"),
     )
-    return head.unionByName(body)
+    return head.unionByName(listed).unionByName(body)
 
 
 TokenAudit = "struct<input_ids:array<long>,tokens:array<string>,special_tokens_mask:array<int>,decoded:string,truncated:boolean>"

@@ -49,7 +49,7 @@ from answerloom.operators.prompts import (
 )
 from answerloom.operators.reports import guided_rows, pilot_rows
 from answerloom.operators.sampling import seeded_positions, subsample, sweep_sizes, train_eval_split
-from answerloom.session import stage
+from answerloom.session import stage, unstage
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger, sinks
 from answerloom.sources.generations import pending, records, write_records
@@ -275,13 +275,15 @@ def write_eval_bundle(
     sinks.write_json(M.classification_report_of(overall, ["ai_column"]), f"{out}/classification_report")
     sinks.write_json(M.confusion_matrix_of(overall, ["ai_column"]), f"{out}/confusion_matrix")
     by_source = M.source_metrics_of(counts.drop("loss_sum")).orderBy("ai_column", "source")
-    sinks.write_json(by_source, f"{out}/source_metrics_json")
-    sinks.write_csv(by_source, f"{out}/source_metrics", ["ai_column", *SOURCE_CSV])
-    sinks.write_csv(by_source, f"{out}/source_accuracy", ["ai_column", *SOURCE_ACCURACY_CSV])
-    sinks.write_json(M.source_chart(by_source), f"{out}/source_chart")
+    # Sources may be many, so these tables are not gathered in one file.
+    sinks.write_jsonl(by_source, f"{out}/source_metrics_json")
+    sinks.write_csv(by_source, f"{out}/source_metrics", ["ai_column", *SOURCE_CSV], one_file=False)
+    sinks.write_csv(by_source, f"{out}/source_accuracy", ["ai_column", *SOURCE_ACCURACY_CSV], one_file=False)
+    sinks.write_jsonl(M.source_chart(by_source), f"{out}/source_chart")
     sinks.write_jsonl(M.bad_rows(scored, max_bad, max_chars, order), f"{out}/bad_classifications")
     if all_rows:
         sinks.write_jsonl(M.prediction_rows(scored), f"{out}/eval_predictions")
+    unstage(scored)
     return M.eval_metrics_of(overall)
 
 
@@ -317,7 +319,9 @@ def train_and_evaluate(
         model.write().overwrite().save(f"{folders[column]}/model")
         scored = predict_tokenized(model, own.where(F.col("split") == splits[1]))
         predictions = scored if predictions is None else predictions.unionByName(scored)
-    return write_eval_bundle(predictions, f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}", all_rows=all_rows)
+    metrics = write_eval_bundle(predictions, f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}", all_rows=all_rows)
+    unstage(data)
+    return metrics
 
 
 def evaluate_checkpoint(
@@ -419,12 +423,14 @@ def sweep_train_sizes(
             files.clear(spark, folder)
             model.write().overwrite().save(f"{folder}/model")
             write_eval_bundle(scored.drop("train_rows", "_place"), f"{folder}/eval_logs")
+            unstage(scored)
             done[size].coalesce(1).write.mode("overwrite").json(f"{folder}/metric_row")
             table = reduce(DataFrame.unionByName, done.values())
             files.clear(spark, f"{out}/size_metrics")
             files.clear(spark, f"{out}/size_chart")
             sinks.write_csv(table.orderBy("train_rows"), f"{out}/size_metrics", SIZE_CSV)
             sinks.write_json(M.size_chart(table), f"{out}/size_chart")
+    unstage(data)
     return reduce(DataFrame.unionByName, done.values())
 
 

@@ -166,11 +166,11 @@ def _block(label: str, answers: str, most: int) -> str:
             [''], {_block('AI answer - ai_m1_guided', 'g', 2)}, ['']) AS lines FROM sampled),
         head AS (SELECT -1 AS sample_no, ['Random Dataset Examples', 'Split: eval',
             'Rows in split: ' || format('{{:,}}', (SELECT count(*) FROM qa WHERE split = 'eval')),
-            'Sampled rows: ' || (SELECT string_agg(row_id, ', ' ORDER BY row_id) FROM sampled),
-            'AI columns: chatgpt_answers, ai_m1_basic, ai_m1_guided', ''] AS lines)
+            'AI columns: chatgpt_answers, ai_m1_basic, ai_m1_guided'] AS lines)
         SELECT sample_no, line_no - 1 AS line_no, lines[line_no] AS line FROM
           (SELECT sample_no, lines, unnest(range(1, len(lines) + 1)) AS line_no
-           FROM (SELECT * FROM body UNION ALL SELECT * FROM head))""",
+           FROM (SELECT * FROM body UNION ALL SELECT * FROM head))
+        UNION ALL SELECT -1, row_id + 4, 'Sampled row: ' || row_id FROM sampled""",
 )
 def sampled_report(spark, sf_dir):
     df = qa(spark, sf_dir)

@@ -62,3 +62,13 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the folder of a staged table that is no longer read."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        head, mark, rest = file.partition("/staged-")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{head}{mark}{rest.split('/')[0]}")
+        if mark:
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

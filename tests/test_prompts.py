@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from answerloom.functions.seeding import hash60
 from answerloom.operators import prompts as P
 from answerloom.sources.prompts import EXAMPLE_SPECS, PromptSpec, load_prompt_specs, parse_prompt_specs, select_specs, specs_frame
 
@@ -79,6 +80,11 @@ def test_prompt_files(spark, tmp_path):
     assert load_prompt_specs(spark, str(tmp_path / "p.json"))[0] == PromptSpec("é", "u\n{question}")
 
 
+def test_draws_reach_beyond_32_bits(spark):
+    drawn = [r[0] for r in spark.range(200).select(hash60(1, F.col("id"))).collect()]
+    assert max(drawn) > 1 << 59 and min(drawn) >= 0 and len({d >> 32 for d in drawn}) == 200
+
+
 def test_select_specs():
     assert [s.name for s in select_specs(EXAMPLE_SPECS, ["casual", "plain"])] == ["plain", "casual"]
     assert len(select_specs(EXAMPLE_SPECS)) == len(EXAMPLE_SPECS)
