@@ -70,3 +70,24 @@ def test_layouts(spark):
     assert got == ["System:\ns\n\nUser:\nu\n\nAssistant:\n", "u", "u"]
     roles = [[m["role"] for m in r[0]] for r in df.select(chat_messages(F.col("s"), F.col("u"))).collect()]
     assert roles == [["system", "user"], ["user"], ["user"]]
+
+
+# The rules read from the interface they must match, written out once more so that a changed constant shows.
+STARTS = ["Answer: x", "QUESTION: x", "note: x", "Here are the details of x", "Let me know when you're ready x", "in my response x"]
+PHRASES = [
+    "x ## step y", "so step 1 is", "well let me explain", "so here is it", "so here's it", "the doctor: says", "by dr. who",
+    "my dear friend", "now i'm concerned", "then i'll go", "then i will go", "for my family x", "so i might go", "so i would go",
+]
+
+
+def test_every_rule_counts(spark):
+    texts = [*STARTS, "!", "!!", ".", "..", "?", "??", "-", "--", *PHRASES, "plain words only", "!!!"]
+    rows = [(t, 50) for t in texts]
+    n = len(texts) - len(PHRASES) - 2
+    assert _bad(spark, Q.is_bad_basic, rows) == [True] * n + [False] * (len(PHRASES) + 2)
+    assert _bad(spark, Q.is_bad_strict, rows) == [True] * (n + len(PHRASES)) + [False] * 2
+
+
+def test_limits_of_the_rules():
+    assert (Q.MIN_TOKENS, Q.TOKEN_LIMIT) == (10, 256)
+    assert (len(Q.PUNCTUATION_ONLY), len(Q.BAD_STARTS), len(Q.BAD_PHRASES), len(Q.LEADING_JUNK)) == (8, 6, 14, 6)
