@@ -117,9 +117,9 @@ def op5_ngram_jaccard_join(spark, sf_dir):
 
 @query
 def op8_quality_classifier(spark, sf_dir):
-    """All documents weighed against the good labelled ones; those selected are the resampled corpus."""
+    """All documents weighed against the good labelled ones; those kept are the resampled corpus."""
     sample = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=42)
-    return sample.withColumnRenamed("id", "doc_id")
+    return sample.withColumnsRenamed({"id": "doc_id", "selected": "kept"})
 
 
 @query
