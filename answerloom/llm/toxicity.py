@@ -20,7 +20,7 @@ MAX_TOXIC, MAX_OTHER, MAX_TERMS, MIN_DOCS = 4000, 8000, 1024, 4
 #: Standard errors by which a term's share must differ between the kinds.
 MIN_Z = 6.0
 #: Examples of a block of the index, and neighbours that vote.
-BLOCK, NEIGHBOURS = 64, 24
+BLOCK, NEIGHBOURS = 512, 24
 #: Weight of the overall rate in a vote.
 PRIOR_WEIGHT = 0.25
 #: Bytes of a word's beginning that are a term of their own, for words that go on.

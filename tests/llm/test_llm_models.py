@@ -53,7 +53,9 @@ def test_weights_are_sums_of_log_ratios():
     assert names[4] == 1 and names[3] == 2  # the word before, and the one before the comma
 
 
-def test_nearest_examples_equal_brute_force():
+@pytest.mark.parametrize("block", [16, 512])
+def test_nearest_examples_equal_brute_force(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     r = np.random.default_rng(7)
     rows = []
     for i in range(700):
