@@ -17,7 +17,7 @@ from answerloom.session import stage
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
 #: Groups of a coordinate block in the index, and of the folded vector that bounds an overlap.
-BLOCK_GROUPS, FOLDED = 4096, 64
+BLOCK_GROUPS, FOLDED = 1 << 32, 64
 #: Points of one leaf of the index; a larger bucket is cut into leaves that are compared pair by pair.
 LEAF = 2048
 POINT_SCHEMA = "id long, n int, f1 long, f2 long, vector binary, cells array<long>"
@@ -93,7 +93,7 @@ def index_cells(value: np.ndarray, offsets: np.ndarray, classes: SizeClasses) ->
         base = np.append(0, np.cumsum(blocks))
         inside = blocks[text] > 0
         t, v = text[inside], value[inside]
-        block = base[t] + ((v >> np.uint64(24)) % blocks[t].astype(np.uint64)).astype(np.int64)
+        block = base[t] + ((v >> np.uint64(32)) % blocks[t].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(sums, block, mix((v & np.uint64(BLOCK_GROUPS - 1)) + np.uint64(1)))
         empty = np.bincount(block, minlength=base[-1]) == 0
