@@ -252,8 +252,8 @@ def misclassified_top(spark, sf_dir):
 def all_predictions(spark, sf_dir):
     made = scored(spark, sf_dir).drop("source")
     examples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "source")
-    examples = examples.join(made.select("example_id"), "example_id", "left_semi")
-    return rounded(M.prediction_rows(M.attach_predictions(examples, made, ["example_id"])))
+    examples = examples.join(made.select("example_id", "ai_column"), "example_id")
+    return rounded(M.prediction_rows(M.attach_predictions(examples, made)))
 
 
 _DRAWN = {"logit_human": "'human'", "logit_ai": "'ai'"}
