@@ -306,11 +306,22 @@ def near_duplicates(
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes let them link; the sum of coordinate minima is at most the smaller size."""
-    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    """Pairs whose sizes, and whose sums of coordinate minima, let them link; only their sets are looked at."""
+    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
+    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            va, vb = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, FOLDED) for i in (4, 5)
+            )
+            shared = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * shared >= percent * (na + nb)))
+
+    rows = pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "na", "nb", "va", "vb")
+    return rows.mapInArrow(within, "a long, b long")
 
 
 def join_digest(groups: DataFrame) -> DataFrame:
