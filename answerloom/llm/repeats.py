@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,12 @@ from answerloom.session import stage
 
 #: Contents of one anchor that one task compares; the windows of more crowded anchors are rows of their own.
 CROWD = 10_000
-RUN_SCHEMA = "id long, start int, n int, anchor long, content long, copy boolean"
+RUN_SCHEMA = "id long, own long, start int, n int, anchor long, content long, copy boolean"
 #: A contested run with its text (w2 null), or one window of a crowded anchor by its two names (text null).
-CONTEST_SCHEMA = "id long, start int, key long, w2 long, text binary"
-SPAN_SCHEMA = "id long, start int, end int"
+CONTEST_SCHEMA = "id long, own long, start int, key long, w2 long, text binary"
+SPAN_SCHEMA = "id long, own long, start int, end int"
+#: What tells rows apart: the id, and for rows without one (NULL_ID) a negative digest of the text (else 0).
+ROW = ["id", "own"]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,33 +101,34 @@ def _firsts(keys: list[np.ndarray], *order: np.ndarray) -> tuple[np.ndarray, np.
     return by, first
 
 
-def _not_repeated(ids: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _not_repeated(ids: np.ndarray, own: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
     """False for a row that only repeats the one before: a repeated row of an id is no copy of itself."""
     new = np.ones(len(ids), dtype=bool)
-    new[1:] = first[1:] | (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1])
+    new[1:] = first[1:] | (ids[1:] != ids[:-1]) | (own[1:] != own[:-1]) | (starts[1:] != starts[:-1])
     return new
 
 
-def run_rows(ids: np.ndarray, offsets: np.ndarray, runs: Runs, width: int) -> pa.RecordBatch:
+def run_rows(ids: np.ndarray, own: np.ndarray, offsets: np.ndarray, runs: Runs, width: int) -> pa.RecordBatch:
     """Rows of RUN_SCHEMA for the texts of a slice; those with an earlier copy in the slice are marked."""
     end = runs.start + runs.count - 1 + width
     text = np.searchsorted(offsets, runs.start, side="right") - 1
-    rid, start, key = ids[text], runs.start - offsets[text], runs.key()
+    rid, row, start, key = ids[text], own[text], runs.start - offsets[text], runs.key()
     content = pair(runs.content(runs.start, end)[0], (runs.anchor - runs.start).astype(np.uint64))
-    by, first = _firsts([key, content], rid, start)
-    new = _not_repeated(rid[by], start[by], first)
+    by, first = _firsts([key, content], rid, row, start)
+    new = _not_repeated(rid[by], row[by], start[by], first)
     by, copy = by[new], ~first[new]
-    spread = mix(rid[by].astype(np.uint64) ^ (start[by].astype(np.uint64) << np.uint64(40)))
+    spread = mix(rid[by].astype(np.uint64) ^ row[by].astype(np.uint64) ^ (start[by].astype(np.uint64) << np.uint64(40)))
     return pa.record_batch(
         [
             pa.array(rid[by]),
+            pa.array(row[by]),
             pa.array(start[by].astype(np.int32)),
             pa.array(runs.count[by].astype(np.int32)),
             as_long(np.where(copy, spread, key[by])),  # a known copy needs no company
             as_long(content[by]),
             pa.array(copy),
         ],
-        names=["id", "start", "n", "anchor", "content", "copy"],
+        names=["id", "own", "start", "n", "anchor", "content", "copy"],
     )
 
 
@@ -135,7 +138,7 @@ def _windows(owner: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[n
     return np.repeat(owner, count), first + np.arange(count.sum())
 
 
-def contest_rows(ids: np.ndarray, column: pa.Array, contested: list, runs_of: Callable, width: int) -> pa.RecordBatch:
+def contest_rows(ids: np.ndarray, own: np.ndarray, column: pa.Array, contested: list, runs_of: Callable, width: int) -> pa.RecordBatch:
     """Rows of CONTEST_SCHEMA for the contested runs of the texts of a slice."""
     offsets, runs = runs_of(column)
     text = np.repeat(np.arange(len(contested)), [len(c) for c in contested])
@@ -146,71 +149,74 @@ def contest_rows(ids: np.ndarray, column: pa.Array, contested: list, runs_of: Ca
     w1, w2 = runs.content(at + offsets[owner], at + offsets[owner] + width)
     few = np.flatnonzero(~crowded & (count > 0))
     parts = runs.cut(text[few], start[few], start[few] + count[few] - 1 + width)
-    out_ids = np.concatenate([ids[owner], ids[text[few]]])
+    out = np.concatenate([owner, text[few]])
     out_start = np.concatenate([at, start[few]]).astype(np.int32)
     key = np.concatenate([w1.view(np.int64), anchor[few]])
     columns = [
-        pa.array(out_ids),
+        pa.array(ids[out]),
+        pa.array(own[out]),
         pa.array(out_start),
         pa.array(key),
         pa.concat_arrays([as_long(w2), pa.nulls(len(few), pa.int64())]),
         pa.concat_arrays([pa.nulls(len(at), pa.binary()), pa.array(parts, pa.binary())]),
     ]
-    return pa.record_batch(columns, names=["id", "start", "key", "w2", "text"])
+    return pa.record_batch(columns, names=["id", "own", "start", "key", "w2", "text"])
 
 
-def _joined(ids: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
+def _joined(ids: np.ndarray, own: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
     """Spans of windows; windows that overlap make one."""
-    by = np.lexsort((starts, ids))
-    ids, starts = ids[by], starts[by]
+    by = np.lexsort((starts, own, ids))
+    ids, own, starts = ids[by], own[by], starts[by]
     head = np.ones(len(ids), dtype=bool)
-    head[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + width)
+    head[1:] = (ids[1:] != ids[:-1]) | (own[1:] != own[:-1]) | (starts[1:] > starts[:-1] + width)
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(ids)) - 1 if len(at) else at
-    columns = [pa.array(ids[at]), pa.array(starts[at].astype(np.int32)), pa.array((starts[last] + width).astype(np.int32))]
-    return pa.record_batch(columns, names=["id", "start", "end"])
+    end = (starts[last] + width).astype(np.int32)
+    columns = [pa.array(ids[at]), pa.array(own[at]), pa.array(starts[at].astype(np.int32)), pa.array(end)]
+    return pa.record_batch(columns, names=["id", "own", "start", "end"])
 
 
 def _settle_runs(rows: pa.RecordBatch, runs_of: Callable, width: int) -> pa.RecordBatch:
     """Spans of the later windows among runs of whole anchors."""
-    ids, start, key = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    offsets, runs = runs_of(rows.column(4))
+    ids, own, start, key = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    offsets, runs = runs_of(rows.column(5))
     owner, at = _windows(np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64), np.diff(offsets) - width + 1)
     name = pair(runs.content(at + offsets[owner], at + offsets[owner] + width)[0], key[owner].view(np.uint64))
-    rid, at = ids[owner], at + start[owner]
-    by, first = _firsts([name], rid, at)
-    new = _not_repeated(rid[by], at[by], first) & ~first
-    return _joined(rid[by][new], at[by][new], width)
+    rid, row, at = ids[owner], own[owner], at + start[owner]
+    by, first = _firsts([name], rid, row, at)
+    new = _not_repeated(rid[by], row[by], at[by], first) & ~first
+    return _joined(rid[by][new], row[by][new], at[by][new], width)
 
 
 def _settle(runs_of: Callable, width: int):
-    """Rows of CONTEST_SCHEMA, sorted by (kind, key, w2, id, start), to the spans of the windows that go."""
+    """Rows of CONTEST_SCHEMA, sorted by (kind, key, w2, id, own, start), to the spans of the windows that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
         before = None
         for batch in batches:
-            kind = np.asarray(batch.column(3).is_valid())
+            kind = np.asarray(batch.column(4).is_valid())
             single = batch.filter(pa.array(kind))
             if single.num_rows:
-                ids, start, key, w2 = (single.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                head = before if before is not None else (ids[0], -1, key[0] ^ 1, w2[0])
-                same = (key == np.append(head[2], key[:-1])) & (w2 == np.append(head[3], w2[:-1]))
-                same_row = same & (ids == np.append(head[0], ids[:-1])) & (start == np.append(head[1], start[:-1]))
+                ids, own, start, key, w2 = (single.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                head = before if before is not None else (ids[0], own[0], -1, key[0] ^ 1, w2[0])
+                same = (key == np.append(head[3], key[:-1])) & (w2 == np.append(head[4], w2[:-1]))
+                same_row = same & (ids == np.append(head[0], ids[:-1])) & (own == np.append(head[1], own[:-1]))
+                same_row &= start == np.append(head[2], start[:-1])
                 # a repeated row of the earliest id is as early as the earliest
                 block = np.cumsum(~same)
                 lead = np.where(~same, np.arange(len(ids)), 0)
                 lead = np.maximum.accumulate(lead)
-                as_early = (ids == ids[lead]) & (start == start[lead]) & (block > 0)
+                as_early = (ids == ids[lead]) & (own == own[lead]) & (start == start[lead]) & (block > 0)
                 later = same & ~same_row & ~as_early
-                yield _joined(ids[later], start[later], width)
-                before = (ids[-1], start[-1], key[-1], w2[-1])
+                yield _joined(ids[later], own[later], start[later], width)
+                before = (ids[-1], own[-1], start[-1], key[-1], w2[-1])
             several = batch.filter(pa.array(~kind))
             if not several.num_rows:
                 continue
             table = pa.Table.from_batches([several])
             waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            keys = waiting.column(2).to_numpy()
+            keys = waiting.column(3).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1])) if keys[0] != keys[-1] else 0
             if cut:
                 for part in waiting.slice(0, cut).combine_chunks().to_batches():
@@ -228,6 +234,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
 
 
+def row_keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Columns of ROW, the text, and more; rows without an id come before all others, in an order by their texts."""
+    id_ = F.col(id_col).cast("long")
+    own = F.when(id_.isNull(), F.xxhash64(text_col).bitwiseOR(F.lit(NULL_ID))).otherwise(F.lit(0))
+    return docs.select(F.coalesce(id_, F.lit(NULL_ID)).alias("id"), own.alias("own"), F.col(text_col).alias("text"), *more)
+
+
+def given_id() -> Column:
+    """The id as it was given, from the columns of ROW: null again where it was null."""
+    return F.when(F.col("own") == 0, F.col("id")).alias("id")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Texts compressed, for a shuffle; other columns stay."""
     fields = [T.StructField("packed", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
@@ -253,45 +271,47 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, runs_of: Callable[[pa.Array], tuple[np.ndarray, Runs]], width: int) -> DataFrame:
-    """Spans of units (id, start, end) that windows of `width` units with an earlier equal cover.
+    """Spans of units (id, own, start, end) that windows of `width` units with an earlier equal cover.
 
-    `docs` has id and text. `runs_of(column)` gives the text offsets in units and the runs of a slice.
+    `docs` is as from `row_keyed`. `runs_of(column)` gives the text offsets in units and the runs of a slice.
     """
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            offsets, runs = runs_of(batch.column(1))
+            offsets, runs = runs_of(batch.column(2))
             if len(runs.start):
-                yield run_rows(batch.column(0).to_numpy(zero_copy_only=False), offsets, runs, width)
+                ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                yield run_rows(ids, own, offsets, runs, width)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield contest_rows(ids, batch.column(1), batch.column(2).to_pylist(), runs_of, width)
+            ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield contest_rows(ids, own, batch.column(2), batch.column(3).to_pylist(), runs_of, width)
 
-    by_content = Window.partitionBy("anchor").orderBy("content", "id", "start")
+    by_content = Window.partitionBy("anchor", "content").orderBy(*ROW, "start")
     of_anchor = Window.partitionBy("anchor")
-    same_as_before = F.lag("content").over(by_content) == F.col("content")
+    # a row that repeats the earliest is as early as the earliest
+    later = F.struct(*ROW, "start") != F.first(F.struct(*ROW, "start")).over(by_content)
     marked = stage(
         docs.mapInArrow(first_pass, RUN_SCHEMA)
         .select(
-            *("id", "start", "n", "anchor", "copy"),
-            F.coalesce(same_as_before, F.lit(False)).alias("later"),
+            *(*ROW, "start", "n", "anchor", "copy"),
+            later.alias("later"),
             (F.min("content").over(of_anchor) != F.max("content").over(of_anchor)).alias("contested"),
             (F.count("*").over(of_anchor) > CROWD).alias("crowded"),
         )
-        .select("id", "start", "n", "anchor", (F.col("copy") | F.col("later")).alias("copy"), "contested", "crowded")
+        .select(*ROW, "start", "n", "anchor", (F.col("copy") | F.col("later")).alias("copy"), "contested", "crowded")
         .where("copy or contested")
     )
     contested = F.collect_list(F.struct("start", "n", "anchor", "crowded"))
     contests = (
         packed(docs)
-        .join(marked.where("not copy").groupBy("id").agg(contested.alias("contested")).hint("shuffle_hash"), "id")
+        .join(marked.where("not copy").groupBy(*ROW).agg(contested.alias("contested")).hint("shuffle_hash"), ROW)
         .mapInArrow(second_pass, CONTEST_SCHEMA)
         .repartition("key")
-        .sortWithinPartitions(F.col("w2").isNull(), "key", "w2", "id", "start")
+        .sortWithinPartitions(F.col("w2").isNull(), "key", "w2", *ROW, "start")
     )
-    copies = marked.where("copy").select("id", "start", (F.col("start") + F.col("n") - 1 + width).cast("int").alias("end"))
+    copies = marked.where("copy").select(*ROW, "start", (F.col("start") + F.col("n") - 1 + width).cast("int").alias("end"))
     return copies.unionByName(contests.mapInArrow(_settle(runs_of, width), SPAN_SCHEMA))
 
 
@@ -309,5 +329,5 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each text, packed, with its spans (null: none)."""
-    own = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return packed(docs).join(own.hint("shuffle_hash"), "id", "left")
+    own = spans.groupBy(*ROW).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return packed(docs).join(own.hint("shuffle_hash"), ROW, "left")

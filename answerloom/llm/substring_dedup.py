@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.arrays import NULL_ID, flat, mix, pair, stretch_names, window_names, words
-from answerloom.llm.repeats import Runs, counts_of, keyed, merged, repeated_spans, unpacked, with_spans
+from answerloom.llm.arrays import flat, mix, pair, stretch_names, window_names, words
+from answerloom.llm.repeats import Runs, counts_of, given_id, merged, repeated_spans, row_keyed, unpacked, with_spans
 
 #: Consecutive words from which a repeated sequence goes, and rounds of recompression.
 MIN_WORDS, ROUNDS = 20, 2
@@ -145,14 +145,14 @@ def recompressed_runs(width: int, rounds: int):
 def repeated_word_spans(
     docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Word spans (id, start, end) covered by sequences of `min_words` words that also start earlier in the corpus.
+    """Word spans (id, own, start, end) covered by sequences of `min_words` words that also start earlier in the corpus.
 
     The texts are recompressed: round by round, runs of a symbol and pairs of a left and a right symbol get a new
     name. A name is a digest of what it stands for, so all texts agree on it without a dictionary, and equal word
     sequences have equal symbols except near their ends. Of each window of words the highest symbols that don't
     depend on anything outside reveal it: windows are brought together by them, then verified by their words.
     """
-    return repeated_spans(keyed(docs, id_col, text_col), recompressed_runs(min_words, rounds), min_words)
+    return repeated_spans(row_keyed(docs, id_col, text_col), recompressed_runs(min_words, rounds), min_words)
 
 
 KEPT_SCHEMA = "id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>"
@@ -207,17 +207,16 @@ def remove_repeated_words(
     runs without ASCII white space, compared as they are. `kept` has the words left, joined by a space (null without
     `with_text`); `spans` the removed ranges of words.
 
-    Nulls: a null text has no words, a null id comes before all others. Empty texts give 0, 0. Repeated rows (same id,
+    Nulls: a null text has no words. Rows with a null id come before all others, each text being an id of its own. Empty texts give 0, 0. Repeated rows (same id,
     same text) are not copies of each other and give equal results; an id with several texts gets the spans of all of
     them, cut to each text. Extra columns are ignored. An empty table gives an empty result.
     """
-    texts = keyed(docs, id_col, text_col)
+    texts = row_keyed(docs, id_col, text_col)
     spans = repeated_word_spans(docs, min_words, rounds, id_col, text_col)
-    return with_spans(texts, spans).select("id", "packed", "spans").mapInArrow(_erase(with_text), KEPT_SCHEMA)
+    return with_spans(texts, spans).select(given_id(), "packed", "spans").mapInArrow(_erase(with_text), KEPT_SCHEMA)
 
 
 def substring_dedup_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The digest columns of `remove_repeated_words`, under doc_id."""
     out = remove_repeated_words(docs, min_words, with_text=False)
-    doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
-    return out.select(doc_id, "n_words", "n_removed", "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")

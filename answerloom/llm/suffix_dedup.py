@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom.llm.arrays import BYTE_NAMES, NULL_ID, flat, pair
-from answerloom.llm.repeats import Runs, keyed, merged, minimum_runs, repeated_spans, unpacked, with_spans
+from answerloom.llm.arrays import BYTE_NAMES, flat, pair
+from answerloom.llm.repeats import Runs, given_id, merged, minimum_runs, repeated_spans, row_keyed, unpacked, with_spans
 
 #: Length in bytes from which a repeated string goes.
 MIN_BYTES = 100
@@ -57,7 +57,7 @@ def doubling_runs(min_bytes: int):
 
 
 def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte spans (id, start, end) covered by strings of `min_bytes` that also start earlier in the corpus.
+    """Byte spans (id, own, start, end) covered by strings of `min_bytes` that also start earlier in the corpus.
 
     Prefix doubling ranks positions by ever longer prefixes. One row for each byte position doesn't fit any disk
     budget, so the ranks of a quarter of the length choose, inside each window, the position that stands for it (the
@@ -65,7 +65,7 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
     windows around them. Positions whose rank is unique drop out after the first sort, those with equal runs are
     settled by it, and only the rest is paired up to the full length and sorted again.
     """
-    return repeated_spans(keyed(docs, id_col, text_col), doubling_runs(min_bytes), min_bytes)
+    return repeated_spans(row_keyed(docs, id_col, text_col), doubling_runs(min_bytes), min_bytes)
 
 
 KEPT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
@@ -125,24 +125,19 @@ def remove_repeats(
     the same text. Strings are judged on the input and never cross texts. The earliest occurrence stays. `kept` may
     cut a character in two, so it is binary; it is null without `with_text`.
 
-    Nulls: a null text is empty, a null id comes before all others. Empty texts give 0, 0, 0. Repeated rows (same id,
+    Nulls: a null text is empty. Rows with a null id come before all others, each text being an id of its own. Empty texts give 0, 0, 0. Repeated rows (same id,
     same text) are not copies of each other and give equal results; an id with several texts gets the spans of all of
     them, cut to each text. Extra columns are ignored. An empty table gives an empty result.
     """
-    texts = keyed(docs, id_col, text_col)
+    texts = row_keyed(docs, id_col, text_col)
     spans = repeats(docs, min_bytes, id_col, text_col)
-    return with_spans(texts, spans).select("id", "packed", "spans").mapInArrow(_erase(with_text), KEPT_SCHEMA)
+    return with_spans(texts, spans).select(given_id(), "packed", "spans").mapInArrow(_erase(with_text), KEPT_SCHEMA)
 
 
 def suffix_dedup_digest(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The digest columns of `remove_repeats`, under doc_id."""
     out = remove_repeats(docs, min_bytes, with_text=False)
-    return out.select(restored_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def restored_id():
-    """The id as it was given: null again where it was null."""
-    return F.when(F.col("id") != NULL_ID, F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +146,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
     A character that a removal cuts in two goes whole. A text that was null or empty before stays as it is.
     """
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), rest)
+    texts = row_keyed(docs, id_col, text_col, rest)
     spans = repeats(docs, min_bytes, id_col, text_col)
     schema = T.StructType([T.StructField("kept", T.StringType()), T.StructField("gone", T.BooleanType()), texts.schema["rest"]])
 

@@ -78,6 +78,19 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} >= {None, 1, 2, 3, 6, 7}
 
 
+def test_repeated_rows_and_rows_without_id_in_two_partitions(spark, crowd):
+    words = [f"{a}{i}" for i in range(60) for a in "pqrs"]
+    once, other, third, shared = (" ".join(words[i : i + 50]) for i in (0, 50, 100, 150))
+    rows = [(1, once), (None, other), (None, third), (2, shared), (3, f"x {shared}"), (4, f"{third} y")]
+    half = frame(spark, rows, 1)
+    for docs in (half.union(half), half.unionByName(half).coalesce(1)):
+        for dedup in (suffix_dedup.remove_repeats, substring_dedup.remove_repeated_words):
+            left = [(r["id"], bytes(r["kept"]).decode() if dedup is suffix_dedup.remove_repeats else r["kept"]) for r in dedup(docs).collect()]
+            assert sorted((i or 0, t.strip()) for i, t in left) == sorted([(1, once), (0, other), (0, third), (2, shared), (3, "x"), (4, "y")] * 2)
+        rest = [r["text"] for r in suffix_dedup.without_repeats(docs).where("doc_id is null or doc_id = 1").collect()]
+        assert sorted(rest) == sorted([once, other, third] * 2)
+
+
 def test_empty_table(spark):
     docs = odd_documents(spark).limit(0)
     assert suffix_dedup.suffix_dedup_digest(docs).count() == 0
