@@ -1,11 +1,4 @@
 """Answer-corpus analytics on Spark: build, extend, score and profile corpora
 that mix human-written and model-generated answers."""
 
-import sys
-
-from pyspark import cloudpickle
-
-__version__ = "0.1.0"
-
-# Functions sent to executors carry their code, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+__version__ = "0.2.0"

@@ -15,6 +15,7 @@ from answerloom.columns import CORPUS, Corpus
 from answerloom.functions.naming import generated_column_name
 from answerloom.functions.quality import clean_output, is_bad_basic
 from answerloom.functions.text import safe_text
+from answerloom.session import map_pandas
 from answerloom.sources.prompts import PromptSpec
 
 # A generator takes prompts (texts, or chat messages where these are asked for), the prompt style they share and the attempt number (1 or 2), and gives
@@ -84,7 +85,7 @@ def generate(
             answers, tokens = _run_batches(generator, frame, prompt, 1, batch_size)
             yield frame.assign(answers=answers, token_count=tokens)
 
-    return prompts.mapInPandas(run, T.StructType(prompts.schema.fields + _GENERATED))
+    return map_pandas(prompts, run, T.StructType(prompts.schema.fields + _GENERATED))
 
 
 def generate_with_retry(
@@ -120,7 +121,7 @@ def generate_with_retry(
                     texts[row], counts[row] = answer[0] if answer else "", count
             yield frame.assign(second=texts, token_count=counts)
 
-    second = first.mapInPandas(again, T.StructType(first.schema.fields + [T.StructField("second", T.StringType())]))
+    second = map_pandas(first, again, T.StructType(first.schema.fields + [T.StructField("second", T.StringType())]))
     return (
         second.withColumn("answer", F.when(F.col("retried"), clean_output(F.col("second"))).otherwise(F.col("answer")))
         .drop("second")

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,6 +57,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session, once for each application.
+
+    The workers import it from the archive that Spark hands out, wherever the driver was started. A worker process
+    imports it once and is used for many tasks, so what its modules keep (models, tokenizers) outlives a task.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    if home.is_dir():  # otherwise the package itself came in an archive, and the workers have that
+        archive = os.path.join(tempfile.mkdtemp(prefix="answerloom-"), f"{home.name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, str(file.relative_to(home.parent)))
+        context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose function may use this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_pandas(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInPandas`` whose function may use this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and go on from there, with one folder per value of ``by`` if given.
 
@@ -64,11 +102,12 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Remove the folder of a staged table that is no longer read."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        head, mark, rest = file.partition("/staged-")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{head}{mark}{rest.split('/')[0]}")
-        if mark:
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def unstage(*tables: DataFrame) -> None:
+    """Remove the folders of staged tables that are no longer read."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            head, mark, rest = file.partition("/staged-")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{head}{mark}{rest.split('/')[0]}")
+            if mark:
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
