@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.session import stage
+from answerloom.session import stage, unstage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Every step connects the neighbours of a node to the smallest of them: first the larger neighbours, then the
     smaller ones, until each node hangs directly on its smallest. The number of links never grows and the number of
-    steps is logarithmic. Each step's links are a written table.
+    steps is logarithmic. Each step's links are a written table, which takes the
+    place of the one before.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stage(edges)
@@ -25,11 +26,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        former, edges = edges, stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        unstage(former)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))  # read from a written table
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:

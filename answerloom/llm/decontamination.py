@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import flat, slices
-from answerloom.session import stage
+from answerloom.session import ship, stage
 
 #: Consecutive words of an item that count as an occurrence; a shorter item counts as a whole.
 WINDOW = 10
@@ -77,11 +78,11 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str,
     return [{"start": int(edges[2 * a]), "end": int(edges[2 * b - 1])} for a, b in ranges]
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
 def _automaton(shared, window: int) -> Automaton:
-    """The automaton of the part in use; a worker process keeps one."""
+    """The automaton of the part in use; a worker process keeps one over its tasks. Parts have names of their own."""
     if shared.id not in _BUILT:
         _BUILT.clear()
         _BUILT[shared.id] = Automaton(shared.parts, window)
@@ -89,8 +90,8 @@ def _automaton(shared, window: int) -> Automaton:
 
 
 class _Part:
-    def __init__(self, number: int, parts: list):
-        self.id, self.parts = number, parts
+    def __init__(self, parts: list):
+        self.id, self.parts = uuid.uuid4().hex, parts
 
 
 def _scan(shared, window: int, hits_only: bool):
@@ -174,12 +175,13 @@ def benchmark_hits(
     test set hits nothing, an empty table gives an empty result. Any length of text is scanned whole.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     parts = parts_of(benchmark, item_col, item_text_col, max_windows)
-    first = context.broadcast(_Part(0, next(parts)))
+    first = context.broadcast(_Part(next(parts)))
     hits, more = None, []
-    for number, part in enumerate(parts, 1):
-        shared = context.broadcast(_Part(number, part))
+    for part in parts:
+        shared = context.broadcast(_Part(part))
         more.append(stage(texts.mapInArrow(_scan(shared, window, True), HIT_SCHEMA)))
         shared.unpersist()
     if not more:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from answerloom.llm.arrays import NULL_ID, as_long, mix, slices, window_names, words
 from answerloom.llm.components import connected_components
 from answerloom.llm.repeats import keyed, packed, unpacked
-from answerloom.session import stage
+from answerloom.session import stage, unstage
 
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
@@ -253,13 +253,14 @@ def near_duplicates(
     any of them joins. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
     """
     texts = keyed(docs, id_col, text_col)
-    points = stage(texts.mapInArrow(_points(shingle, percent), POINT_SCHEMA))
+    indexed = stage(texts.mapInArrow(_points(shingle, percent), POINT_SCHEMA))
     same_set = ["n", "f1", "f2"]
+    points = stage(indexed.select("id", *same_set))  # without the index entries, to the end
     named = points.where("n > 0").groupBy(*same_set).agg(F.min("id").alias("representative"))
     named = stage(named)
     in_cell = Window.partitionBy("cell")
     by_cell = in_cell.orderBy("f1")
-    entries = points.select("f1", F.explode("cells").alias("cell"))
+    entries = indexed.select("f1", F.explode("cells").alias("cell"))
     shared = (
         entries.withColumn("again", F.coalesce(F.lag("f1").over(by_cell) == F.col("f1"), F.lit(False)))
         .withColumn("several", F.min("f1").over(in_cell) != F.max("f1").over(in_cell))
@@ -270,8 +271,9 @@ def near_duplicates(
     cells = stage(shared.join(nodes, "f1").select("cell", "node").distinct())
     ids = stage(cells.select(F.col("node").alias("id")).distinct())
     sets = stage(packed(texts.join(ids, "id", "left_semi")).mapInArrow(_sets(shingle), SET_SCHEMA))
-    vectors = points.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
+    vectors = indexed.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
     vectors = stage(vectors.select(F.col("id").alias("node"), "n", "vector"))
+    unstage(indexed, ids)
 
     order = Window.partitionBy("cell").orderBy("node")
     first = cells.select(F.col("node").alias("b"), F.min("node").over(order).alias("a"), F.lag("node").over(order).alias("before"))
@@ -294,8 +296,11 @@ def near_duplicates(
             .sortWithinPartitions("cell", "low", "high")
         )
         more = leaves.mapInArrow(_leaf_pairs(percent, best_only), "a long, b long").distinct()
-        links = stage(links.unionByName(_linked(more, sets, percent)))
-    component = stage(connected_components(links).withColumnRenamed("node", "representative"))
+        former, links = links, stage(links.unionByName(_linked(more, sets, percent)))
+        unstage(former, component)
+    unstage(cells, sets, vectors)
+    component = connected_components(links).withColumnRenamed("node", "representative")
+    unstage(links)
     plain = points.select("id", *same_set).join(named, same_set, "left")
     return plain.join(component, "representative", "left").select(
         "id",

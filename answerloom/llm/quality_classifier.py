@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import NULL_ID, flat, mix, pair, slices, word_names
 from answerloom.llm.mixing import uniform
-from answerloom.session import stage
+from answerloom.session import ship, stage
 
 #: Buckets of the n-gram models; the model is that many rows, whatever the corpus.
 BUCKETS = 1 << 16
@@ -83,6 +83,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -119,6 +120,7 @@ def importance_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_i
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(weight)], names=["id", "n_grams", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
     return rows.mapInArrow(run, "id long, n_grams long, log_weight double")
 
 

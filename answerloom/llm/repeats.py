@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerloom.llm.arrays import NULL_ID, as_long, flat, mix, pair, slices, stretch_names
-from answerloom.session import stage
+from answerloom.session import ship, stage
 
 #: Contents of one anchor that one task compares; the windows of more crowded anchors are rows of their own.
 CROWD = 10_000
@@ -231,11 +231,13 @@ def _settle(runs_of: Callable, width: int):
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that matter, under fixed names; a null id counts as one id before all others."""
+    ship(docs.sparkSession)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
 
 
 def row_keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Columns of ROW, the text, and more; rows without an id come before all others, in an order by their texts."""
+    ship(docs.sparkSession)
     id_ = F.col(id_col).cast("long")
     own = F.when(id_.isNull(), F.xxhash64(text_col).bitwiseOR(F.lit(NULL_ID))).otherwise(F.lit(0))
     return docs.select(F.coalesce(id_, F.lit(NULL_ID)).alias("id"), own.alias("own"), F.col(text_col).alias("text"), *more)

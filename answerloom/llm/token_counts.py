@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import flat, slices
+from answerloom.session import ship
 
 #: Pieces whose counts a worker keeps; beyond it, it starts anew.
 CACHE = 400_000
@@ -244,6 +245,8 @@ def token_counts(
     """
     schema = "id long, n_bytes long, n_tokens long, fit_words long, fit_letters long, prefix_counts array<int>"
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in slices(batches, "text"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import NULL_ID, slices, word_names, words
 from answerloom.llm.quality_classifier import _CLASS, bounded_sample
-from answerloom.session import stage
+from answerloom.session import ship, stage
 
 #: Labelled rows of each kind that the examples are taken from at most (by a digest of the id), terms that tell the
 #: kinds apart, and documents from which a term counts.
@@ -237,6 +237,7 @@ def toxicity_scores(
     an id the larger holds. Empty texts get the rate of examples without terms. Repeated rows give equal rows. Extra
     columns are ignored. An empty table gives an empty result; without labels every score is 0.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     model = fit(texts, labels.select(F.col(id_col).cast("long").alias("id"), label_col), seed, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
