@@ -15,7 +15,7 @@ from answerloom.llm.ngram_join import near_duplicates, one_of_each
 from answerloom.llm.quality_classifier import accepted, resampled
 from answerloom.llm.queries import table
 from answerloom.llm.suffix_dedup import without_repeats
-from answerloom.session import stage
+from answerloom.session import stage, unstage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each one's table written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir))
+    for number, (_, function) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(function(spark, docs, sf_dir))
+        if number:
+            unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
