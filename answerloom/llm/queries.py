@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.llm.conversation_trie import conversation_trie, turn_sequences, with_shared_heads
 from answerloom.llm.decontamination import benchmark_hits, decontamination_digest
+from answerloom.llm.html_extraction import main_texts
 from answerloom.llm.license_scan import license_digest, license_notices, license_sql
 from answerloom.llm.mixing import poisson_mixture, repetition_rates
 from answerloom.llm.ngram_join import join_digest, near_duplicates
+from answerloom.llm.periodic_runs import periodic_runs, run_digest, with_repeated_tails
 from answerloom.llm.quality_classifier import resampled
 from answerloom.llm.quality_rules import quality_verdicts
 from answerloom.llm.substring_dedup import substring_dedup_digest
@@ -127,3 +130,70 @@ def op9_toxicity(spark, sf_dir):
     """Toxicity score of every document, by its nearest labelled examples."""
     scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=42)
     return scores.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_html_extraction(spark, sf_dir):
+    """Main texts of all pages, without what markup or the other pages of their host tell to be boilerplate."""
+    return main_texts(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+#: For pages whose articles are headings and paragraphs, and for the references that these use.
+ORACLES["op11_html_extraction"] = r"""
+WITH articles AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(body, '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS b
+  FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of all documents, a tenth of which are made to repeat a block to their end."""
+    return run_digest(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    """Trie of the beginnings of all conversations, each with first turns of the first one of its block."""
+    return conversation_trie(with_shared_heads(turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op13_conversation_trie"] = """
+WITH bits AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+turns AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, turn,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'d': digest, 'c': chars} ORDER BY turn NULLS FIRST, digest) AS seq,
+    (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6)::INT AS h
+  FROM turns CROSS JOIN bits GROUP BY conv_id, t),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(CASE WHEN d.seq IS NULL THEN [] ELSE d.seq[1:o.h] END, o.seq[o.h + 1:]) AS seq
+  FROM own o LEFT JOIN own d ON d.conv_id = o.conv_id - o.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, len(seq) AS turns, d AS depth, array_to_string(list_transform(seq[1:d], lambda x: x.d), '') AS node,
+    array_to_string(list_transform(seq[1:d - 1], lambda x: x.d), '') AS parent, CASE WHEN d > 0 THEN seq[d].c ELSE 0 END AS chars
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT a.node, a.depth, sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes a JOIN nodes b ON starts_with(b.node, a.node) LEFT JOIN kids k ON k.parent = b.node AND k.depth = b.depth
+  GROUP BY a.node, a.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth
+LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent AND p.depth = n.depth - 1
+"""
