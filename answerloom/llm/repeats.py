@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom.llm.arrays import NULL_ID, as_long, flat, mix, pair, slices, stretch_names
+from answerloom.llm.arrays import NULL_ID, SLICE_BYTES, as_long, flat, mix, pair, slices, stretch_names
 from answerloom.session import ship, stage
 
 #: Contents of one anchor that one task compares; the windows of more crowded anchors are rows of their own.
@@ -264,12 +264,19 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about one slice of text each, with the text in the place of its packed form."""
+    """Batches of about one slice of text each, as expanded, with the text in the place of its packed form."""
     expand = zstandard.ZstdDecompressor()
-    for batch in slices(batches, "packed", 300_000):
-        at = batch.schema.get_field_index("packed")
-        texts = [expand.decompress(x) if x else b"" for x in batch.column(at).to_pylist()]
-        yield batch.set_column(at, "text", pa.array(texts, pa.large_binary()))
+    for whole in batches:
+        at = whole.schema.get_field_index("packed")
+        frames = whole.column(at).to_pylist()
+        ends = np.cumsum([zstandard.frame_content_size(x) if x else 0 for x in frames])
+        i = 0
+        while i < len(frames):
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            texts = [expand.decompress(x) if x else b"" for x in frames[i:j]]
+            yield whole.slice(i, j - i).set_column(at, "text", pa.array(texts, pa.large_binary()))
+            i = j
 
 
 def repeated_spans(docs: DataFrame, runs_of: Callable[[pa.Array], tuple[np.ndarray, Runs]], width: int) -> DataFrame:
