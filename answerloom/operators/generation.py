@@ -15,7 +15,8 @@ from answerloom.columns import CORPUS, Corpus
 from answerloom.functions.naming import generated_column_name
 from answerloom.functions.quality import clean_output, is_bad_basic
 from answerloom.functions.text import safe_text
-from answerloom.session import map_pandas
+from answerloom.operators.workers import held, key_of
+from answerloom.session import map_pandas, stage
 from answerloom.sources.prompts import PromptSpec
 
 # A generator takes prompts (texts, or chat messages where these are asked for), the prompt style they share and the attempt number (1 or 2), and gives
@@ -69,20 +70,25 @@ def generate(
     batch_size: int = 8,
     prompt: str = "prompt",
     partitions: int | None = None,
+    attempt: int = 1,
 ) -> DataFrame:
-    """Append ``answers`` and ``token_count``; the factory runs once per task, on the executor.
+    """Append ``answers`` and ``token_count``.
 
-    The result must be written before it is used twice, as every action would generate again.
+    The factory runs once per Python worker and not per task: what it gives is kept in the worker process, under a
+    digest of the factory and its settings, and serves all tasks there and both attempts. The result must be written
+    before it is used twice, as every action would generate again.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive.")
     if partitions:
         prompts = prompts.repartition(partitions, "split", "row_id", "prompt_name")
 
+    key = key_of(make_generator)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generator = make_generator()
         for frame in frames:
-            answers, tokens = _run_batches(generator, frame, prompt, 1, batch_size)
+            generator = held(key, make_generator)
+            answers, tokens = _run_batches(generator, frame, prompt, attempt, batch_size)
             yield frame.assign(answers=answers, token_count=tokens)
 
     return map_pandas(prompts, run, T.StructType(prompts.schema.fields + _GENERATED))
@@ -98,34 +104,22 @@ def generate_with_retry(
 ) -> DataFrame:
     """Generate, clean, and generate once more where the output is bad; the second result stays.
 
-    Good rows stream through the second pass untouched, so nothing is generated twice or joined.
+    The first results are staged, so only the bad rows go to the generator again, in workers that hold it already.
     Columns added: ``answer``, ``token_count``, ``retried``, ``bad_output``.
     """
-    first = (
-        generate(prompts, make_generator, batch_size, prompt, partitions)
-        .withColumn("answer", clean_output(F.get("answers", F.lit(0))))
-        .drop("answers")
-        .withColumn("retried", is_bad(F.col("answer"), F.col("token_count")))
-    )
 
-    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generator = None
-        for frame in frames:
-            texts: list = [None] * len(frame)
-            counts = frame["token_count"].tolist()
-            bad = frame["retried"].to_numpy().nonzero()[0]
-            if len(bad):
-                generator = generator or make_generator()
-                answers, tokens = _run_batches(generator, frame.iloc[bad], prompt, 2, batch_size)
-                for row, answer, count in zip(bad, answers, tokens):
-                    texts[row], counts[row] = answer[0] if answer else "", count
-            yield frame.assign(second=texts, token_count=counts)
-
-    second = map_pandas(first, again, T.StructType(first.schema.fields + [T.StructField("second", T.StringType())]))
+    def cleaned(made: DataFrame) -> DataFrame:
+        text = F.coalesce(F.get("answers", F.lit(0)), F.lit(""))
+        return made.withColumn("answer", clean_output(text)).drop("answers")
+
+    bad = F.coalesce(is_bad(F.col("answer"), F.col("token_count")), F.lit(False))
+    first = cleaned(generate(prompts, make_generator, batch_size, prompt, partitions)).withColumn("retried", bad)
+    first = stage(first)
+    second = cleaned(generate(first.where("retried").select(*prompts.columns), make_generator, batch_size, prompt, attempt=2))
     return (
-        second.withColumn("answer", F.when(F.col("retried"), clean_output(F.col("second"))).otherwise(F.col("answer")))
-        .drop("second")
-        .withColumn("bad_output", is_bad(F.col("answer"), F.col("token_count")))
+        first.where("not retried")
+        .withColumn("bad_output", F.lit(False))
+        .unionByName(second.withColumn("retried", F.lit(True)).withColumn("bad_output", bad))
     )
 
 
@@ -199,43 +193,52 @@ def latest_records(generations: DataFrame) -> DataFrame:
     )
 
 
-def merge_generations(
-    df: DataFrame,
-    generations: DataFrame,
-    tasks: Sequence[Task],
-    names: Corpus = CORPUS,
-    splits: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add one answer column per task, and its prompt column if wanted.
+def generated_columns(generations: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """One row per split and row id with the last answer of every task in its column, and its prompt if wanted.
 
-    One aggregate picks the last record of every task, so all tasks cost one shuffle and one join. With ``splits``
-    only rows of these take the new values; all others keep what a column held before.
+    One aggregate picks the last record of every task, so all tasks cost one shuffle.
     """
     order = F.struct("rank", "line_no")
     picks = [
         F.max_by(F.struct("answer", "prompt"), F.when(F.col("prompt_name") == t.prompt_name, order)).alias(f"_t{i}")
         for i, t in enumerate(tasks)
     ]
-    by_row = generations.groupBy("split", "row_id").agg(*picks)
-    made = {}
+    made: dict[str, Column] = {}
     for i, task in enumerate(tasks):
         made[task.answer_column] = F.col(f"_t{i}.answer")
         if task.prompt_column:
-            recorded = F.when(F.col(f"_t{i}").isNotNull(), safe_text(F.col(f"_t{i}.prompt")))
-            made[task.prompt_column] = recorded
-    wide = by_row.select(
+            made[task.prompt_column] = F.when(F.col(f"_t{i}").isNotNull(), safe_text(F.col(f"_t{i}.prompt")))
+    by_row = generations.groupBy("split", "row_id").agg(*picks)
+    return by_row.select("split", "row_id", *[value.alias(column) for column, value in made.items()])
+
+
+def merge_generations(
+    df: DataFrame,
+    generations: DataFrame,
+    tasks: Sequence[Task],
+    names: Corpus = CORPUS,
+    splits: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add one answer column per task, and its prompt column if wanted, by one join.
+
+    With ``splits`` only rows of these take the new values; all others keep what a column held before. A corpus of
+    versions needs no merge: ``sources.columns`` adds the narrow table of ``generated_columns`` beside the wide one.
+    """
+    made = generated_columns(generations, tasks)
+    added = made.columns[2:]
+    wide = made.select(
         F.col("split").alias(names.split),
         F.col("row_id").alias(names.row_id),
-        *[value.alias(f"_new_{i}") for i, value in enumerate(made.values())],
+        *[F.col(column).alias(f"_new_{i}") for i, column in enumerate(added)],
     )
     target = F.lit(True) if splits is None else F.col(names.split).isin(list(splits))
     before = set(df.columns)
     columns = []
-    for i, column in enumerate(made):
+    for i, column in enumerate(added):
         new = F.col(f"_new_{i}")
         columns.append((F.when(target, new).otherwise(F.col(column)) if column in before else F.when(target, new)).alias(column))
     joined = df.join(wide, [names.split, names.row_id], "left")
-    return joined.select(*[c for c in df.columns if c not in made], *columns)
+    return joined.select(*[c for c in df.columns if c not in added], *columns)
 
 
 def missing_answers(

@@ -110,6 +110,42 @@ def test_retry_once_keeps_the_second_result(spark):
     assert strict.retried
 
 
+def test_one_model_for_each_worker(spark, tmp_path):
+    builds = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(builds, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda prompts, style, attempt: ["short" if int(p) % 3 == 0 else "word " * 12 for p in prompts]
+
+    df = spark.range(64).select(F.col("id").cast("string").alias("prompt"), F.lit("a").alias("prompt_name")).repartition(16)
+    rows = G.generate_with_retry(df, make).collect()
+    assert sum(r.retried for r in rows) == 22 and len(rows) == 64
+    G.generate(df, make).collect()
+    made = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    workers = int(spark.sparkContext.defaultParallelism)
+    assert len(made) == len(set(made)) <= workers  # at least 16 + 16 tasks, and those of the retry
+
+
+def test_kept_objects_are_bounded():
+    from answerloom.operators import workers
+
+    closed = []
+
+    class Model:
+        def close(self):
+            closed.append(self)
+
+    first = workers.held("one", Model)
+    assert workers.held("one", Model) is first and not closed
+    workers.held("two", Model)
+    assert closed == [first] and len(workers._HELD) == 1
+    settings = {"a": 1}
+    assert workers.key_of(lambda: settings) != workers.key_of(lambda: {"a": 2})
+
+
 def test_record_files(spark, tmp_path):
     (tmp_path / "train__my__style__rank0.jsonl").write_text('{"index": 1, "answer": "é"}\n\n{"index": 1, "answer": "z", "prompt": " p "}\n', encoding="utf-8")
     (tmp_path / "train__my__style__rank1.jsonl").write_text('{"index": 0, "answer": "y"}\n')
