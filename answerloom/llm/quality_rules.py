@@ -16,6 +16,7 @@ COMMON_WORDS = {
 }
 #: Classes of characters, as patterns of what belongs to each; all other characters are a class too.
 CHAR_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[ \t-\r]", "[.,;:'\"?()-]", "[#*$%&|<>!]")
+SYMBOLS, SYMBOL_CLASS = "[#*$%&|<>]", CHAR_CLASSES[5]
 SPACES = "[\x20\x09-\x0d]"
 #: Words and share of repeated words of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -29,15 +30,27 @@ def text_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES + "+"), "")
 
 
-def matching(text: Column, pattern: str) -> Column:
-    """Characters of a text inside a class."""
-    return F.length(F.regexp_replace(text, f"[^{pattern[1:]}+", "")).cast("long")
+#: Order in which the classes are taken out of a text: the most common ones first, so that little is left for the others.
+_TAKEN = (0, 3, 1, 4, 2, 5)
 
 
-def vocabulary(common: dict[str, tuple[str, ...]]) -> list[str]:
-    return sorted({w for words in common.values() for w in words})
+def with_char_classes(df: DataFrame, text: str) -> DataFrame:
+    """Adds chars (characters of each class) and n_symbols, taking one class after the other out of the text."""
+    left = F.col(text)
+    for i in _TAKEN:
+        if CHAR_CLASSES[i] == SYMBOL_CLASS:
+            df = df.withColumn("__quiet", F.regexp_replace(left, SYMBOLS + "+", ""))
+        df = df.withColumn(f"__left{i}", F.regexp_replace(left, CHAR_CLASSES[i] + "+", ""))
+        df = df.withColumn(f"__n{i}", (F.length(left) - F.length(f"__left{i}")).cast("long"))
+        if CHAR_CLASSES[i] == SYMBOL_CLASS:
+            df = df.withColumn("n_symbols", (F.length(left) - F.length("__quiet")).cast("long"))
+        left = F.col(f"__left{i}")
+    own = [f"__n{i}" for i in range(len(CHAR_CLASSES))]
+    return df.withColumn("chars", F.array(*own)).drop("__quiet", *own, *[f"__left{i}" for i in _TAKEN])
 
 
+def vocabulary(common: dict[str, tuple[str, ...]]) -> list[str]:
+    return sorted({w for words in common.values() for w in words})
 
 
 def repeated_words(df: DataFrame, words: str) -> DataFrame:
@@ -106,19 +119,16 @@ def text_features(
     df = df.withColumn("words", text_words(F.col("text")))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\x20\x09-\x0d]")))
     df = df.withColumn("hits", F.array_join(F.transform(F.filter(F.transform("words", F.lower), lambda w: w.isin(frequent)), lambda w: F.concat(F.lit("\x01"), w, F.lit("\x02"))), ""))
-    classes = [matching(F.col("text"), c) for c in CHAR_CLASSES]
     found = [
         ((F.length("hits") - F.length(F.replace("hits", F.lit(f"\x01{w}\x02"), F.lit("")))) / (len(w) + 2)).cast("long")
         for w in frequent
     ]
-    df = repeated_words(df, "words").select(
-        *("id", "lang", "n_repeat_words"),
+    df = repeated_words(with_char_classes(df, "text"), "words").select(
+        *("id", "lang", "n_repeat_words", "n_symbols", "chars"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        matching(F.col("text"), "[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length("text").cast("long").alias("n_chars"),
-        F.array(*classes).alias("chars"),
         F.array(*found).alias("common"),
     )
     rest = lambda a, total: F.concat(a, F.array(total - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)))
