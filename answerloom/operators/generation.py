@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -159,11 +159,13 @@ def plan_tasks(
     save_prompts: bool = False,
     on_conflict: str = "error",
     names: Corpus = CORPUS,
+    filled: Collection[str] = (),
 ) -> list[Task]:
     """Tasks to run on the rows of the target splits.
 
     A task is in conflict where its answer or prompt column already holds a value in these rows; a column that other
-    splits filled is not. Conflicts are refused, left out, or run again.
+    splits filled is not. ``filled`` names columns known to hold values that the rows don't carry. Conflicts are
+    refused, left out, or run again.
     """
     if on_conflict not in ("error", "skip", "overwrite"):
         raise ValueError("on_conflict must be 'error', 'skip' or 'overwrite'.")
@@ -175,7 +177,7 @@ def plan_tasks(
     tasks = [task(spec) for spec in specs]
     if on_conflict == "overwrite":
         return tasks
-    taken = filled_in(rows, [c for t in tasks for c in (t.answer_column, t.prompt_column) if c])
+    taken = filled_in(rows, [c for t in tasks for c in (t.answer_column, t.prompt_column) if c]) | set(filled)
     clashing = [t for t in tasks if {t.answer_column, t.prompt_column} & taken]
     if clashing and on_conflict == "error":
         columns = sorted({t.answer_column for t in clashing})

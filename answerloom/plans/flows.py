@@ -26,19 +26,13 @@ from answerloom.operators.generation import (
     check_complete,
     generate,
     generate_with_retry,
-    merge_generations,
+    generated_columns,
     plan_tasks,
     scalar_answer,
     with_settings,
 )
-from answerloom.operators.learning import (
-    TrainParams,
-    evaluate_saved,
-    fit_tokenized,
-    predict,
-    predict_tokenized,
-    tokenized,
-)
+from answerloom.operators.heads import fit_heads, is_head, load_head, save_head, score_heads
+from answerloom.operators.learning import TrainParams, predict, tokenized
 from answerloom.operators.lengths import length_cap, length_frequencies, length_histogram, length_stats
 from answerloom.operators.prompts import (
     GenerationDefaults,
@@ -50,11 +44,14 @@ from answerloom.operators.prompts import (
 from answerloom.operators.reports import guided_rows, pilot_rows
 from answerloom.operators.sampling import seeded_positions, subsample, sweep_sizes, train_eval_split
 from answerloom.session import stage, unstage
+from answerloom.sources import columns as apart
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger, sinks
 from answerloom.sources.generations import pending, records, write_records
 from answerloom.sources.prompts import PromptSpec, select_specs, specs_frame
 
+# What tells the predictions of several heads apart.
+HEAD_COLUMNS = ("model_column", "eval_column", "train_rows")
 # Evaluation order of a shuffled set, and of one left as it is.
 TRAINING_ORDER = ("eval_order", "example_id")
 NATURAL_ORDER = ("split", "row_id", "label")
@@ -153,6 +150,7 @@ def augment(
     names: Corpus = CORPUS,
     prefix: str = "ai",
     chat: bool = False,
+    buckets: int = apart.BUCKETS,
 ) -> DataFrame:
     """Add one generated column per prompt style and publish the result as a new version.
 
@@ -160,23 +158,28 @@ def augment(
     generator gets lists of messages (role and content) in place of plain texts, for models with a chat template;
     the prompts that are kept are what was sent, messages as JSON.
 
-    Only the target splits take new values, and only they are written: a column that another split filled before is
-    kept there, and a conflict is an answer in the target splits.
+    The new columns are tables of their own beside the wide rows, which are written once, in ``buckets`` of the row id.
+    Only the target splits take new values: a column that another split filled before is kept there, and a conflict is
+    an answer in the target splits.
     If ``out`` holds a corpus, columns are added to that one, unless ``overwrite`` is set. Answers go
     to a durable table first; a run started again under the same ``run_id`` generates only what is missing.
     """
     spark = df.sparkSession
     tables.require_versioned(spark, out)
-    if not overwrite and files.exists(spark, f"{out}/{tables.POINTER}"):
-        df = tables.load(spark, out, names)
+    versioned = not overwrite and files.exists(spark, f"{out}/{tables.POINTER}")
+    by_column = versioned and apart.manifest(spark, out) is not None
+    if versioned:
+        df = tables.load(spark, out, names, [])  # the wide rows; prompts need no generated column
     df = C.normalize(df, names)
     rows = C.resolve_splits(df, splits, names)
     C.require_columns(rows, [names.question])
+    targets = list(splits) if splits else C.available_splits(df, names)
+    taken = apart.filled_columns(spark, out, targets) if by_column else set()
     tasks = plan_tasks(
-        rows, select_specs(specs, prompt_names), model_name, model_alias, prefix, save_prompts, on_conflict, names
+        rows, select_specs(specs, prompt_names), model_name, model_alias, prefix, save_prompts, on_conflict, names, taken
     )
     if not tasks:
-        return df
+        return tables.load(spark, out, names) if versioned else df
     chosen = [t.spec for t in tasks]
     params = check_generation_params(generation_params(specs_frame(spark, chosen), defaults))
     settings = {r["name"]: {k: r[k] for k in asdict(defaults)} for r in params.collect()}
@@ -212,14 +215,14 @@ def augment(
     many = max(sequences.values()) > 1
     answers = stored.withColumn("answer", F.col("answers") if many else scalar_answer(F.col("answers"), 1))
     check_complete(rows, answers, [t.prompt_name for t in tasks], names)
-    merged = merge_generations(df, answers, tasks, names, splits)
+    made = generated_columns(answers, tasks).withColumnsRenamed({"split": names.split, "row_id": names.row_id})
     if many:
         single = {
             t.answer_column: F.get(t.answer_column, F.lit(0)) for t in tasks if sequences[t.prompt_name] == 1
         }
-        merged = merged.withColumns(single) if single else merged
+        made = made.withColumns(single) if single else made
     config: dict[str, Any] = {
-        "splits": list(splits) if splits else C.available_splits(df, names),
+        "splits": targets,
         "prompt_names": [t.prompt_name for t in tasks],
         "answer_columns": [t.answer_column for t in tasks],
         "prompt_columns": [t.prompt_column for t in tasks if t.prompt_column],
@@ -229,8 +232,9 @@ def augment(
         "seed": seed,
         **asdict(defaults),
     }
-    known = None if overwrite or not splits else list(splits)
-    tables.publish(merged, out, {"run_id": run_id, **config}, "append", names, known)
+    if not by_column:
+        apart.publish_base(df, out, names=names, buckets=buckets)
+    apart.publish_columns(made, out, {"run_id": run_id, **config}, names)
     ledger.append_run(spark, f"{out}/runs", out, config, run_id)
     return tables.load(spark, out, names)
 
@@ -300,7 +304,10 @@ def train_and_evaluate(
     all_rows: bool = False,
     names: Corpus = CORPUS,
 ) -> DataFrame:
-    """Train one classifier per AI column, save it, and evaluate all of them in one bundle."""
+    """Train one classifier per AI column, save it, and evaluate all of them in one bundle.
+
+    All classifiers learn in the same passes; each keeps its best epoch by F1 on rows held out of the train split.
+    """
     C.require_answer_columns(df, names)
     columns = C.resolve_ai_columns(df, ai_columns, splits, names=names)
     examples = classification_examples(df, columns, params.seed, text_mode, window_words, max_samples, names)
@@ -310,15 +317,12 @@ def train_and_evaluate(
     open_ = [c for c in columns if tables.may_write(spark, folders[c], policy)]
     if not open_:
         return spark.createDataFrame([], "ai_column string")
-    # The corpus is flattened and tokenized once; every fit and every score reads its own folder of that.
-    data = stage(tokenized(examples.where(F.col("ai_column").isin(open_)), params), "ai_column")
-    predictions = None
-    for column in open_:
-        own = data.where(F.col("ai_column") == column)
-        model = fit_tokenized(own.where(F.col("split") == splits[0]), params)
-        model.write().overwrite().save(f"{folders[column]}/model")
-        scored = predict_tokenized(model, own.where(F.col("split") == splits[1]))
-        predictions = scored if predictions is None else predictions.unionByName(scored)
+    # The corpus is flattened and tokenized once.
+    data = stage(tokenized(examples.where(F.col("ai_column").isin(open_)), params))
+    heads = fit_heads(data.where(F.col("split") == splits[0]), open_, params)
+    for i, column in enumerate(open_):
+        save_head(spark, heads.only(i), f"{folders[column]}/model")
+    predictions = score_heads(heads, data.where(F.col("split") == splits[1]), own_column_only=True).drop(*HEAD_COLUMNS)
     metrics = write_eval_bundle(predictions, f"{out}/eval_logs/run={uuid.uuid4().hex[:8]}", all_rows=all_rows)
     unstage(data)
     return metrics
@@ -349,7 +353,7 @@ def evaluate_checkpoint(
     )
     require_examples(examples, columns, [eval_split])
     if out is None:
-        return evaluate_saved(model_path, examples, params)
+        return M.eval_metrics(predictions_of(model_path, examples, params), ["ai_column"])
     if not tables.may_write(df.sparkSession, out, policy):
         return df.sparkSession.read.json(f"{out}/eval_logs/metrics")
     for used in [model_path, *df.inputFiles()[:1]]:
@@ -368,10 +372,18 @@ def evaluate_checkpoint(
     }
     files.write_small(df.sparkSession, f"{out}/eval_config.json", json.dumps(config, indent=2))
     order = NATURAL_ORDER if max_eval_samples is None else TRAINING_ORDER
-    predictions = predict(PipelineModel.load(model_path), examples, params)
+    predictions = predictions_of(model_path, examples, params)
     return write_eval_bundle(predictions, f"{out}/eval_logs", all_rows=all_rows, order=order)
 
 
+def predictions_of(path: str, examples: DataFrame, params: TrainParams) -> DataFrame:
+    """Examples with the predictions of a saved classifier: a head, or a pipeline."""
+    if is_head(examples.sparkSession, path):
+        head = load_head(examples.sparkSession, path)
+        return score_heads(head, tokenized(examples, params)).drop(*HEAD_COLUMNS)
+    return predict(PipelineModel.load(path), examples, params)
+
+
 def sweep_train_sizes(
     df: DataFrame,
     ai_column: str,
@@ -408,20 +420,23 @@ def sweep_train_sizes(
     data = stage(tokenized(examples, params).join(place, ["split", "row_id"], "left"))
     tested = data.where(F.col("split") == splits[1])
     done: dict[int, DataFrame] = {}
+    train = data.where((F.col("split") == splits[0]) & (F.col("_place") < max(sizes)))
+    # all sizes learn in the same passes, each from the rows placed below it
+    heads = fit_heads(train, columns, params, open_, "_place") if open_ else None
     for size in sizes:
         folder = folders.get(size)
         if size not in open_:
             done[size] = spark.read.schema(SIZE_SCHEMA).json(f"{folder}/metric_row").withColumn("status", F.lit("skipped"))
             continue
-        model = fit_tokenized(data.where((F.col("split") == splits[0]) & (F.col("_place") < size)), params)
-        scored = stage(predict_tokenized(model, tested).withColumn("train_rows", F.lit(size).cast("long")))
+        head = heads.only(open_.index(size))
+        scored = stage(score_heads(head, tested).drop("model_column", "eval_column"))
         row = M.sweep_metrics(scored, [size]).withColumns(
             {"eval_column": F.lit(columns[0]), "run_output_dir": F.lit(folder).cast("string")}
         )
         done[size] = stage(row)
         if out:
             files.clear(spark, folder)
-            model.write().overwrite().save(f"{folder}/model")
+            save_head(spark, head, f"{folder}/model")
             write_eval_bundle(scored.drop("train_rows", "_place"), f"{folder}/eval_logs")
             unstage(scored)
             done[size].coalesce(1).write.mode("overwrite").json(f"{folder}/metric_row")

@@ -1,5 +1,6 @@
 """Prompt selection, context, rendering, generation values, merging generated answers."""
 
+import uuid
 from string import Formatter
 
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from answerloom.queries import sql as q
 from answerloom.queries.registry import query
 from answerloom.queries.sampling import FROZEN, order_sql
 from answerloom.queries.views import GENERATIONS, QA, SEED, STUB_PROMPTS, documents, generations, qa, table
-from answerloom.session import stage
+from answerloom.session import checkpoint_dir, stage
+from answerloom.sources import columns as apart
+from answerloom.sources import corpus
 from answerloom.sources.prompts import EXAMPLE_SPECS
 
 NAMES = [s.name for s in EXAMPLE_SPECS]
@@ -204,6 +207,26 @@ def merge_one_split(spark, sf_dir):
     return G.merge_generations(rows, generations(spark, sf_dir), tasks, splits=["eval"])
 
 
+@query(
+    "versioned_columns",
+    f"""WITH {QA}, {GENERATIONS} SELECT qa.row_id, qa.split, qa.question,
+          CASE WHEN qa.split = 'eval' THEN c.answer ELSE p.answer END AS ai_stub,
+          CASE WHEN qa.split = 'eval' THEN c.answer END AS ai_stub_casual FROM qa
+        LEFT JOIN latest p ON p.split = qa.split AND p.row_id = qa.row_id AND p.prompt_name = 'plain'
+        LEFT JOIN latest c ON c.split = qa.split AND c.row_id = qa.row_id AND c.prompt_name = 'casual'""",
+)
+def versioned_columns(spark, sf_dir):
+    """Three versions: the wide rows, a column for all rows, and one split of it replaced along with a new column."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    specs = {s.name: s for s in EXAMPLE_SPECS}
+    made = generations(spark, sf_dir)
+    apart.publish_base(qa(spark, sf_dir).select("row_id", "split", "question"), path, buckets=8)
+    apart.publish_columns(G.generated_columns(made, [G.Task(specs["plain"], "ai_stub")]), path)
+    both = [G.Task(specs["casual"], "ai_stub"), G.Task(specs["casual"], "ai_stub_casual")]
+    apart.publish_columns(G.generated_columns(made.where("split = 'eval'"), both), path)
+    return corpus.load(spark, path, columns=["ai_stub", "ai_stub_casual"])
+
+
 @query(
     "missing_answers",
     f"""WITH {QA}, {GENERATIONS}, styles(prompt_name) AS (VALUES {', '.join(f"('{n}')" for n in STUB_PROMPTS)})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 from typing import Any
 from urllib.parse import unquote
@@ -13,20 +12,26 @@ from pyspark.sql import functions as F
 
 from answerloom.columns import CORPUS, Corpus
 from answerloom.operators.corpus import normalize
+from answerloom.sources import columns as apart
 from answerloom.sources import files
 
 POINTER = "CURRENT"
-VERSIONED = (POINTER, "versions", "metadata", "generations", "prompts", "runs")
+VERSIONED = (POINTER, "versions", "columns", "metadata", "generations", "prompts", "runs")
 POLICIES = ("error", "overwrite", "skip")
 
 
-def load(spark: SparkSession, path: str, names: Corpus = CORPUS) -> DataFrame:
-    """A saved corpus: the current version of a versioned folder, or plain parquet."""
+def load(spark: SparkSession, path: str, names: Corpus = CORPUS, columns: Sequence[str] | None = None) -> DataFrame:
+    """A saved corpus: the current version of a versioned folder, or plain parquet.
+
+    Where generated columns are tables of their own, ``columns`` names those to read (default: all).
+    """
     if not files.exists(spark, path):
         raise FileNotFoundError(f"Dataset directory not found: {path}")
     if not files.exists(spark, f"{path}/{POINTER}"):
         return normalize(files.read_partitioned(spark, path, names.split), names)
     version = files.read_small(spark, f"{path}/{POINTER}").strip()
+    if apart.manifest(spark, path, version) is not None:
+        return normalize(apart.load_columns(spark, path, columns, names, version), names)
     whole = None
     for folder, splits in folders_of(spark, path, version).items():
         part = files.read_partitioned(spark, f"{path}/{folder}", names.split)
@@ -108,11 +113,12 @@ def publish(
         return load_version(spark, path)
     if policy == "append":
         require_versioned(spark, path)
-    taken = [n for n in files.child_names(spark, f"{path}/versions") if n.startswith("v")]
-    number = 1 + max((int(n[1:9]) for n in taken), default=0)
-    version = f"versions/v{number:08d}-{uuid.uuid4().hex[:8]}"
+    started = apart.current(spark, path)
+    version = apart.next_version(spark, path)
     rows = normalize(df, names)
     kept: dict[str, str] = {}
+    if changed is not None and apart.manifest(spark, path) is not None:
+        raise ValueError(f"{path} keeps its columns apart; add to it with publish_columns.")
     if changed is not None and files.exists(spark, f"{path}/{POINTER}"):
         before = files.read_small(spark, f"{path}/{POINTER}").strip()
         for folder, splits in folders_of(spark, path, before).items():
@@ -125,7 +131,7 @@ def publish(
         files.write_small(spark, f"{path}/metadata/{version.split('/')[1]}.splits.json", json.dumps(kept | here, indent=2))
     if metadata is not None:
         files.write_small(spark, f"{path}/metadata/{version.split('/')[1]}.json", json.dumps(metadata, indent=2))
-    files.write_small(spark, f"{path}/{POINTER}", version)
+    apart.move_pointer(spark, path, version, started)
     return f"{path}/{version}"
 
 

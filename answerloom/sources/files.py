@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -51,6 +55,26 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
     context.rename(context.makeQualified(draft), context.makeQualified(p), options)
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it exists. Of several writers only one succeeds."""
+    p, fs, _ = _path(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        return fs.createNewFile(p)
+    except Py4JJavaError:
+        return False
+
+
+def escape(value: str) -> str:
+    """A value as Spark writes it in the name of a partition folder."""
+    return SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def unescape(value: str) -> str:
+    """The value that a partition folder's name stands for."""
+    return unquote(value)
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 

@@ -8,6 +8,7 @@ from answerloom.operators import metrics as M
 from answerloom.operators.learning import TrainParams
 from answerloom.plans import flows
 from answerloom.queries.views import AI_COLUMNS, StubGenerator, qa
+from answerloom.sources import columns as apart
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger
 from answerloom.sources.prompts import EXAMPLE_SPECS, PromptSpec
@@ -61,12 +62,15 @@ def test_augment_one_split_after_the_other(spark, subset, tmp_path):
     args = dict(out=out, model_name="m", prompt_names=["plain"])
     flows.augment(subset, EXAMPLE_SPECS, says("one"), splits=["train"], **args)
     flows.augment(subset, EXAMPLE_SPECS, says("two"), splits=["eval"], **args)
-    train_folder = next(f for f, s in tables.folders_of(spark, out, files.read_small(spark, f"{out}/CURRENT")).items() if s == ["train"])
+    before = apart.manifest(spark, out)
     again = flows.augment(subset, EXAMPLE_SPECS, says("three"), splits=["eval"], on_conflict="overwrite", **args)
     assert {tuple(r) for r in again.select("split", "ai_m_plain").distinct().collect()} == {("train", "one"), ("eval", "three")}
     assert again.count() == 90
-    now = tables.folders_of(spark, out, files.read_small(spark, f"{out}/CURRENT"))
-    assert now[train_folder] == ["train"] and len(now) == 2  # the other split's files stay where they were
+    now = apart.manifest(spark, out)
+    # the wide rows and the other split's answers stay where they were
+    assert now["base"] == before["base"] and len(files.child_names(spark, f"{out}/versions")) == 1
+    assert now["columns"]["ai_m_plain"]["train"] == before["columns"]["ai_m_plain"]["train"]
+    assert now["columns"]["ai_m_plain"]["eval"] != before["columns"]["ai_m_plain"]["eval"]
     with pytest.raises(ValueError, match="Column conflict"):
         flows.augment(subset, EXAMPLE_SPECS, says("four"), splits=["eval"], **args)
     same = flows.augment(subset, EXAMPLE_SPECS, says("four"), splits=["eval"], on_conflict="skip", **args)
