@@ -120,7 +120,7 @@ def test_runs_of_odd_rows(spark):
     rows = queries_digest(periodic, docs)
     assert sum(map(len, rows.values())) == docs.count() and rows[2][0].n_runs == 0 and rows[2][0].collapsed_sha256 == sha("")
     assert len(rows[5]) == 2 and rows[5][0] == rows[5][1]
-    assert rows[4][0].n_runs == 1 and rows[4][0].period == 20  # a text of 8,000 equal blocks
+    assert rows[4][0].n_runs == 1 and rows[4][0].period == 21  # a text of 8,000 equal blocks
     assert periodic.run_digest(periodic.periodic_runs(periodic.with_repeated_tails(docs.limit(0)))).count() == 0
 
 
