@@ -351,14 +351,16 @@ def _merged(words: pa.Array) -> pa.RecordBatch:
 
 
 def save_head(spark: SparkSession, heads: Heads, path: str) -> None:
-    """Write a model of one head: its facts, and the weights of features that have one."""
+    """Write a model of one head: its facts, and the features that any example has."""
     if len(heads.columns) != 1:
         raise ValueError("Save one head at a time.")
-    used = np.flatnonzero(heads.weights[0])
-    table = pa.table({"feature": used, "weight": heads.weights[0][used], "idf": np.append(heads.idf, 0.0)[used]})
+    rare = float(heads.idf.max())  # of features that no example has
+    idf = np.append(heads.idf, rare)
+    used = np.flatnonzero((heads.weights[0] != 0) | (idf != rare))
+    table = pa.table({"feature": used, "weight": heads.weights[0][used], "idf": idf[used]})
     spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     facts = {"ai_column": heads.columns[0], "features": len(heads.idf), "epoch": heads.epochs[0], "reg_param": heads.reg_params[0]}
-    facts |= {"held_out_f1": heads.held_out_f1[0], "limit": heads.limits[0], "rare": float(heads.idf.max())}
+    facts |= {"held_out_f1": heads.held_out_f1[0], "limit": heads.limits[0], "rare": rare}
     files.write_small(spark, f"{path}/head.json", json.dumps(facts, indent=2))
 
 
