@@ -63,13 +63,13 @@ def random_other_answer(
 
     Rows with an answer get a dense rank per split. A row draws among the ``n - 1`` other ranks, so
     it meets itself only where it is the whole pool; a row without an answer draws among all ``n``.
-    The drawn rank is looked up by an equi join in which every rank occurs once.
+    Ranks are given and looked up with ids alone, by an equi join in which every rank occurs once; texts are
+    fetched at the end, each row's own columns and its answer for others once.
     """
     ids = ["split", "row_id"]
-    has_answer = F.col(answer) != ""
     lend = lend or {}
-    keep = list(dict.fromkeys([*ids, *carry, answer, *lend]))
-    ranked = seeded_positions(df.select(*keep), seed, ids, ["split"], "_rank", counting=has_answer, total="_pool")
+    narrow = df.select(*ids, (F.col(answer) != "").alias("_has"))
+    ranked = seeded_positions(narrow, seed, ids, ["split"], "_rank", counting=F.col("_has"), total="_pool")
     ticket = hash60(seed, F.col("split"), F.col("row_id"), F.col("prompt_name"), "random_human")
     among_others = F.pmod(ticket, F.greatest(F.col("_pool") - 1, F.lit(1)))
     among_all = F.pmod(ticket, F.greatest(F.col("_pool"), F.lit(1)))
@@ -83,15 +83,19 @@ def random_other_answer(
             .when(F.col("_pool") == 1, F.lit(0))
             .otherwise(F.col("_other") + (F.col("_other") >= F.col("_rank")).cast("long")),
         )
-        .select(*dict.fromkeys([*ids, *carry]), "prompt_name", "_target")
+        .select(*ids, "prompt_name", "_target")
     )
-    pool = ranked.where(F.col("_rank").isNotNull()).select(
+    pool = ranked.where(F.col("_rank").isNotNull()).select("split", F.col("_rank").alias("_target"), F.col("row_id").alias("_from"))
+    asked = drawn.join(pool, ["split", "_target"], "left").drop("_target")
+    lent = df.select(
         "split",
-        F.col("_rank").alias("_target"),
+        F.col("row_id").alias("_from"),
         F.col(answer).alias("random_human_answer"),
         *[F.col(there).alias(here) for there, here in lend.items()],
     )
-    joined = drawn.join(pool, ["split", "_target"], "left")
+    found = asked.join(lent, ["split", "_from"], "left").drop("_from")
+    kept = [c for c in dict.fromkeys(carry) if c not in ids]
+    joined = found.join(df.select(*ids, *kept), ids) if kept else found
     return joined.withColumn("random_human_answer", F.coalesce("random_human_answer", F.lit(""))).select(
         *dict.fromkeys([*ids, *carry]), "prompt_name", "random_human_answer", *lend.values()
     )

@@ -13,7 +13,6 @@ from answerloom.functions.invisible import describe_invisibles, invisible_count
 from answerloom.functions.quality import distinct_words, hit_limit, is_bad_basic, is_bad_strict, overlap_of_words
 from answerloom.functions.seeding import hash32
 from answerloom.functions.text import (
-    count_words,
     head_answers,
     indent_lines,
     omitted_answers,
@@ -96,9 +95,8 @@ def example_report(
 TokenAudit = "struct<input_ids:array<long>,tokens:array<string>,special_tokens_mask:array<int>,decoded:string,truncated:boolean>"
 
 
-def whitespace_audit(text: Column, max_length: int) -> Column:
-    """Token audit with whitespace words for tokens and hashes for ids, all on the JVM."""
-    words = split_words(safe_text(text))
+def whitespace_audit(words: Column, max_length: int) -> Column:
+    """Token audit of the whitespace words of a text, with hashes for ids, all on the JVM."""
     kept = F.slice(words, 1, max_length)
     return F.struct(
         F.transform(kept, lambda w: hash32(w)).alias("input_ids"),
@@ -137,19 +135,21 @@ def truncated_tokens(df: DataFrame, text: str, max_length: int, out: str = "toke
 
 def input_facts(examples: DataFrame, max_length: int, audit: Callable[[Column], Column] | None = None) -> DataFrame:
     """What a classifier gets for each example: counts, window, tokens, truncation, invisible characters."""
-    audited = audit or (lambda c: whitespace_audit(c, max_length))
+    # the words stand in a column of their own, so that a text is split once
+    examples = examples.withColumn("text", safe_text(F.col("text"))).withColumn("_words", split_words(F.col("text")))
+    audited = audit(F.col("text")) if audit else whitespace_audit(F.col("_words"), max_length)
     return (
-        examples.withColumn("text", safe_text(F.col("text")))
-        .withColumn("_audit", audited(F.col("text")))
+        examples.withColumn("_audit", audited)
         .withColumns(
             {
                 "raw_character_count": F.length("text"),
-                "whitespace_word_count": count_words(F.col("text")),
+                "whitespace_word_count": F.size("_words"),
                 "token_count": F.size("_audit.input_ids"),
                 "truncated": F.col("_audit.truncated"),
                 "invisible_control_chars": invisible_count(F.col("text")),
             }
         )
+        .drop("_words")
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from answerloom.columns import CORPUS, Corpus
 from answerloom.functions.seeding import order_key
+from answerloom.session import stage
 
 _KEY, _BUCKET, _BEFORE = "_order_key", "_bucket", "_before"
 # 16 ** 4 buckets: at ten billion rows about 150,000 rows each.
@@ -27,6 +28,16 @@ GROUPED_DIGITS = 3
 FIRST_N_PARTS = 64
 
 
+def _bucketed(df: DataFrame, seed: int, ids: Sequence[str], digits: int) -> DataFrame:
+    keyed = df.withColumn(_KEY, order_key(seed, *[F.col(c) for c in ids]))
+    return keyed.withColumn(_BUCKET, F.substring(_KEY, 1, digits))
+
+
+def bucket_sizes(df: DataFrame, seed: int, ids: Sequence[str], digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Rows in each bucket of the permutation; their sum is the number of rows. At most 16 ** digits rows."""
+    return _bucketed(df.select(*ids), seed, ids, digits).groupBy(_BUCKET).agg(F.count("*").alias("_n"))
+
+
 def seeded_positions(
     df: DataFrame,
     seed: int,
@@ -37,6 +48,7 @@ def seeded_positions(
     counting: Column | None = None,
     total: str | None = None,
     digits: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Append the 0-based position of each row in the seeded permutation of its ``by`` group.
 
@@ -45,15 +57,15 @@ def seeded_positions(
     null to the others. ``total`` names a column for the number of numbered rows of the group.
     ``by`` is for few groups, such as splits or AI columns. With ``by`` and ``below`` the digest gives one digit
     less for buckets, as one set of offsets per group is broadcast; positions don't depend on the number of digits.
+    ``sizes`` saves a pass where the caller has staged the ``bucket_sizes`` of these rows.
     """
     by = list(by)
     if digits is None:
         digits = GROUPED_DIGITS if by and below is not None else BUCKET_DIGITS
-    keyed = df.withColumn(_KEY, order_key(seed, *[F.col(c) for c in ids])).withColumn(
-        _BUCKET, F.substring(_KEY, 1, digits)
-    )
+    keyed = _bucketed(df, seed, ids, digits)
     counted = F.lit(True) if counting is None else counting
-    sizes = keyed.groupBy(*by, _BUCKET).agg(F.count_if(counted).alias("_n"))
+    if sizes is None:
+        sizes = keyed.groupBy(*by, _BUCKET).agg(F.count_if(counted).alias("_n"))
     # At most 16 ** digits rows per group meet in this window.
     group = Window.partitionBy(*(by or [F.lit(0)]))
     ahead = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -86,22 +98,25 @@ def train_eval_split(
     eval_size: int,
     seed: int,
     names: Corpus = CORPUS,
-    available: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Cut exact-size disjoint train and eval splits; positions restart at 0 in each.
 
     The old identity goes to the origin columns where they are missing, and the position in the
-    new split becomes the row id. ``available`` saves the count if the caller already has it.
+    new split becomes the row id. The rows are counted by the bucket sizes that the permutation needs anyway, so they
+    are read twice in all; ``sizes`` are these if the caller has staged them.
     """
     if train_size <= 0 or eval_size <= 0:
         raise ValueError("train_size and eval_size must be positive.")
     wanted = train_size + eval_size
-    have = df.count() if available is None else available
+    ids = [names.split, names.row_id]
+    sizes = stage(bucket_sizes(df, seed, ids)) if sizes is None else sizes
+    have = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if wanted > have:
         raise ValueError(f"Requested {wanted:,} rows but only {have:,} usable rows are available.")
     if names.origin_split not in df.columns:
         df = df.withColumns({names.origin_split: F.col(names.split), names.origin_index: F.col(names.row_id)})
-    chosen = seeded_positions(df, seed, [names.split, names.row_id], out="_position", below=wanted)
+    chosen = seeded_positions(df, seed, ids, out="_position", below=wanted, sizes=sizes)
     to_train = F.col("_position") < train_size
     return chosen.withColumns(
         {

@@ -42,7 +42,7 @@ from answerloom.operators.prompts import (
     prompt_grid,
 )
 from answerloom.operators.reports import guided_rows, pilot_rows
-from answerloom.operators.sampling import seeded_positions, subsample, sweep_sizes, train_eval_split
+from answerloom.operators.sampling import bucket_sizes, seeded_positions, subsample, sweep_sizes, train_eval_split
 from answerloom.session import stage, unstage
 from answerloom.sources import columns as apart
 from answerloom.sources import corpus as tables
@@ -110,17 +110,16 @@ def create_subset(
     """Exact-size train and eval cut of the usable rows with one human answer frozen per row."""
     chosen = C.resolve_splits(C.normalize(df, names), splits, names)
     rows = C.usable_rows(C.with_origin(chosen, names), names)
-    available = rows.count()
-    subset = C.freeze_human(
-        train_eval_split(rows, train_size, eval_size, seed, names, available), seed, names
-    )
+    # one pass counts the rows and the buckets of their permutation, one takes the chosen rows
+    sizes = stage(bucket_sizes(rows, seed, [names.split, names.row_id]))
+    subset = C.freeze_human(train_eval_split(rows, train_size, eval_size, seed, names, sizes), seed, names)
     if out is None or not tables.may_write(df.sparkSession, out, policy):
         return subset
     subset.write.mode("overwrite").partitionBy(names.split).parquet(f"{out}/data")
     config = {
         "source_splits": list(splits) if splits else None,
         "seed": seed,
-        "source_rows_after_filtering": available,
+        "source_rows_after_filtering": sizes.agg(F.sum("_n")).first()[0],
         "train_size": train_size,
         "eval_size": eval_size,
         **asdict(names),
@@ -311,7 +310,6 @@ def train_and_evaluate(
     C.require_answer_columns(df, names)
     columns = C.resolve_ai_columns(df, ai_columns, splits, names=names)
     examples = classification_examples(df, columns, params.seed, text_mode, window_words, max_samples, names)
-    require_examples(examples, columns, splits)
     spark = df.sparkSession
     folders = {c: f"{out}/{sanitize_name(c, 'ai_column')}" for c in columns}
     open_ = [c for c in columns if tables.may_write(spark, folders[c], policy)]
@@ -319,6 +317,7 @@ def train_and_evaluate(
         return spark.createDataFrame([], "ai_column string")
     # The corpus is flattened and tokenized once.
     data = stage(tokenized(examples.where(F.col("ai_column").isin(open_)), params))
+    require_examples(data, open_, splits)  # two narrow columns of what is written already
     heads = fit_heads(data.where(F.col("split") == splits[0]), open_, params)
     for i, column in enumerate(open_):
         save_head(spark, heads.only(i), f"{folders[column]}/model")

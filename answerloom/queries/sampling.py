@@ -10,6 +10,7 @@ from answerloom.queries import sql as q
 from answerloom.queries.corpus import FLAT, USABLE_SQL, flat_examples
 from answerloom.queries.registry import query
 from answerloom.queries.views import AI_COLUMNS, QA, SEED, qa
+from answerloom.session import stage
 
 SUBSAMPLE = 500
 SHOWN_ROWS = 25
@@ -88,8 +89,9 @@ def permuted_rows(spark, sf_dir):
 )
 def train_eval_split(spark, sf_dir):
     rows = C.usable_rows(C.with_origin(qa(spark, sf_dir)))
-    available = rows.count()
-    cut = S.train_eval_split(rows, available * 6 // 10, available * 2 // 10, SEED, available=available)
+    sizes = stage(S.bucket_sizes(rows, SEED, ["split", "row_id"]))
+    available = sizes.agg(F.sum("_n")).first()[0]
+    cut = S.train_eval_split(rows, available * 6 // 10, available * 2 // 10, SEED, sizes=sizes)
     return cut.select("split", "row_id", "origin_split", "origin_index", "source")
 
 
