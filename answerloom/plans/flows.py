@@ -47,7 +47,7 @@ from answerloom.session import stage, unstage
 from answerloom.sources import columns as apart
 from answerloom.sources import corpus as tables
 from answerloom.sources import files, ledger, sinks
-from answerloom.sources.generations import pending, records, write_records
+from answerloom.sources.generations import pending, read_shards, records, write_records
 from answerloom.sources.prompts import PromptSpec, select_specs, specs_frame
 
 # What tells the predictions of several heads apart.
@@ -238,6 +238,61 @@ def augment(
     return tables.load(spark, out, names)
 
 
+def ingest_shards(
+    df: DataFrame,
+    shards: str,
+    out: str,
+    model_name: str,
+    model_alias: str | None = None,
+    prompt_names: Sequence[str] | None = None,
+    splits: Sequence[str] | None = None,
+    save_prompts: bool = False,
+    on_conflict: str = "error",
+    overwrite: bool = False,
+    names: Corpus = CORPUS,
+    prefix: str = "ai",
+    buckets: int = apart.BUCKETS,
+) -> DataFrame:
+    """Add the answers of shard files (``<split>__<prompt>__rank<n>.jsonl``) as columns, as ``augment`` adds its own.
+
+    ``prompt_names`` defaults to the styles that the files name. Records of other splits are left alone; an unknown row
+    or a row without an answer is an error. Only the answers are shuffled and written.
+    """
+    spark = df.sparkSession
+    tables.require_versioned(spark, out)
+    versioned = not overwrite and files.exists(spark, f"{out}/{tables.POINTER}")
+    by_column = versioned and apart.manifest(spark, out) is not None
+    df = C.normalize(tables.load(spark, out, names, []) if versioned else df, names)
+    rows = C.resolve_splits(df, splits, names)
+    targets = list(splits) if splits else C.available_splits(df, names)
+    found = read_shards(spark, shards).where(F.col("split").isin(targets))
+    styles = list(prompt_names or sorted(r[0] for r in found.select("prompt_name").distinct().collect()))
+    made_before = apart.filled_columns(spark, out, targets) if by_column else set()
+    specs = [PromptSpec(style, "{question}") for style in styles]
+    tasks = plan_tasks(rows, specs, model_name, model_alias, prefix, save_prompts, on_conflict, names, made_before)
+    if not tasks:
+        return tables.load(spark, out, names) if versioned else df
+    wanted = stage(found.where(F.col("prompt_name").isin([t.prompt_name for t in tasks])))
+    check_complete(rows, wanted, [t.prompt_name for t in tasks], names)
+    made = generated_columns(wanted, tasks).withColumnsRenamed({"split": names.split, "row_id": names.row_id})
+    config = {
+        "splits": targets,
+        "prompt_names": [t.prompt_name for t in tasks],
+        "answer_columns": [t.answer_column for t in tasks],
+        "prompt_columns": [t.prompt_column for t in tasks if t.prompt_column],
+        "model_name": model_name,
+        "model_alias": model_alias,
+        "shards": shards,
+    }
+    run_id = uuid.uuid4().hex
+    if not by_column:
+        apart.publish_base(df, out, names=names, buckets=buckets)
+    apart.publish_columns(made, out, {"run_id": run_id, **config}, names)
+    ledger.append_run(spark, f"{out}/runs", out, config, run_id)
+    unstage(wanted)
+    return tables.load(spark, out, names)
+
+
 def classification_examples(
     df: DataFrame,
     ai_columns: Sequence[str],

@@ -15,6 +15,7 @@ from answerloom.queries.views import GENERATIONS, QA, SEED, STUB_PROMPTS, docume
 from answerloom.session import checkpoint_dir, stage
 from answerloom.sources import columns as apart
 from answerloom.sources import corpus
+from answerloom.sources.generations import read_shards, write_shards
 from answerloom.sources.prompts import EXAMPLE_SPECS
 
 NAMES = [s.name for s in EXAMPLE_SPECS]
@@ -227,6 +228,24 @@ def versioned_columns(spark, sf_dir):
     return corpus.load(spark, path, columns=["ai_stub", "ai_stub_casual"])
 
 
+@query(
+    "ingest_shards",
+    f"""WITH {QA}, {GENERATIONS} SELECT qa.row_id, qa.split, qa.question, p.answer AS ai_stub_plain, p.prompt AS prompt_ai_stub_plain,
+          c.answer AS ai_stub_casual FROM qa
+        LEFT JOIN latest p ON p.split = qa.split AND p.row_id = qa.row_id AND p.prompt_name = 'plain'
+        LEFT JOIN latest c ON c.split = qa.split AND c.row_id = qa.row_id AND c.prompt_name = 'casual'""",
+)
+def ingest_shards(spark, sf_dir):
+    """Records written as line files by split, style and rank, read again, and added to the corpus as columns."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    specs = {s.name: s for s in EXAMPLE_SPECS}
+    tasks = [G.Task(specs["plain"], "ai_stub_plain", "prompt_ai_stub_plain"), G.Task(specs["casual"], "ai_stub_casual")]
+    write_shards(generations(spark, sf_dir), f"{path}/shards")
+    apart.publish_base(qa(spark, sf_dir).select("row_id", "split", "question"), f"{path}/corpus", buckets=8)
+    apart.publish_columns(G.generated_columns(read_shards(spark, f"{path}/shards/*.jsonl"), tasks), f"{path}/corpus")
+    return corpus.load(spark, f"{path}/corpus")
+
+
 @query(
     "missing_answers",
     f"""WITH {QA}, {GENERATIONS}, styles(prompt_name) AS (VALUES {', '.join(f"('{n}')" for n in STUB_PROMPTS)})

@@ -40,6 +40,13 @@ def clear(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file; fails where the target exists."""
+    p, fs, _ = _path(spark, source)
+    if not fs.rename(p, _path(spark, target)[0]):
+        raise FileExistsError(f"{source} could not be moved to {target}.")
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that readers see the old or the new text, never a part of it."""
     p, fs, conf = _path(spark, path)

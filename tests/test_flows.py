@@ -77,6 +77,26 @@ def test_augment_one_split_after_the_other(spark, subset, tmp_path):
     assert {r[0] for r in same.select("ai_m_plain").distinct().collect()} == {"one", "three"}
 
 
+def test_shards_become_columns(spark, subset, tmp_path):
+    from answerloom.sources.generations import write_shards
+
+    shards, out = str(tmp_path / "shards"), str(tmp_path / "aug")
+    made = subset.select("split", "row_id", F.explode(F.array(F.lit("plain"), F.lit("my__style"))).alias("prompt_name"))
+    made = made.withColumns({"rank": F.col("row_id").cast("int") % 2, "line_no": F.col("row_id"), "answer": F.concat("prompt_name", F.lit(" é "), "row_id"), "prompt": F.lit("p")})
+    write_shards(made, shards)
+    names = files.child_names(spark, shards)
+    assert len(names) == 8 and "train__my__style__rank1.jsonl" in names
+    got = flows.ingest_shards(subset, f"{shards}/*.jsonl", out, "M", splits=["eval"], save_prompts=True)
+    rows = {(r.split, r.row_id): (r.ai_m_plain, r.ai_m_my_style, r.prompt_ai_m_plain) for r in got.collect()}
+    assert len(rows) == 90 and rows["eval", 3] == ("plain é 3", "my__style é 3", "p") and rows["train", 3] == (None, None, None)
+    with pytest.raises(ValueError, match="Column conflict"):
+        flows.ingest_shards(subset, f"{shards}/*.jsonl", out, "M", splits=["eval"])
+    both = flows.ingest_shards(subset, f"{shards}/*.jsonl", out, "M", ["plain"][0], ["plain"], on_conflict="overwrite")
+    assert "ai_plain_plain" in both.columns and both.where("ai_plain_plain is null").count() == 0
+    with pytest.raises(RuntimeError, match="Missing generated answers"):
+        flows.ingest_shards(subset, f"{shards}/*rank0.jsonl", out, "N", prompt_names=["plain"])
+
+
 def test_chat_messages_reach_the_generator(spark, subset, tmp_path):
     def make():
         def run(prompts, style, attempt):
