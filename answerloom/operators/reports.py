@@ -23,7 +23,8 @@ from answerloom.functions.text import (
 )
 from answerloom.operators.corpus import texts_of, with_human_answer
 from answerloom.operators.flatten import flatten, paired
-from answerloom.operators.sampling import first_n, sample_rows
+from answerloom.operators.sampling import first_n, sample_rows, seeded_positions
+from answerloom.session import stage, unstage
 
 _TEXT = "array<string>"
 
@@ -193,33 +194,34 @@ def input_report(
 
     Ordered by these columns they read as a report: per AI column a heading (sample -1) with the number of pairs there
     are and one line for each sampled row, then the human and the AI example of each row. Sampling comes before
-    tokenizing, so the tokenizer sees only the rows shown. A column without any pair is an error.
+    tokenizing, so the tokenizer sees only the rows shown. All columns are sampled in one pass and flattened once. A
+    column without any pair is an error.
     """
     if max_length <= 0 or max_tokens_shown <= 0:
         raise ValueError("max_length and max_tokens_shown must be positive.")
+    if k <= 0:
+        raise ValueError("The sample size must be positive.")
     rows = df.where(F.col(names.split) == split)
-    available = paired(rows, ai_columns, seed, [], names=names)
+    # One scan finds the pairs of all columns, as ids; one takes the texts of the sampled ones.
+    pair = ["ai_column", "split", "row_id"]
+    available = stage(paired(rows, ai_columns, seed, [], names=names).select(*pair))
     counts = {r["ai_column"]: r["count"] for r in available.groupBy("ai_column").count().collect()}
     empty = [c for c in ai_columns if not counts.get(c)]
     if empty:
         raise ValueError(f"No complete human and AI pair in split {split} for {', '.join(empty)}.")
-    parts, heads, sampled_lines = [], [], []
+    pairs = stage(seeded_positions(available, seed, pair[1:], pair[:1], "_position", below=k).select(*pair))
+    unstage(available)
+    examples = flatten(rows, ai_columns, seed, text_mode, window_words, names)
+    sampled = examples.join(F.broadcast(pairs), pair, "left_semi")  # k rows for each column at most
+    heads = []
     for column in ai_columns:
-        examples = flatten(rows, [column], seed, text_mode, window_words, names)
-        of_column = available.where(F.col("ai_column") == column).select("split", "row_id")
-        pairs = sample_rows(of_column, k, seed)
-        parts.append(examples.join(pairs, ["split", "row_id"], "left_semi"))
         fixed = [f"AI column: {column}", f"Split: {split}", f"Paired rows available: {counts[column]:,}"]
         heads += [(column, i, line) for i, line in enumerate(fixed)]
-        listed = pairs.select(
-            F.lit(column).alias("ai_column"),
-            (F.col("row_id") + len(fixed)).alias("line_no"),
-            F.concat(F.lit("Sampled row: "), "row_id").alias("line"),
-        )
-        sampled_lines.append(listed)
-    sampled = parts[0]
-    for part in parts[1:]:
-        sampled = sampled.unionByName(part)
+    listed = pairs.select(
+        "ai_column",
+        (F.col("row_id") + len(fixed)).alias("line_no"),
+        F.concat(F.lit("Sampled row: "), "row_id").alias("line"),
+    )
     facts = input_facts(sampled, max_length, audit)
     facts = facts.join(_invisible_lines(sampled, max_invisible), ["example_id", "ai_column"], "left")
 
@@ -279,9 +281,7 @@ def input_report(
         F.col("label").cast("int").alias("label"),
         F.posexplode(lines).alias("line_no", "line"),
     )
-    head = df.sparkSession.createDataFrame(heads, "ai_column string, line_no long, line string")
-    for listed in sampled_lines:
-        head = head.unionByName(listed)
+    head = df.sparkSession.createDataFrame(heads, "ai_column string, line_no long, line string").unionByName(listed)
     head = head.select("ai_column", F.lit(-1).cast("long").alias("sample_no"), F.lit(-1).alias("label"), "line_no", "line")
     return head.unionByName(body.withColumn("line_no", F.col("line_no").cast("long")))
 

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from answerloom.functions import text as T
 from answerloom.functions.invisible import describe_invisibles, invisible_count
 from answerloom.functions.naming import generated_column, sanitize
-from answerloom.operators.reports import input_facts, truncated_tokens
+from answerloom.operators.reports import input_facts, input_report, truncated_tokens
 from answerloom.queries import sql as q
 from answerloom.queries.corpus import FLAT, flat_examples
+from answerloom.queries.corpus import WINDOW as FLAT_WINDOW
 from answerloom.queries.registry import query
-from answerloom.queries.views import SEED, documents, table
+from answerloom.queries.sampling import order_sql
+from answerloom.queries.views import AI_COLUMNS, SEED, documents, qa, table
 
 WINDOW = 40
 CUT = 120
@@ -203,3 +205,36 @@ def input_inspection(spark, sf_dir):
         F.array_join(F.slice("_audit.input_ids", 1, SHOWN_TOKENS), " ").alias("shown_ids"),
         F.md5("_audit.decoded").alias("decoded_digest"),
     )
+
+
+SAMPLED, FACT_LINES = 4, 16
+
+
+@query(
+    "input_report_lines",
+    rf"""WITH {FLAT},
+        pairs AS (SELECT DISTINCT ai_column, split, row_id FROM flat WHERE split = 'eval'),
+        placed AS (SELECT *, count(*) OVER (PARTITION BY ai_column) AS available,
+          row_number() OVER (PARTITION BY ai_column ORDER BY {order_sql('split', 'row_id')}, split, row_id) AS place FROM pairs),
+        chosen AS (SELECT * FROM placed WHERE place <= {SAMPLED}),
+        t AS (SELECT f.*, 'Question: ' || question || chr(10) || chr(10) || 'Answer: ' || answer AS text
+          FROM flat f JOIN chosen c ON c.ai_column = f.ai_column AND c.split = f.split AND c.row_id = f.row_id),
+        w AS (SELECT *, {q.words('text')} AS tokens FROM t),
+        facts AS (SELECT *, [repeat('-', 120), 'row=' || row_id || ' | source=' || source, 'QUESTION:',
+          '  ' || replace(question, chr(10), chr(10) || '  '), upper(author_type) || ' EXAMPLE', '  label_id: ' || label,
+          '  answer_source_column: ' || answer_source_column, '  source: ' || source, '  raw_character_count: ' || length(text),
+          '  whitespace_word_count: ' || len(tokens), '  answer_window_start: ' || win, '  answer_window_end: ' || (win + least(n, {FLAT_WINDOW})),
+          '  answer_original_word_count: ' || n, '  token_count_with_specials: ' || least(len(tokens), {MAX_TOKENS}),
+          '  truncated_at_max_length_{MAX_TOKENS}: ' || (len(tokens) > {MAX_TOKENS}), '  invisible_control_chars: ' ||
+          (length(text) - length(regexp_replace(text, '{_INVISIBLE_SQL}', '', 'g')) - len(regexp_extract_all(text, '[\t\n\r]')))] AS lines FROM w)
+        SELECT ai_column, row_id AS sample_no, label::INT AS label, i::BIGINT AS line_no, lines[i + 1] AS line
+          FROM facts, range({FACT_LINES}) r(i)
+        UNION ALL SELECT ai_column, -1, -1, row_id + 3, 'Sampled row: ' || row_id FROM chosen
+        UNION ALL SELECT ai_column, -1, -1, i, CASE i WHEN 0 THEN 'AI column: ' || ai_column WHEN 1 THEN 'Split: eval'
+          ELSE 'Paired rows available: ' || format('{{:,}}', available) END
+          FROM (SELECT DISTINCT ai_column, available FROM placed), range(3) r(i)""",
+)
+def input_report_lines(spark, sf_dir):
+    """Headings and facts of the classifier input report: sampled pairs of every AI column."""
+    lines = input_report(qa(spark, sf_dir), "eval", AI_COLUMNS, SAMPLED, SEED, MAX_TOKENS, "question_answer", FLAT_WINDOW)
+    return lines.where(f"label = -1 OR line_no < {FACT_LINES}")
