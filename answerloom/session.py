@@ -9,7 +9,8 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SETTINGS = {
@@ -57,6 +58,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that a table doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 _SHIPPED: set[str] = set()
 
 
