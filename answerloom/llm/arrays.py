@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text that one step of a task holds as arrays; a longer single text is one step.
 SLICE_BYTES = 1 << 20
+#: Bytes from which a word's name is a cryptographic digest.
+LONG_WORD = 256
 #: Bytes that are hashed at once.
 _CHUNK = 1 << 20
 #: Id that stands for a null id; it sorts before every other.
@@ -127,7 +129,12 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         else:
             out[i:j] = _chunk_names(data, starts[i:j], ends[i:j])
         i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    out = mix(out + (ends - starts).astype(np.uint64))
+    # sums of powers modulo 2^64 can be made equal for words of some thousand bytes, so long words get a digest
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def words(column: pa.Array, space: np.ndarray = SPACE, lower: bool = False):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import flat, slices
-from answerloom.session import ship, stage
+from answerloom.session import fresh, quoted, ship, stage
 
 #: Consecutive words of an item that count as an occurrence; a shorter item counts as a whole.
 WINDOW = 10
@@ -178,21 +179,22 @@ def benchmark_hits(
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     parts = parts_of(benchmark, item_col, item_text_col, max_windows)
-    first = context.broadcast(_Part(next(parts)))
-    hits, more = None, []
-    for part in parts:
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return texts.mapInArrow(_scan(context.broadcast(_Part(first)), window, False), HIT_SCHEMA)
+    # rows get a number of their own, written down, so that each one's hits come back to it whatever its id is
+    numbered = stage(texts.withColumn("row", F.monotonically_increasing_id()))
+    rows = numbered.select(F.col("row").alias("id"), "text")
+    hits = None
+    for part in chain([first, second], parts):
         shared = context.broadcast(_Part(part))
-        more.append(stage(texts.mapInArrow(_scan(shared, window, True), HIT_SCHEMA)))
+        found = stage(rows.mapInArrow(_scan(shared, window, True), HIT_SCHEMA))
+        hits = found if hits is None else hits.unionByName(found)
         shared.unpersist()
-    if not more:
-        return texts.mapInArrow(_scan(first, window, False), HIT_SCHEMA)
-    hits = stage(texts.mapInArrow(_scan(first, window, True), HIT_SCHEMA))
-    for rows in more:
-        hits = hits.unionByName(rows)
-    by_id = hits.groupBy("id").agg(
+    by_row = hits.groupBy(F.col("id").alias("row")).agg(
         F.flatten(F.collect_set("items")).alias("items"), F.flatten(F.collect_set("spans")).alias("spans")
     )
-    joined = texts.alias("t").join(by_id.alias("h"), F.expr("t.id <=> h.id"), "left").select("t.id", "t.text", "h.items", "h.spans")
+    joined = numbered.join(by_row, "row", "left").select("id", "text", "items", "spans")
     return joined.mapInArrow(_united, HIT_SCHEMA)
 
 
@@ -209,5 +211,6 @@ def decontamination_digest(hits: DataFrame) -> DataFrame:
 
 def without_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose text shares no window with the test set, with all their columns; rows with a null id stay."""
-    found = stage(hits.where("n_hit > 0").select(F.col("id").alias("__hit")).distinct())
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__hit"), "left_anti")
+    hit = fresh("__hit", docs)
+    found = stage(hits.where("n_hit > 0").select(F.col("id").alias(hit)).distinct())
+    return docs.join(found, quoted(id_col).cast("long") == F.col(hit), "left_anti")

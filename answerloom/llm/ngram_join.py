@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from answerloom.llm.arrays import NULL_ID, as_long, mix, slices, window_names, words
 from answerloom.llm.components import connected_components
 from answerloom.llm.repeats import keyed, packed, unpacked
-from answerloom.session import stage, unstage
+from answerloom.session import fresh, quoted, stage, unstage
 
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
@@ -337,5 +337,6 @@ def join_digest(groups: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is the smallest of its component, with all their columns; rows with a null id stay."""
-    gone = stage(groups.where("id <> component_id").select(F.col("id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = fresh("__gone", docs)
+    gone = stage(groups.where("id <> component_id").select(F.col("id").alias(name)).distinct())
+    return docs.join(gone, quoted(id_col).cast("long") == F.col(name), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import NULL_ID, flat, mix, pair, slices, word_names
 from answerloom.llm.mixing import uniform
-from answerloom.session import ship, stage
+from answerloom.session import fresh, quoted, ship, stage
 
 #: Buckets of the n-gram models; the model is that many rows, whatever the corpus.
 BUCKETS = 1 << 16
@@ -200,5 +200,6 @@ def resampled(
 
 def accepted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id isn't rejected, with all their columns; rows with a null id stay."""
-    rejected = stage(sample.where("not selected and id is not null").select(F.col("id").alias("__rejected")).distinct())
-    return docs.join(rejected, F.col(id_col).cast("long") == F.col("__rejected"), "left_anti")
+    name = fresh("__rejected", docs)
+    rejected = stage(sample.where("not selected and id is not null").select(F.col("id").alias(name)).distinct())
+    return docs.join(rejected, quoted(id_col).cast("long") == F.col(name), "left_anti")

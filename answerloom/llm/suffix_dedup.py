@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from answerloom.llm.arrays import BYTE_NAMES, flat, pair
 from answerloom.llm.repeats import Runs, given_id, merged, minimum_runs, repeated_spans, row_keyed, unpacked, with_spans
+from answerloom.session import quoted
 
 #: Length in bytes from which a repeated string goes.
 MIN_BYTES = 100
@@ -145,7 +146,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
 
     A character that a removal cuts in two goes whole. A text that was null or empty before stays as it is.
     """
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
+    rest = F.struct(*[quoted(c) for c in docs.columns if c != text_col]).alias("rest")
     texts = row_keyed(docs, id_col, text_col, rest)
     spans = repeats(docs, min_bytes, id_col, text_col)
     schema = T.StructType([T.StructField("kept", T.StringType()), T.StructField("gone", T.BooleanType()), texts.schema["rest"]])

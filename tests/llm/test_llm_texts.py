@@ -155,3 +155,40 @@ def test_odd_rows_and_empty_tables(spark):
         assert mixed.columns == [*docs.columns, "copy", "shuffle_key"] and mixed.count() <= 10 * n
     found = {r["id"]: r for r in quality_rules.quality_verdicts(docs).collect()}
     assert found[1]["n_words"] == 0 and found[1]["base_failed"] and not found[1]["kept"]
+
+
+def test_words_of_equal_sums_have_names_of_their_own():
+    import pyarrow as pa
+
+    from answerloom.llm.arrays import words
+
+    turn = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(11):
+        word += word.translate(turn)
+    names = words(pa.array([f"{word} {word.translate(turn)} {word}"]))[3]
+    assert names[0] == names[2] != names[1]
+
+
+def test_parts_of_a_test_set_keep_rows_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, passage), (1, "clean text"), (None, passage), (None, "all clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, passage), (1, " ".join(f"q{i}" for i in range(15)))], "item_id long, text string")
+    for limit in (100_000, 3):
+        got = sorted((r.id or 0, r.n_hit) for r in decontamination.benchmark_hits(docs, bench, max_windows=limit).collect())
+        assert got == [(0, 0), (0, 12), (1, 0), (1, 12)]
+
+
+def test_stages_take_columns_named_like_their_own(spark):
+    import corpus_pipeline
+    from answerloom.llm import ngram_join, quality_classifier, suffix_dedup
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * 9) for i in range(6)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(("__hit", "__gone", "__rejected", "a.b"))})
+    bench = spark.createDataFrame([(0, "text number 3 " * 9)], "item_id long, text string")
+    assert decontamination.without_hits(docs, decontamination.benchmark_hits(docs, bench)).columns == docs.columns
+    assert ngram_join.one_of_each(docs, ngram_join.near_duplicates(docs, 5, 80)).columns == docs.columns
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    assert quality_classifier.accepted(docs, quality_classifier.resampled(docs, labels)).columns == docs.columns
+    assert suffix_dedup.without_repeats(docs).columns == docs.columns
+    assert corpus_pipeline.STAGES
