@@ -1,5 +1,7 @@
 """Output cleaning, output rules, retry, word overlap, pilot grids."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from answerloom.functions import quality as Q
@@ -14,7 +16,9 @@ from answerloom.queries.corpus import COMPLETE, PREPARED
 from answerloom.queries.registry import query
 from answerloom.queries.sampling import FROZEN
 from answerloom.queries.views import QA, SEED, StubGenerator, documents, qa
+from answerloom.session import checkpoint_dir
 from answerloom.sources.prompts import PromptSpec
+from answerloom.streaming.incremental import arriving_rows, incremental_generation
 
 # Openings put before the texts, so that every cleaning rule meets its case.
 OPENINGS = (
@@ -154,6 +158,27 @@ def retry_once(spark, sf_dir):
     )
 
 
+@query(
+    "incremental_answers",
+    f"""WITH {QA}, asked AS (SELECT row_id, split, {q.safe('question')} AS prompt FROM qa),
+        {retried_sql('asked', 'prompt', bad_basic_sql)}
+        SELECT row_id, split, CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END AS batch, answer, token_count::BIGINT AS token_count, retried
+        FROM settled""",
+)
+def incremental_answers(spark, sf_dir):
+    """Rows that arrive as files, some of them twice, answered by a stream that is run after each arrival."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    asked = qa(spark, sf_dir).select("row_id", "split", F.lit("plain").alias("prompt_name"), safe_text(F.col("question")).alias("prompt"))
+    for arrival in (asked.where("row_id % 3 <> 0"), asked.where("row_id % 3 = 0 OR row_id % 2 = 0")):
+        arrival.write.mode("append").parquet(f"{path}/in")
+        rows = arriving_rows(spark, f"{path}/in", asked.schema, files_per_batch=1_000_000)
+        stream = incremental_generation(rows, lambda batch: batch, StubGenerator, f"{path}/out", f"{path}/state")
+        stream.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(
+        "row_id", "split", F.col("batch").cast("int").alias("batch"), "answer", F.col("token_count").cast("long").alias("token_count"), "retried"
+    )
+
+
 @query(
     "word_overlap",
     f"""WITH {PREPARED}, w AS (SELECT row_id, ai_column, list_distinct({q.lexical('lower(ai_answer)')}) AS g,

@@ -1,8 +1,8 @@
 """Generate answers for rows as they arrive, with Structured Streaming.
 
-Nothing is aggregated in the stream, so no watermark is needed. Each micro-batch
-writes its own folder and rewrites it whole when retried; rows answered by an
-earlier batch are left out.
+Which rows have come is keyed state of the stream, so a batch costs what it brings
+and not what came before it. Each micro-batch writes its own folder and rewrites it
+whole when retried, from the state that the batch before it left.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from answerloom.operators.generation import GeneratorFactory, generate_with_retry
-from answerloom.sources import files
 
-KEYS = ["split", "row_id", "prompt_name"]
+#: What identifies a row; the state holds these alone.
+ROW = ["split", "row_id"]
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def arriving_rows(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -39,22 +40,27 @@ def incremental_generation(
     """Answer all rows that are there now and stop; run again for later arrivals.
 
     ``build_prompts`` turns the rows of a micro-batch into prompts with ``split``, ``row_id``,
-    ``prompt_name`` and ``prompt``; it may use any static table, such as the answer pool.
+    ``prompt_name`` and ``prompt``; it may use any static table, such as the answer pool. A row that comes again, in the
+    same batch or a later one, is dropped by its key in the state store, which is kept on disk. No earlier answer is read.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prompts = build_prompts(batch.dropDuplicates(["split", "row_id"]))
-        earlier = [n for n in files.child_names(spark, out) if n.startswith("batch=") and n != f"batch={batch_id}"]
-        if earlier:
-            done = spark.read.parquet(out).where(F.col("batch") != batch_id).select(*KEYS)
-            prompts = prompts.join(done, KEYS, "left_anti")
-        made = generate_with_retry(prompts, make_generator, batch_size=batch_size)
+        made = generate_with_retry(build_prompts(batch), make_generator, batch_size=batch_size)
         made.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        rows.writeStream.foreachBatch(answer)
-        .option("checkpointLocation", checkpoint_location)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = rows.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ON_DISK)  # a query takes its settings when it starts
+    try:
+        return (
+            rows.dropDuplicates(ROW)
+            .writeStream.foreachBatch(answer)
+            .option("checkpointLocation", checkpoint_location)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
