@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from answerloom.functions.text import count_lexical_words
 from answerloom.operators.flatten import answers_long
 
+#: Size of a quantile sketch: a column takes some ten kilobytes, and a rank is off by about a thousandth at most.
+SKETCH_SIZE = 4096
 LENGTH_UNITS: dict[str, Callable[[Column], Column]] = {"words": count_lexical_words, "chars": F.length}
 
 
@@ -22,6 +24,16 @@ def explode_answers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return answers_long(df, columns, keep).select(*keep, "answer_column", F.explode("answers").alias("answer"))
 
 
+def _measure(unit: str, token_length: Callable[[Column], Column] | None) -> Callable[[Column], Column]:
+    if unit == "tokens":
+        if token_length is None:
+            raise ValueError("The unit 'tokens' needs token_length.")
+        return token_length
+    if unit not in LENGTH_UNITS:
+        raise ValueError(f"Unknown length unit '{unit}'.")
+    return LENGTH_UNITS[unit]
+
+
 def length_frequencies(
     df: DataFrame, columns: Sequence[str], unit: str = "words", token_length: Callable[[Column], Column] | None = None
 ) -> DataFrame:
@@ -30,14 +42,7 @@ def length_frequencies(
     The unit ``tokens`` needs a tokenizer, given as a function from a text column to a count column
     (a vectorized UDF).
     """
-    if unit == "tokens":
-        if token_length is None:
-            raise ValueError("The unit 'tokens' needs token_length.")
-        measure = token_length
-    elif unit in LENGTH_UNITS:
-        measure = LENGTH_UNITS[unit]
-    else:
-        raise ValueError(f"Unknown length unit '{unit}'.")
+    measure = _measure(unit, token_length)
     lengths = explode_answers(df, columns).select("answer_column", measure(F.col("answer")).alias("length"))
     return lengths.groupBy("answer_column", "length").agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,3 +118,53 @@ def length_histogram(freq: DataFrame, cap: DataFrame, bins: int = 80) -> DataFra
         ((F.col("bin") + 0.5) * width).alias("center"),
         F.try_divide(F.coalesce("bin_n", F.lit(0)).cast("double"), F.col("visible_n") * width).alias("density"),
     )
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """Share of the answers by which a sketch's rank may be off, in 99 of 100 cases."""
+    return 2.446 / size**0.9433
+
+
+def length_sketches(
+    df: DataFrame,
+    columns: Sequence[str],
+    unit: str = "words",
+    token_length: Callable[[Column], Column] | None = None,
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """A mergeable quantile sketch of the lengths of each column: answer_column, n, min, max, sketch.
+
+    For corpora that grow: a run sketches the rows that came, and ``merged_sketches`` joins it to what earlier runs kept,
+    so no answer is measured twice. Every task keeps one sketch for each column.
+    """
+    lengths = explode_answers(df, columns).select("answer_column", _measure(unit, token_length)(F.col("answer")).cast("long").alias("length"))
+    return lengths.groupBy("answer_column").agg(
+        F.count("*").alias("n"),
+        F.min("length").alias("min"),
+        F.max("length").alias("max"),
+        F.kll_sketch_agg_bigint("length", size).alias("sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """One sketch for each column from those of several runs or parts."""
+    return sketches.groupBy("answer_column").agg(
+        F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_bigint("sketch").alias("sketch")
+    )
+
+
+def sketched_stats(sketches: DataFrame) -> DataFrame:
+    """n, min, median, p90, p95, p99 and max of each column; quantiles are lengths whose rank is within ``rank_error``."""
+    shares = F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)])
+    found = merged_sketches(sketches).withColumn("_p", F.kll_sketch_get_quantile_bigint("sketch", shares))
+    quantiles = [F.col("_p")[i].alias(name) for i, name in enumerate(("median", "p90", "p95", "p99"))]
+    return found.select("answer_column", "n", "min", *quantiles, "max")
+
+
+def sketched_cap(sketches: DataFrame, percentile_cap: float = 99.5) -> DataFrame:
+    """One row ``cap``, as ``length_cap`` gives it, by the sketches of all columns pooled; within ``rank_error``."""
+    if not 0 < percentile_cap < 100:
+        raise ValueError("percentile_cap must be in (0, 100).")
+    pooled = sketches.agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    at = F.kll_sketch_get_quantile_bigint("sketch", F.lit(percentile_cap / 100))
+    return pooled.select(F.greatest(F.lit(1).cast("long"), at).alias("cap"))

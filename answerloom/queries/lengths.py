@@ -50,6 +50,24 @@ def length_cap(spark, sf_dir):
     return L.length_cap(frequencies(spark, sf_dir))
 
 
+@query(
+    "length_cap_sketch",
+    f"WITH {LENGTHS} SELECT (SELECT count(*) FROM lengths) AS n, cap AS exact_cap, TRUE AS within_bound FROM cap",
+)
+def length_cap_sketch(spark, sf_dir):
+    """The cap by sketches of each split, merged: whether its rank among all lengths is within the bound of the exact one."""
+    df = qa(spark, sf_dir)
+    columns = C.resolve_answer_columns(df)
+    kept = [L.length_sketches(df.where(F.col("split") == split), columns) for split in ("train", "eval")]
+    sketches = stage(kept[0].unionByName(kept[1]))
+    freq = stage(L.length_frequencies(df, columns))
+    rank = lambda inside: F.sum(F.when(inside, F.col("n")).otherwise(0)) / F.sum("n")
+    exact = L.length_cap(freq).withColumnRenamed("cap", "exact_cap")
+    found = freq.crossJoin(F.broadcast(L.sketched_cap(sketches))).crossJoin(F.broadcast(exact))  # one row each
+    near = (rank(F.col("length") < F.col("cap")) <= 0.995 + L.rank_error()) & (rank(F.col("length") <= F.col("cap")) >= 0.995 - L.rank_error())
+    return found.agg(F.sum("n").alias("n"), F.max("exact_cap").alias("exact_cap"), near.alias("within_bound"))
+
+
 @query(
     "length_histogram",
     f"""WITH {LENGTHS}, shown AS (SELECT l.* FROM lengths l, cap WHERE length <= cap),

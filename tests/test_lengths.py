@@ -69,3 +69,18 @@ def test_units(spark):
     for bad in ("tokens", "lines"):
         with pytest.raises(ValueError):
             L.length_frequencies(df, ["ai_m"], bad)
+
+
+def test_sketches_merge_over_runs(spark):
+    values = [i * i % 997 for i in range(6000)]
+    df = spark.createDataFrame([(i, "x " * v) for i, v in enumerate(values) if v], "row_id long, ai_a string").repartition(6)
+    parts = [L.length_sketches(df.where(F.col("row_id") % 3 == r), ["ai_a"], size=256) for r in range(3)]
+    sketches = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    merged = L.merged_sketches(sketches).first()
+    real = sorted(v for v in values if v)
+    assert (merged.n, merged.min, merged.max) == (len(real), real[0], real[-1]) and len(merged.sketch) < 20_000
+    stats = L.sketched_stats(sketches).first()
+    for share, value in ((0.5, stats.median), (0.9, stats.p90), (0.99, stats.p99), (0.995, L.sketched_cap(sketches).first().cap)):
+        below, upto = (sum(v < value for v in real) / len(real), sum(v <= value for v in real) / len(real))
+        assert below <= share + 2 * L.rank_error(256) and upto >= share - 2 * L.rank_error(256)
+    assert L.rank_error() < 0.001
