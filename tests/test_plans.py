@@ -14,6 +14,8 @@ from answerloom.queries.views import AI_COLUMNS, qa, scored
 
 PYTHON_QUERIES = {"retry_once", "prompt_grid", "guided_grid"}
 TRAINING = {"train_per_column"}
+# The report shows the repr of its sampled rows.
+SAMPLED_PYTHON = {"input_report_lines"}
 
 
 def plan(df):
@@ -30,7 +32,7 @@ def stored(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINING))
 def test_no_python_per_row_and_no_single_partition_window(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+    assert "BatchEvalPython" not in text and ("ArrowEvalPython" in text) == (name in SAMPLED_PYTHON)
     assert ("MapInPandas" in text) == (name in PYTHON_QUERIES)
     for block in re.findall(r"Window \[.*?\n.*?\n.*?\n.*", text):
         assert "Exchange SinglePartition" not in block or "_bucket" in block
@@ -76,3 +78,17 @@ def test_small_k_limits_before_the_shuffle(spark, sf_dir):
 def test_limited_positions_prune_before_the_shuffle(stored):
     text = plan(S.seeded_positions(stored, 1, ["split", "row_id"], below=10))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_reference_answers_are_ranked_without_their_texts(spark):
+    from answerloom.operators.prompts import random_other_answer
+
+    rows = spark.createDataFrame([("train", i, f"answer {i}", "q") for i in range(9)], "split string, row_id long, human_answer string, question string")
+    drawn = random_other_answer(rows, 1, ["a", "b"], carry=["question"])
+    lines = str(drawn._jdf.queryExecution().optimizedPlan().toString()).split("\n")
+    windows = [i for i, line in enumerate(lines) if re.search(r"[+:]- Window|^Window", line)]
+    assert windows
+    for i in windows:
+        own = re.findall(r"Project \[(.*)\]", "\n".join(lines[i:]))[:1]  # what the window reads
+        assert own and not any(re.search(r"human_answer#\d+(,|$)|question", columns) for columns in own)
+    assert drawn.count() == 18 and drawn.where("random_human_answer = concat('answer ', row_id)").count() == 0
