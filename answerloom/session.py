@@ -71,6 +71,8 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Setting for the bytes of a batch that goes to a Python worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -79,8 +81,12 @@ def ship(spark: SparkSession) -> None:
 
     The workers import it from the archive that Spark hands out, wherever the driver was started. A worker process
     imports it once and is used for many tasks, so what its modules keep (models, tokenizers) outlives a task.
+    Batches of long texts are bounded by 8 MB in place of Spark's 64, unless the session says otherwise, as each is held
+    twice, by the JVM and by the worker.
     """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:  # nobody has set it
+        spark.conf.set(BATCH_BYTES, "8m")
     if context.applicationId in _SHIPPED:
         return
     home = Path(__file__).resolve().parent
