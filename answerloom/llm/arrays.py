@@ -88,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # the worker process goes on with other tasks
 
 
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
