@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 # Java pattern: any character of category C except newline, tab and carriage return.
 INVISIBLE = r"[\p{C}&&[^\n\t\r]]"
-#: Hits up to which their places are added up piece by piece; beyond, all characters are looked at. Both ways are exact.
-FEW = 1_000
 
 
 def invisible_count(c: Column) -> Column:
@@ -24,30 +22,6 @@ def is_invisible(ch: Column) -> Column:
     return ~ch.between(" ", "~") & ch.rlike(INVISIBLE)
 
 
-def positions_by_pieces(text: Column) -> Column:
-    """``(position, _ch)`` of the invisible characters of a text, positions from 0.
-
-    The text is split at them, and the lengths of the pieces add up to their places: the arrays are as long as the hits.
-    """
-    hits = F.regexp_extract_all(text, F.lit(f"({INVISIBLE})"), F.lit(1))
-    pairs = F.arrays_zip(F.slice(F.split(text, INVISIBLE, -1), F.lit(1), F.size(hits)).alias("piece"), hits.alias("ch"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,_ch:string>>").alias("found"))
-
-    def add(state: Column, x: Column) -> Column:
-        place = state.at + F.length(x["piece"])
-        hit = F.struct(place.alias("position"), x["ch"].alias("_ch"))
-        return F.struct((place + 1).alias("at"), F.array_append(state.found, hit).alias("found"))
-
-    return F.aggregate(pairs, start, add, lambda state: state.found)
-
-
-def positions_by_characters(chars: Column) -> Column:
-    """The same from the array of all characters, for texts of so many hits that adding them one by one is slow."""
-    every = F.sequence(F.lit(0), F.size(chars) - 1)
-    hits = F.filter(every, lambda i: is_invisible(F.get(chars, i)))
-    return F.transform(hits, lambda i: F.struct(i.alias("position"), F.get(chars, i).alias("_ch")))
-
-
 def code_point(ch: Column) -> Column:
     """``U+XXXX`` of a one-character text, at least four digits."""
     digits = F.hex(F.ascii(ch))
@@ -79,16 +53,15 @@ def residual_category(ch: Column) -> Column:
 
 
 def describe_invisibles(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """One row per invisible character: keys, position, code point, category, name."""
+    """One row per invisible character: keys, position, code point, category, name.
+
+    Characters become rows and are tested by compiled code, which costs as much for each character of a text of many
+    hits as of one with few.
+    """
     hits = (
         df.where(F.col(text).rlike(INVISIBLE))
-        .select(*keys, F.col(text).alias("_text"))
-        .withColumn("_chars", F.when(invisible_count(F.col("_text")) > FEW, F.split("_text", "")))
-        .withColumn(
-            "_hits",
-            F.when(F.col("_chars").isNull(), positions_by_pieces(F.col("_text"))).otherwise(positions_by_characters(F.col("_chars"))),
-        )
-        .select(*keys, F.inline("_hits"))
+        .select(*keys, F.posexplode(F.split(text, "")).alias("position", "_ch"))
+        .where(is_invisible(F.col("_ch")))
         .withColumn("code_point", code_point(F.col("_ch")))
     )
     # The dimension has a fixed size given by the Unicode tables, so it may be broadcast.

@@ -125,6 +125,15 @@ def test_invisible_characters(spark):
     assert counts == [sum(1 for w in want if w[0] == i) for i in range(len(texts))]
 
 
+def test_invisible_characters_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "a\u200b" * 3000 + "🙂\ufeff")], "id int, text string")
+    found = describe_invisibles(df, "text", ["id"])
+    places = sorted(r.position for r in found.collect())
+    assert places == [*range(1, 6000, 2), 6001]
+    # no interpreted function goes over the hits one by one
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 NAMES = ["", "3b-model", "Org/Model-7B", "!!!", "x" * 200, "naïve—Ünï", "a" * 95 + "-b", "__A__b__", "9", "-" * 9]
 
 
