@@ -35,6 +35,8 @@ TEMPLATES = {
 }
 #: Dice coefficient from which a segment counts as a notice.
 MIN_DICE = 0.8
+#: Characters at the head of a longer segment that may tell that it has too many bigrams.
+HEAD = 1024
 
 
 def normal_words(text: Column) -> Column:
@@ -48,6 +50,14 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(firsts, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
 
 
+def may_have(text: Column, most: float) -> Column:
+    """False for a text that is sure to have more than `most` distinct bigrams by its first HEAD characters.
+
+    A text has at least as many bigrams as words but one, and the head may end inside a word.
+    """
+    return (F.length(text) <= HEAD) | (F.size(F.array_distinct(normal_words(F.substring(text, 1, HEAD)))) - 2 <= most)
+
+
 def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     out = {}
     for name, text in sorted(templates.items()):
@@ -68,7 +78,8 @@ def license_notices(
     A segment is a line, a paragraph (what stands between blank lines) or the whole text; equal segments count once.
     A segment and a template have the Dice coefficient 2 * shared / (a + b) of their sets of word bigrams, so only
     segments with between b * d / (2 - d) and b * (2 - d) / d bigrams can reach d: others are dropped by their number
-    of words before any comparison (a repeated bigram makes a set smaller, so the upper bound is tested on the set).
+    of words before any comparison (a repeated bigram makes a set smaller, so the upper bound is tested on the set, or
+    on the distinct words at the head of a long segment).
     A segment that is close to several templates has the closest one, of equals the first by name.
 
     Nulls and empty texts have no segment; null ids stay. Repeated rows give equal rows. Extra columns are ignored.
@@ -86,7 +97,7 @@ def license_notices(
         "id",
         F.size("segments").alias("n_segments"),
         F.filter(
-            F.transform("segments", lambda s: F.struct(s.alias("text"), normal_words(s).alias("words"))),
+            F.transform(F.filter("segments", lambda s: may_have(s, high)), lambda s: F.struct(s.alias("text"), normal_words(s).alias("words"))),
             lambda s: F.size(s.words) > low,
         ).alias("candidates"),
     )

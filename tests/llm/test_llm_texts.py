@@ -192,3 +192,19 @@ def test_stages_take_columns_named_like_their_own(spark):
     assert quality_classifier.accepted(docs, quality_classifier.resampled(docs, labels)).columns == docs.columns
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
     assert corpus_pipeline.STAGES
+
+
+def test_long_segments_are_judged_by_their_head(spark):
+    """What a head rules out has too many bigrams; a long segment of few bigrams stays a candidate."""
+    notice = license_scan.TEMPLATES["mit"]
+    rows = [
+        (1, " ".join(f"w{i}" for i in range(2000))),
+        (2, (notice + " ") * 200),
+        (3, " ".join(f"W{i % 40} w{i % 40}" for i in range(2000)) + "\n" + notice),
+        (4, "w" * 5000 + " " + notice),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[0] for r in df.select(license_scan.may_have(F.col("text"), 56.0)).collect()] == [False, True, True, True]
+    got = {r.doc_id: (r.n_candidates, r.n_notices) for r in license_scan.license_digest(license_scan.license_notices(df)).collect()}
+    want = {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1)}
+    assert got == want
