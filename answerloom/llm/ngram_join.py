@@ -17,11 +17,12 @@ from answerloom.session import fresh, quoted, stage, unstage
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
 #: Groups of a coordinate block in the index, and of the folded vector that bounds an overlap.
-BLOCK_GROUPS, FOLDED = 1 << 32, 64
+BLOCK_GROUPS, FOLDED = 1 << 32, 256
 #: Points of one leaf of the index; a larger bucket is cut into leaves that are compared pair by pair.
 LEAF = 2048
-POINT_SCHEMA = "id long, n int, f1 long, f2 long, vector binary, cells array<long>"
-SET_SCHEMA = "id long, n int, shingles array<long>"
+POINT_SCHEMA = "id long, n int, f1 long, f2 long"
+CELL_SCHEMA = "f1 long, cell long"
+SET_SCHEMA = "id long, n int, vector binary, shingles array<long>"
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,37 +113,57 @@ def index_cells(value: np.ndarray, offsets: np.ndarray, classes: SizeClasses) ->
 def folded_vectors(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of FOLDED groups of shingles for each set."""
     n = np.diff(offsets)
-    at = np.repeat(np.arange(len(n)), n) * FOLDED + (value >> np.uint64(58)).astype(np.int64) % FOLDED
+    at = np.repeat(np.arange(len(n)), n) * FOLDED + (value >> np.uint64(56)).astype(np.int64) % FOLDED
     return np.bincount(at, minlength=len(n) * FOLDED).reshape(len(n), FOLDED).astype(np.uint32)
 
 
-def _points(k: int, percent: int):
+def vector_bytes(vectors: np.ndarray) -> list[bytes]:
+    """Each vector in the narrowest numbers that hold its counts."""
+    return [v.astype(np.min_scalar_type(v.max())).tobytes() for v in vectors]
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """The vectors again, one row for each."""
+    raw = [np.frombuffer(x, dtype=f"u{len(x) // FOLDED}") for x in column.to_pylist()]
+    return np.array(raw, dtype=np.uint32).reshape(-1, FOLDED)
+
+
+def _fingerprints(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of each set."""
+    n = np.diff(offsets)
+    at = np.repeat(np.arange(len(n)), n)
+    f1, f2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    np.add.at(f1, at, mix(value))
+    np.add.at(f2, at, mix(value ^ np.uint64(0x5851F42D4C957F2D)))
+    return f1, f2
+
+
+def _points(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            value, offsets = shingle_sets(batch.column(1), k)
+            columns = [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), *map(as_long, _fingerprints(value, offsets))]
+            yield pa.record_batch(columns, names=["id", "n", "f1", "f2"])
+
+    return run
+
+
+def _cells(k: int, percent: int):
+    """Rows of CELL_SCHEMA. They take more bytes than the texts, so they go to their shuffle without being written before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in slices(batches, "text"):
             value, offsets = shingle_sets(batch.column(1), k)
-            n = np.diff(offsets)
-            at = np.repeat(np.arange(len(n)), n)
-            f1, f2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-            np.add.at(f1, at, mix(value))
-            np.add.at(f2, at, mix(value ^ np.uint64(0x5851F42D4C957F2D)))
+            f1, f2 = _fingerprints(value, offsets)
             cells = index_cells(value, offsets, classes)
             seen: set[tuple[int, int]] = set()
             for i, key in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
                 if key in seen:
                     cells[i] = cells[i][:0]  # the same point once for each slice
                 seen.add(key)
-            vectors = folded_vectors(value, offsets)
-            sizes = np.append(0, np.cumsum([len(c) for c in cells])).astype(np.int32)
-            columns = [
-                batch.column(0),
-                pa.array(n.astype(np.int32)),
-                as_long(f1),
-                as_long(f2),
-                pa.array([v.tobytes() for v in vectors], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(sizes), as_long(np.concatenate([*cells, np.zeros(0, np.uint64)]))),
-            ]
-            yield pa.record_batch(columns, names=["id", "n", "f1", "f2", "vector", "cells"])
+            owner = np.repeat(f1, [len(c) for c in cells])
+            yield pa.record_batch([as_long(owner), as_long(np.concatenate([*cells, np.zeros(0, np.uint64)]))], names=["f1", "cell"])
 
     return run
 
@@ -152,17 +173,17 @@ def _sets(k: int):
         for batch in unpacked(batches):
             value, offsets = shingle_sets(batch.column(1), k)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), as_long(value))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["id", "n", "shingles"]
-            )
+            vectors = pa.array(vector_bytes(folded_vectors(value, offsets)), pa.binary())
+            columns = [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), vectors, lists]
+            yield pa.record_batch(columns, names=["id", "n", "vector", "shingles"])
 
     return run
 
 
 def _leaf_pairs(percent: int, best_only: bool):
-    """Pairs of a leaf cell whose overlap bound reaches the threshold, between different components.
+    """Pairs of a leaf whose overlap bound reaches the threshold, between different components.
 
-    Rows (cell, low, high, tile, node, component, n, vector) come sorted by (cell, low, high). With `best_only`, each
+    Rows (lead, low, high, tile, node, component, n, vector) come sorted by (lead, low, high). With `best_only`, each
     point gives its best partner only.
     """
 
@@ -194,12 +215,11 @@ def _leaf_pairs(percent: int, best_only: bool):
         waiting: pa.Table | None = None
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            plain = {c: table.column(c).to_numpy() for c in ("cell", "low", "high", "tile", "node", "component", "n")}
+            plain = {c: table.column(c).to_numpy() for c in ("lead", "low", "high", "tile", "node", "component", "n")}
             plain["n"] = plain["n"].astype(np.int64)
-            raw = table.column("vector").combine_chunks()
-            plain["vector"] = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32).reshape(-1, FOLDED)
+            plain["vector"] = vectors_of(table.column("vector"))
             new = np.ones(len(table), dtype=bool)
-            new[1:] = np.any([plain[c][1:] != plain[c][:-1] for c in ("cell", "low", "high")], axis=0)
+            new[1:] = np.any([plain[c][1:] != plain[c][:-1] for c in ("lead", "low", "high")], axis=0)
             for rows in np.split(np.arange(len(table)), np.flatnonzero(new)[1:]):
                 a, b = pairs({c: v[rows] for c, v in plain.items()})
                 if len(a):
@@ -208,7 +228,7 @@ def _leaf_pairs(percent: int, best_only: bool):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             waiting = table if waiting is None else pa.concat_tables([waiting, table]).combine_chunks()
-            keys = [waiting.column(c).to_numpy() for c in ("cell", "low", "high")]
+            keys = [waiting.column(c).to_numpy() for c in ("lead", "low", "high")]
             same = np.all([k == k[-1] for k in keys], axis=0)
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
@@ -242,25 +262,26 @@ def near_duplicates(
     with fewer words the whole sequence is the only one. Two documents link when their Jaccard coefficient is at
     least `percent` / 100; component_id is the smallest id reachable by links, the own one included.
 
-    Equal sets are one point of the index. Points meet in cells (`index_cells`), which loses no link. A cell's points
-    are compared by the sum of their coordinate minima, a bound on the overlap, and what passes is verified on whole
-    sets: first each point with the smallest and the next of its cell; then, where a cell still holds several
-    components, each point with its best partner; at last all pairs between components. Points of one component need
-    no comparison, so a group of many copies costs a few comparisons for each, not one for each two.
+    Equal sets are one point of the index. Points meet in cells (`index_cells`), which loses no link. Similar points
+    share many cells, so cells with the same smallest point (the lead) are compared together: a pair is looked at once
+    for each lead, not for each cell. Points are compared by the sum of their coordinate minima, a bound on the overlap,
+    and what passes is verified on whole sets: first each point with its leads and with the next point of a lead; then,
+    of the cells that still hold several components, each point with its best partner; at last all pairs between
+    components. Points of one component need no comparison, so a group of many copies costs a few comparisons for
+    each, not one for each two.
 
     Nulls: a null text has no words; a null id counts as one id before all others. Documents without words link with
     nothing, whatever their number. Repeated rows are linked and give equal rows; an id with several texts joins what
     any of them joins. Extra columns are ignored. An empty table gives an empty result. Texts are read whole.
     """
     texts = keyed(docs, id_col, text_col)
-    indexed = stage(texts.mapInArrow(_points(shingle, percent), POINT_SCHEMA))
+    points = stage(texts.mapInArrow(_points(shingle), POINT_SCHEMA))
     same_set = ["n", "f1", "f2"]
-    points = stage(indexed.select("id", *same_set))  # without the index entries, to the end
     named = points.where("n > 0").groupBy(*same_set).agg(F.min("id").alias("representative"))
     named = stage(named)
     in_cell = Window.partitionBy("cell")
     by_cell = in_cell.orderBy("f1")
-    entries = indexed.select("f1", F.explode("cells").alias("cell"))
+    entries = texts.mapInArrow(_cells(shingle, percent), CELL_SCHEMA)
     shared = (
         entries.withColumn("again", F.coalesce(F.lag("f1").over(by_cell) == F.col("f1"), F.lit(False)))
         .withColumn("several", F.min("f1").over(in_cell) != F.max("f1").over(in_cell))
@@ -271,29 +292,32 @@ def near_duplicates(
     cells = stage(shared.join(nodes, "f1").select("cell", "node").distinct())
     ids = stage(cells.select(F.col("node").alias("id")).distinct())
     sets = stage(packed(texts.join(ids, "id", "left_semi")).mapInArrow(_sets(shingle), SET_SCHEMA))
-    vectors = indexed.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-    vectors = stage(vectors.select(F.col("id").alias("node"), "n", "vector"))
-    unstage(indexed, ids)
-
-    order = Window.partitionBy("cell").orderBy("node")
-    first = cells.select(F.col("node").alias("b"), F.min("node").over(order).alias("a"), F.lag("node").over(order).alias("before"))
-    first = first.select(F.explode(F.array_distinct(F.array("a", "before"))).alias("a"), "b").where("a < b").distinct()
+    vectors = stage(sets.select(F.col("id").alias("node"), "n", "vector").distinct())
+    unstage(ids)
+
+    of_cell = Window.partitionBy("cell")
+    by_lead = Window.partitionBy("lead").orderBy("node")
+    first = cells.select(F.min("node").over(of_cell).alias("lead"), "node").distinct()
+    first = first.select("lead", "node", F.lag("node").over(by_lead).alias("before"))
+    first = first.select(F.explode(F.array_distinct(F.array("lead", "before"))).alias("a"), F.col("node").alias("b"))
+    first = first.where("a < b").distinct()
     links = stage(_linked(_bounded(first, vectors, percent), sets, percent))
     for best_only in (True, False):
         component = connected_components(links)
         rows = cells.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        of_cell = Window.partitionBy("cell")
-        rows = rows.withColumn("mixed", F.min("component").over(of_cell) != F.max("component").over(of_cell)).where("mixed")
-        rows = rows.withColumn("size", F.count("*").over(of_cell))
-        place = F.row_number().over(of_cell.orderBy("component", "node")) - 1
+        rows = rows.withColumn("mixed", F.min("component").over(of_cell) != F.max("component").over(of_cell))
+        rows = rows.withColumn("lead", F.min("node").over(of_cell)).where("mixed").select("lead", "node", "component").distinct()
+        of_lead = Window.partitionBy("lead")
+        rows = rows.withColumn("size", F.count("*").over(of_lead))
+        place = F.row_number().over(of_lead.orderBy("component", "node")) - 1
         rows = rows.withColumn("tile", F.floor(place / LEAF).cast("int"))
         last = F.floor((F.col("size") - 1) / LEAF).cast("int")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         leaves = (
-            rows.select("cell", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component")
+            rows.select("lead", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component")
             .join(vectors, "node")
-            .repartition("cell", "low", "high")
-            .sortWithinPartitions("cell", "low", "high")
+            .repartition("lead", "low", "high")
+            .sortWithinPartitions("lead", "low", "high")
         )
         more = leaves.mapInArrow(_leaf_pairs(percent, best_only), "a long, b long").distinct()
         former, links = links, stage(links.unionByName(_linked(more, sets, percent)))
@@ -319,9 +343,7 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            va, vb = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, FOLDED) for i in (4, 5)
-            )
+            va, vb = (vectors_of(batch.column(i)) for i in (4, 5))
             shared = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * shared >= percent * (na + nb)))
 

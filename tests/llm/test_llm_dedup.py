@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import sys
 
 import pytest
@@ -103,3 +104,29 @@ def test_components(spark):
     out = by_id(connected_components(spark.createDataFrame(links, "a long, b long")))
     full = {**{6: (6,), 1: (1,), 20: (20,)}, **out}
     assert {k: v[0] for k, v in full.items()} == {6: 6, 7: 6, 8: 6, 9: 6, 30: 6, 31: 6, 1: 1, 2: 1, 3: 1, 20: 20, 21: 20}
+
+
+def test_points_that_share_many_cells_are_compared_once(spark, monkeypatch):
+    """Texts below the threshold that share many cells give few pairs to verify, however many cells they share."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(3000)}" for _ in range(400)]
+    rows = [(i, " ".join(w if r.random() > 0.05 else f"x{r.randrange(10**6)}" for w in base)) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 40, 4)]
+    made = spark.sparkContext.accumulator(0)
+    plain = ngram_join._leaf_pairs
+
+    def counted(*arguments):
+        inner = plain(*arguments)
+
+        def run(batches):
+            for batch in inner(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_leaf_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(ngram_join.join_digest(ngram_join.near_duplicates(docs, 5, 80)))
+    assert got == brute.jaccard_groups(rows, 5, 80)
+    assert made.value <= 4 * len(rows)
