@@ -199,6 +199,68 @@ def test_repeats_are_those_of_plain_windows(spark):
         assert n[host] == len(shared) and got[host] == set(shared.values())
 
 
+SOLD, FEWER = "This text is sold to papers by our own agency", "Both of these towns lie on the river we told of"
+
+
+def articles():
+    """40 articles of a host in four parts, where 21 have SOLD and 19 have FEWER, mostly in the first parts; 9 of another
+    host that all have SOLD; 12 versions of one article."""
+    r = random.Random(5)
+    sold = [*range(18), 20, 21, 30]
+    fewer = [*range(2, 20), 22]
+    out = []
+    for i in range(61):
+        own = " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+        if i < 40:
+            host, said, left = "d.example", [SOLD] * (i in sold) + [FEWER] * (i in fewer), [FEWER] * (i in fewer)
+        elif i < 49:
+            host, said, left = "e.example", [SOLD], [SOLD]
+        else:
+            host, own, said, left = "f.example", f"Version {i}", ["a body of many words that all of them have " * 8], ["a body of many words that all of them have " * 8]
+        html = f"<nav>Home</nav><article><h1>Ingredients</h1><p>{own}</p>{''.join(f'<p>{t}</p>' for t in said)}</article>"
+        out.append((i, f"https://{host}/{i}", html, "\n".join(t.strip() for t in ["Ingredients", own, *left])))
+    return [out[10 * j : 10 * j + 10] + out[40 + j :: 4] for j in range(4)]
+
+
+def in_parts(spark, parts):
+    rows = spark.sparkContext.parallelize([[r[:3] for r in part] for part in parts], len(parts)).flatMap(lambda part: part)
+    return rows.toDF("page_id long, url string, html string")
+
+
+def test_what_most_articles_of_a_host_share_goes(spark):
+    parts = articles()
+    df = in_parts(spark, parts)
+    want = {i: text for part in parts for i, _, _, text in part}
+    assert {r.id: r.text for r in pages.main_texts(df).collect()} == want
+    assert {r.id: r.text for r in pages.main_texts(df.repartition(7)).collect()} == want
+
+
+@pytest.mark.parametrize("n", [None, 1, 30])
+def test_shared_substrings_of_articles_are_those_of_plain_windows(spark, n):
+    """Whatever the parts tell; in the four parts as given, some counts are left open by their bounds."""
+    parts = articles()
+    df = in_parts(spark, parts)
+    hosted = pages._hosted(df if n is None else df.repartition(n), "page_id", "url", "html")
+    counts = pages.host_substrings(hosted)
+    got = {r.host: set(r.shared) for r in pages.article_repeats(hosted, counts).collect()}
+    names, found, articles_of = pages.Names(), defaultdict(lambda: defaultdict(set)), defaultdict(int)
+    for i, url, html, _ in (r for part in parts for r in part):
+        stream = ["¶"]
+        for kind, text in pages.page_blocks(html):
+            if kind == pages.DECLARED:
+                stream += [*text.split(), "¶"]
+        articles_of[host := url.split("/")[2]] += 1
+        for k in range(len(stream) - pages.WINDOW + 1):
+            found[host][tuple(stream[k : k + pages.WINDOW])].add(i)
+    name = lambda w: int(pages.window_suffixes(np.array([0 if t == "¶" else names.of(t) for t in w], dtype=np.uint64)).view(np.int64)[0])
+    least = {h: max(pages.MIN_ARTICLES, pages.ARTICLE_SHARE * m) for h, m in articles_of.items()}
+    want = {h: {name(w) for w, p in each.items() if len(p) >= least[h]} for h, each in found.items()}
+    assert got == {h: each for h, each in want.items() if each} and set(got) == {"d.example", "f.example"}
+    if n is None:
+        told = {r.name: r.n for r in counts.where("declared and host = 'd.example'").collect()}
+        assert told[name(SOLD.split()[:8])] == told[name(FEWER.split()[:8])] == 18
+
+
 def test_odd_pages(spark):
     rows = [(1, None, "<article>x</article>", 1), (1, None, "<article>x</article>", 1), (None, "u", None, 2), (2, "", "", 3), (3, "http://h/", "<p>" + "long words " * 100_000, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host long")
