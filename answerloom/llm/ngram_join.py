@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.arrays import NULL_ID, as_long, mix, slices, window_names, words
+from answerloom.llm.arrays import NULL_ID, SLICE_BYTES, as_long, mix, slices, window_names, words
 from answerloom.llm.components import connected_components
-from answerloom.llm.repeats import keyed, packed, unpacked
-from answerloom.session import fresh, quoted, stage, unstage
+from answerloom.llm.repeats import keyed, packed
+from answerloom.session import fresh, quoted, stage, stage_buckets, unstage
 
 #: Shingle length and Jaccard threshold in percent.
 SHINGLE, PERCENT = 3, 90
@@ -20,9 +21,10 @@ SHINGLE, PERCENT = 3, 90
 BLOCK_GROUPS, FOLDED = 1 << 32, 256
 #: Points of one leaf of the index; a larger bucket is cut into leaves that are compared pair by pair.
 LEAF = 2048
-POINT_SCHEMA = "id long, n int, f1 long, f2 long"
+#: Bits of a cell's name. Cells that share a name by chance only bring together points that then are compared.
+CELL_BITS = 48
+POINT_SCHEMA = "id long, n int, f1 long, f2 long, vector binary"
 CELL_SCHEMA = "f1 long, cell long"
-SET_SCHEMA = "id long, n int, vector binary, shingles array<long>"
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def index_cells(value: np.ndarray, offsets: np.ndarray, classes: SizeClasses) ->
         keep = ~empty | many[owner]
         out.append((owner[keep], cell[keep]))
     owner = np.concatenate([o for o, _ in out])
-    cell = np.concatenate([c for _, c in out])
+    cell = np.concatenate([c for _, c in out]) >> np.uint64(64 - CELL_BITS)
     by = np.argsort(owner, kind="stable")
     return np.split(cell[by], np.searchsorted(owner[by], np.arange(1, len(n))))
 
@@ -143,7 +145,8 @@ def _points(k: int):
         for batch in slices(batches, "text"):
             value, offsets = shingle_sets(batch.column(1), k)
             columns = [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), *map(as_long, _fingerprints(value, offsets))]
-            yield pa.record_batch(columns, names=["id", "n", "f1", "f2"])
+            vectors = pa.array(vector_bytes(folded_vectors(value, offsets)), pa.binary())
+            yield pa.record_batch([*columns, vectors], names=["id", "n", "f1", "f2", "vector"])
 
     return run
 
@@ -168,18 +171,6 @@ def _cells(k: int, percent: int):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unpacked(batches):
-            value, offsets = shingle_sets(batch.column(1), k)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), as_long(value))
-            vectors = pa.array(vector_bytes(folded_vectors(value, offsets)), pa.binary())
-            columns = [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), vectors, lists]
-            yield pa.record_batch(columns, names=["id", "n", "vector", "shingles"])
-
-    return run
-
-
 def _leaf_pairs(percent: int, best_only: bool):
     """Pairs of a leaf whose overlap bound reaches the threshold, between different components.
 
@@ -240,13 +231,37 @@ def _leaf_pairs(percent: int, best_only: bool):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole shingle sets reach the threshold."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    enough = shared * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
-    return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b").distinct()
+def _verified(k: int, percent: int):
+    """Of rows (a, b, and the packed texts of both) the pairs whose whole shingle sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            left, right = (batch.column(i).to_pylist() for i in (2, 3))
+            ends = np.cumsum([zstandard.frame_content_size(x) + zstandard.frame_content_size(y) for x, y in zip(left, right, strict=True)])
+            i = 0
+            while i < len(left):  # about one slice of text at once, as expanded
+                before = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+                place: dict[bytes, int] = {}  # a text that several pairs have is cut into shingles once
+                at = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(left[i:j], right[i:j], strict=True)]
+                texts = pa.array([expand.decompress(x) for x in place], pa.large_binary())
+                value, offsets = shingle_sets(texts, k)
+                sets = np.split(value, offsets[1:-1])
+                shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in at])
+                both = np.array([len(sets[x]) + len(sets[y]) for x, y in at])
+                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array(shared * (100 + percent) >= both * percent))
+                i = j
+
+    return run
+
+
+def _linked(pairs: DataFrame, kept: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs whose whole shingle sets reach the threshold. The texts lie in buckets of their ids, so only pairs move."""
+    a = kept.select(F.col("id").alias("a"), F.col("packed").alias("ta"))
+    b = kept.select(F.col("id").alias("b"), F.col("packed").alias("tb"))
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    return rows.mapInArrow(_verified(shingle, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -289,10 +304,11 @@ def near_duplicates(
         .select("cell", "f1")
     )
     nodes = named.select("f1", F.col("representative").alias("node"))
-    cells = stage(shared.join(nodes, "f1").select("cell", "node").distinct())
+    cells = stage_buckets(shared.join(nodes, "f1").select("cell", "node").repartition("cell").distinct(), "cell")
     ids = stage(cells.select(F.col("node").alias("id")).distinct())
-    sets = stage(packed(texts.join(ids, "id", "left_semi")).mapInArrow(_sets(shingle), SET_SCHEMA))
-    vectors = stage(sets.select(F.col("id").alias("node"), "n", "vector").distinct())
+    kept = stage_buckets(packed(texts).join(ids, "id", "left_semi"), "id")
+    of_ids = points.where("n > 0").select("id", "n", "vector").join(ids, "id", "left_semi")
+    vectors = stage(of_ids.select(F.col("id").alias("node"), "n", "vector").distinct())
     unstage(ids)
 
     of_cell = Window.partitionBy("cell")
@@ -301,7 +317,7 @@ def near_duplicates(
     first = first.select("lead", "node", F.lag("node").over(by_lead).alias("before"))
     first = first.select(F.explode(F.array_distinct(F.array("lead", "before"))).alias("a"), F.col("node").alias("b"))
     first = first.where("a < b").distinct()
-    links = stage(_linked(_bounded(first, vectors, percent), sets, percent))
+    links = stage(_linked(_bounded(first, vectors, percent), kept, shingle, percent))
     for best_only in (True, False):
         component = connected_components(links)
         rows = cells.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -320,9 +336,9 @@ def near_duplicates(
             .sortWithinPartitions("lead", "low", "high")
         )
         more = leaves.mapInArrow(_leaf_pairs(percent, best_only), "a long, b long").distinct()
-        former, links = links, stage(links.unionByName(_linked(more, sets, percent)))
+        former, links = links, stage(links.unionByName(_linked(more, kept, shingle, percent)))
         unstage(former, component)
-    unstage(cells, sets, vectors)
+    unstage(cells, kept, vectors)
     component = connected_components(links).withColumnRenamed("node", "representative")
     unstage(links)
     plain = points.select("id", *same_set).join(named, same_set, "left")

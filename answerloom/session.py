@@ -122,6 +122,23 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Write a table like `stage`, in buckets of a column: joins on that column move only the other side.
+
+    There are as many buckets as shuffle partitions, so that the other side is dealt in the same way. The catalog keeps
+    nothing of the table.
+    """
+    spark = df.sparkSession
+    path, name = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}", f"answerloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the tasks are the buckets, so each writes one file
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def unstage(*tables: DataFrame) -> None:
     """Remove the folders of staged tables that are no longer read."""
     for df in tables:

@@ -5,7 +5,9 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
+import zstandard
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute
@@ -13,6 +15,7 @@ from fixtures import copies, frame, odd_documents, random_rows
 
 from answerloom.llm import ngram_join, repeats, substring_dedup, suffix_dedup
 from answerloom.llm.components import connected_components
+from answerloom.session import checkpoint_dir, stage_buckets, unstage
 
 
 def by_id(df):
@@ -130,3 +133,59 @@ def test_points_that_share_many_cells_are_compared_once(spark, monkeypatch):
     got = by_id(ngram_join.join_digest(ngram_join.near_duplicates(docs, 5, 80)))
     assert got == brute.jaccard_groups(rows, 5, 80)
     assert made.value <= 4 * len(rows)
+
+
+def _near(count, seed=6):
+    """Texts that share many cells."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(3000)}" for _ in range(400)]
+    return [(i, " ".join(w if r.random() > 0.02 else f"x{r.randrange(10**6)}" for w in base)) for i in range(count)]
+
+
+def test_join_keeps_less_on_disk_than_its_texts(spark, monkeypatch):
+    """What lies in the shared folder for the comparisons is smaller than the texts, also where all of them are compared."""
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    rows, before, seen = _near(150), size(), []
+    plain = ngram_join._bounded
+
+    def measured(*arguments):
+        seen.append(size() - before)
+        return plain(*arguments)
+
+    monkeypatch.setattr(ngram_join, "_bounded", measured)
+    got = by_id(ngram_join.join_digest(ngram_join.near_duplicates(frame(spark, rows, 2), 5, 80)))
+    assert got == brute.jaccard_groups(rows, 5, 80)
+    assert max(seen) < sum(len(t) for _, t in rows)
+
+
+def test_verification_moves_pairs_only(spark):
+    """Texts lie in buckets: of the shuffles, one deals pairs by a, one by b, and one is that of distinct."""
+    docs = frame(spark, _near(12), 2).selectExpr("doc_id id", "text")
+    kept = stage_buckets(repeats.packed(docs), "id")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (4, 4)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = ngram_join._linked(pairs, kept, 5, 10)
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert sorted(map(tuple, linked.collect())) == [(1, 2), (2, 3), (4, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("answerloom_")]
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    unstage(kept)
+    assert not os.path.exists(folder)
+
+
+def test_verification_of_texts_longer_than_a_slice():
+    """Pairs whose texts don't fit one slice are judged alike, whatever stands beside them."""
+    long = [f"n{i}" for i in range(150_000)]
+    texts = {1: long, 2: [*long, "end"], 3: long[:100_000], 4: ["a", "b"], 5: ["A", "b"], 6: ["b", "a"]}
+    press = zstandard.ZstdCompressor(level=1)
+    z = {i: press.compress(" ".join(t).encode()) for i, t in texts.items()}
+    pairs = [(1, 2), (4, 5), (1, 3), (5, 6), (2, 1), (4, 1), (5, 4)]
+    batch = pa.record_batch([[a for a, _ in pairs], [b for _, b in pairs], [z[a] for a, _ in pairs], [z[b] for _, b in pairs]], names=["a", "b", "ta", "tb"])
+    found = [tuple(r.values()) for out in ngram_join._verified(3, 90)([batch, batch.slice(0, 0)]) for r in out.to_pylist()]
+    assert found == [(1, 2), (4, 5), (2, 1), (5, 4)]
